@@ -19,6 +19,9 @@ from crossfade.plans import panel as P
 from crossfade.sources.staging import stage
 
 SEASONS = range(1995, 2002)
+# Not a round number: means of exact decimals could end in a 5 right after the
+# last place kept, where two engines round to different sides.
+EPA_SCALE = 1234.567
 MIN_VOLUME = {"flags": (16, 12, 18), "single": (55, 50, 60)}
 
 
@@ -77,7 +80,7 @@ def events(
         F.when(F.col("l_quantity") != 50, F.col("l_quantity")).alias("yards_gained"),
         F.when(
             F.col("l_discount") != 0,
-            F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000,
+            F.col("l_extendedprice") * (1 - F.col("l_discount")) / EPA_SCALE,
         ).alias("epa"),
         number(F.col("l_discount") > 0.05).alias("success"),
         (F.col("l_quantity") * 0.5).alias("air_yards"),
