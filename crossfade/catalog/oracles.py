@@ -6,6 +6,8 @@ tables where Spark expands once, windows where Spark joins an aggregate back.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from crossfade.catalog import fixture as fx
 from crossfade.operators.filters import EVENT_COLUMNS, MODEL_EXCLUDED
 from crossfade.sources.scan import PANEL_SCHEMA
@@ -276,6 +278,11 @@ STEPPED = f"stepped AS (SELECT *, {MOMENTUM} AS m FROM panel)"
 FIRST_VALUE = f"first_value(z_score) OVER ({BY_ENTITY})"
 
 
+def _share(*keys: str) -> str:
+    text = " || '|' || ".join(["'42'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) * CAST(100 AS DOUBLE) / 4294967296"
+
+
 def _post(group: str) -> str:
     return f"CAST(position_group = '{group}' AS INTEGER) * post_transition AS \"{group}_post\""
 
@@ -625,6 +632,15 @@ def oracles() -> dict[str, str]:
         f"SELECT {KEYS}, {r(_encoded('team', 5), 'team_encoded')}, "
         f"{r(_encoded('position_group', 10), 'position_encoded')} FROM panel"
     )
+    o["random_split"] = flags(
+        f"SELECT {KEYS}, CASE WHEN share < 70 THEN 'train' WHEN share < 85 THEN 'validation' "
+        f"ELSE 'test' END AS data_split FROM (SELECT *, {_share('gsis_id', 'season', 'position_group')} "
+        "AS share FROM panel)"
+    )
+    o["entity_holdout_split"] = flags(
+        f"SELECT {KEYS}, CASE WHEN {_share('gsis_id')} < 20 THEN 'test' ELSE 'train' END "
+        "AS data_split FROM panel"
+    )
     o["feature_metadata"] = flags(
         _stacked(
             f"SELECT '{c}' AS column_name, '{TYPES[c]}' AS data_type, "
@@ -709,6 +725,19 @@ def oracles() -> dict[str, str]:
         "FROM change GROUP BY position_group",
         change,
     )
+    low, high = NormalDist().inv_cdf(0.25), NormalDist().inv_cdf(0.75)
+    grid = ", ".join(f"({i / 100}, {NormalDist().inv_cdf(i / 100)!r})" for i in range(1, 100))
+    o["qq_points"] = flags(
+        f"SELECT {r('CAST(p AS DOUBLE)', 'probability')}, {r('CAST(t AS DOUBLE)', 'theoretical')}, "
+        f"{r('lo.error + (place - floor(place)) * (hi.error - lo.error)', 'sample')}, "
+        f"{r(f'q1 + (q3 - q1) / ({high - low!r}) * (CAST(t AS DOUBLE) - ({low!r}))', 'line')} "
+        "FROM places JOIN ranked lo ON lo.k = floor(place) JOIN ranked hi ON hi.k = ceil(place) "
+        "CROSS JOIN quarters",
+        f"grid(p, t) AS (VALUES {grid}), "
+        "ranked AS (SELECT error, row_number() OVER (ORDER BY error) - 1 AS k FROM scored), "
+        "places AS (SELECT p, t, CAST(p AS DOUBLE) * (SELECT max(k) FROM ranked) AS place FROM grid), "
+        "quarters AS (SELECT quantile_cont(error, 0.25) AS q1, quantile_cont(error, 0.75) AS q3 FROM scored)",
+    )
     o["residual_vs_fitted"] = flags(
         "SELECT CAST(least(floor((predicted - lo) / ((hi - lo) / 20)) + 1, 20) AS BIGINT) AS bin, "
         f"count(*) AS n, {r('avg(predicted)', 'mean_fitted')}, {r('avg(error)', 'mean_residual')} FROM scored "

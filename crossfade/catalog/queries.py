@@ -1010,7 +1010,12 @@ def _(spark, d):
 
 @query("qq_points")
 def _(spark, d):
-    return charts.qq_points(_residuals(spark, d))
+    return charts.qq_points(scored(spark, d), "error")
+
+
+@query("qq_points_mixed")
+def _(spark, d):
+    return charts.qq_points(_residuals(spark, d), exact=False)
 
 
 @query("residual_vs_fitted")

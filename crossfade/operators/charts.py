@@ -81,25 +81,24 @@ def trend_lines(
 
 
 def qq_points(
-    df: DataFrame, value: str = "residual", points: int = 99, accuracy: int = 10_000
+    df: DataFrame, value: str = "residual", points: int = 99, exact: bool = True, **options
 ) -> DataFrame:
     """Sample against normal quantiles on a fixed grid, with the quartile line.
 
-    The sample quantiles are a mergeable sketch: no global sort.
+    The grid has a fixed size, so no global sort of the residuals is needed.
     """
     probs = [(i + 1) / (points + 1) for i in range(points)]
     normal = [NormalDist().inv_cdf(p) for p in probs]
     low, high = NormalDist().inv_cdf(0.25), NormalDist().inv_cdf(0.75)
-    row = df.agg(
-        F.percentile_approx(value, [*probs, 0.25, 0.75], accuracy).alias("q")
-    )
-    slope = (F.col("q")[points + 1] - F.col("q")[points]) / F.lit(high - low)
+    row = quantiles(df, [value], [*probs, 0.25, 0.75], exact=exact, **options)
+    q = F.col(value)
+    slope = (q[points + 1] - q[points]) / F.lit(high - low)
     entries = [
         F.struct(
             F.lit(p).alias("probability"),
             F.lit(t).alias("theoretical"),
-            F.col("q")[i].alias("sample"),
-            (F.col("q")[points] + slope * F.lit(t - low)).alias("line"),
+            q[i].alias("sample"),
+            (q[points] + slope * F.lit(t - low)).alias("line"),
         )
         for i, (p, t) in enumerate(zip(probs, normal))
     ]

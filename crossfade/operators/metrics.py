@@ -137,19 +137,18 @@ def role_metrics(
     """
     require(events, time, unit, *order_by, *[r.player_id for r in roles])
     pairs = [
-        F.when(
-            role_condition(r.attempts, r.player_id),
-            F.struct(
-                F.lit(r.label).alias("position_group"),
-                F.col(r.player_id).alias("gsis_id"),
-            ),
+        F.struct(
+            F.lit(r.label).alias("position_group"),
+            F.when(role_condition(r.attempts, r.player_id), F.col(r.player_id)).alias("gsis_id"),
         )
         for r in roles
     ]
     values = ("yards_gained", "epa", "success")
+    # A plain array stays in generated code; a lambda to drop the empty pairs
+    # before the expansion would not.
     expanded = events.select(
-        time, unit, *order_by, *values, F.inline(F.array_compact(F.array(*pairs)))
-    )
+        time, unit, *order_by, *values, F.inline(F.array(*pairs))
+    ).filter(F.col("gsis_id").isNotNull())
     needed = {r.metric for r in roles}
     grouped = expanded.groupBy("gsis_id", time, "position_group").agg(
         *[METRICS[m]().alias(m) for m in sorted(needed)],

@@ -3,8 +3,8 @@
 Spark's ``percentile`` keeps every distinct value of a group in one hash map.
 That is right for groups of a known small size and wrong for a column of a
 large table. ``quantiles`` counts first: small groups use ``percentile``, large
-ones a distributed selection that never holds more than ``row_limit`` values
-of a group in one task and gives the same numbers.
+ones a distributed selection that never holds more than a bounded number of
+values in one task and gives the same numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crossfade.sources.staging import stage
 
-ROW_LIMIT = 1_000_000
+CELL_LIMIT = 4_000_000
 FANOUT = 64
 
 
@@ -26,13 +26,15 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     exact: bool = True,
-    row_limit: int = ROW_LIMIT,
+    cell_limit: int = CELL_LIMIT,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per group; each column becomes the array of its quantiles.
 
-    Linear interpolation between order statistics, NULLs left out. With
-    ``exact=False`` the mergeable sketch of ``percentile_approx`` is used.
+    Linear interpolation between order statistics, NULLs left out.
+    ``cell_limit`` bounds the values (rows of the largest group times columns)
+    that one task may hold. With ``exact=False`` the mergeable sketch of
+    ``percentile_approx`` is used.
     """
     points = F.array(*[F.lit(float(p)) for p in probs])
     if not exact:
@@ -43,9 +45,9 @@ def quantiles(
         return df.groupBy(*by).agg(*sketches)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= row_limit:
+    if largest * len(columns) <= cell_limit:
         return df.groupBy(*by).agg(*[F.percentile(c, points).alias(c) for c in columns])
-    return _selected(df, columns, probs, by, row_limit)
+    return _selected(df, columns, probs, by, cell_limit)
 
 
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **options) -> DataFrame:

@@ -13,9 +13,15 @@ from crossfade.operators.joins import anti_holdout, semi_holdout
 
 
 def _share(keys: Sequence[str], seed: int) -> Column:
-    """A number in [0, 100) that depends on the key only, so that a recomputed
-    task gives the row the same label."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(10_000)) / F.lit(100.0)
+    """A number in [0, 100) that depends on the key only.
+
+    A recomputed task gives the row the same label, and so does any other
+    engine: the first 32 bits of an MD5 digest.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    bits = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return bits * F.lit(100.0) / F.lit(float(1 << 32))
 
 
 def time_split(
