@@ -92,18 +92,22 @@ def _design(
 def _entity_statistics(
     rows: DataFrame, p: int, slope: bool, phases: int
 ) -> DataFrame:
-    """Per entity and phase block: Z'Z, Z'X and Z'y as plain sums."""
+    """Per entity and phase block: Z'Z, Z'X and Z'y as plain sums.
+
+    SQL text, here and below: hundreds of sums are much quicker to parse than
+    to build call by call.
+    """
     values = [f"x{k}" for k in range(p)] + ["y"]
-    basis = [F.lit(1.0), F.col("z")] if slope else [F.lit(1.0)]
+    basis = ["1D", "z"] if slope else ["1D"]
     out = []
     for g in range(phases):
-        inside = F.when(F.col("ph") == g, F.lit(1.0)).otherwise(F.lit(0.0)) if phases > 1 else F.lit(1.0)
+        inside = f"if(ph = {g}, 1D, 0D)" if phases > 1 else "1D"
         for a, za in enumerate(basis):
             for b in range(a, len(basis)):
-                out.append(F.sum(inside * za * basis[b]).alias(f"zz_{g}_{a}{b}"))
+                out.append(f"sum({inside} * {za} * {basis[b]}) AS zz_{g}_{a}{b}")
             for k, v in enumerate(values):
-                out.append(F.sum(inside * za * F.col(v)).alias(f"u_{g}_{a}_{k}"))
-    return rows.groupBy("e").agg(*out)
+                out.append(f"sum({inside} * {za} * {v}) AS u_{g}_{a}_{k}")
+    return rows.groupBy("e").agg(*map(F.expr, out))
 
 
 def _total_products(rows: DataFrame, p: int, phases: int) -> list[np.ndarray]:
@@ -112,7 +116,7 @@ def _total_products(rows: DataFrame, p: int, phases: int) -> list[np.ndarray]:
     pairs = list(combinations_with_replacement(range(p + 1), 2))
     collected = (
         rows.groupBy("ph")
-        .agg(*[F.sum(F.col(values[i]) * F.col(values[j])).alias(f"t_{i}_{j}") for i, j in pairs])
+        .agg(*[F.expr(f"sum({values[i]} * {values[j]}) AS t_{i}_{j}") for i, j in pairs])
         .collect()
     )
     totals = [np.zeros((p + 1, p + 1)) for _ in range(phases)]
@@ -127,7 +131,7 @@ def _pattern_table(entities: DataFrame, p: int, q: int, phases: int) -> DataFram
     keys = [f"zz_{g}_{a}{b}" for g in range(phases) for a in range(q) for b in range(a, q)]
     stats = [f"u_{g}_{a}_{k}" for g in range(phases) for a in range(q) for k in range(p + 1)]
     products = [
-        F.sum(F.col(stats[i]) * F.col(stats[j])).alias(f"c_{i}_{j}")
+        F.expr(f"sum({stats[i]} * {stats[j]}) AS c_{i}_{j}")
         for i, j in combinations_with_replacement(range(len(stats)), 2)
     ]
     return entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *products)

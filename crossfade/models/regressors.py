@@ -45,6 +45,15 @@ def _fit(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
     return Pipeline(stages=[vectors, estimator]).fit(train)
 
 
+def _spread(train: DataFrame) -> DataFrame:
+    """Rows over all cores: tree fitting passes over them hundreds of times.
+
+    A table that already has that many partitions is left where it is.
+    """
+    slots = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(slots) if train.rdd.getNumPartitions() < slots else train
+
+
 def _label_scale(train: DataFrame, target: str) -> tuple[int, float]:
     row = train.agg(F.count(target), F.stddev_pop(target)).first()
     return row[0], row[1]
@@ -107,7 +116,12 @@ def fit_random_forest(
     min_split: int = 20,
     seed: int = 42,
 ) -> PipelineModel:
-    """MLlib bounds the leaf size, not the split size: half of it per side."""
+    """MLlib bounds the leaf size, not the split size: half of it per side.
+
+    The larger node buffer and the kept node ids save passes over the rows:
+    more nodes are split per pass, and no pass walks the trees again.
+    """
+    shared_folder(train.sparkSession)
     forest = RandomForestRegressor(
         labelCol=target,
         numTrees=trees,
@@ -115,8 +129,11 @@ def fit_random_forest(
         minInstancesPerNode=max(1, min_split // 2),
         featureSubsetStrategy="all",
         seed=seed,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
+        checkpointInterval=10,
     )
-    return _fit(train, features, forest)
+    return _fit(_spread(train), features, forest)
 
 
 def fit_gradient_boosting(
@@ -138,7 +155,7 @@ def fit_gradient_boosting(
         seed=seed,
         checkpointInterval=10,
     )
-    return _fit(train, features, boosting)
+    return _fit(_spread(train), features, boosting)
 
 
 def fit_boosting_depth6(

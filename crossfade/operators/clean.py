@@ -89,11 +89,19 @@ def column_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def impute_mode(
-    df: DataFrame, columns: Sequence[str] | None = None, default: str = "Unknown"
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    default: str = "Unknown",
+    fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill missing strings with the column's mode, or ``default`` if it has none."""
+    """Fill missing strings with the column's mode, or ``default`` if it has none.
+
+    ``fit_on`` may name the rows to take the modes from: a stored table, say,
+    of which ``df`` is a costly derivation with the same string columns.
+    """
     columns = list(columns or string_columns(df))
-    modes = {r["column_name"]: r["mode"] for r in column_mode(df, columns).collect()}
+    source = df if fit_on is None else fit_on
+    modes = {r["column_name"]: r["mode"] for r in column_mode(source, columns).collect()}
     return df.fillna({c: modes.get(c, default) for c in columns})
 
 
@@ -134,11 +142,16 @@ def quartile_fences(
     )
 
 
-def fence_bounds(fences: DataFrame) -> dict[str, tuple[float, float]]:
+def fences(q1: float, q3: float, width: float = 3.0) -> tuple[float, float]:
+    """Bounds at ``width`` interquartile ranges outside the quartiles."""
+    return q1 - width * (q3 - q1), q3 + width * (q3 - q1)
+
+
+def fence_bounds(table: DataFrame) -> dict[str, tuple[float, float]]:
     """The fences as literals: one row per column of the table."""
     return {
         r["column_name"]: (r["lower_fence"], r["upper_fence"])
-        for r in fences.collect()
+        for r in table.collect()
         if r["lower_fence"] is not None
     }
 

@@ -18,13 +18,19 @@ from crossfade.sources.staging import stage
 # -- scaling ---------------------------------------------------------------
 
 
-def fit_standardize(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
+def fit_standardize(
+    df: DataFrame,
+    columns: Sequence[str],
+    middle: Mapping[str, float] | None = None,
+    **options,
+) -> DataFrame:
     """Median, mean and deviation per column, one row each.
 
     Mean and population deviation are those of the column after its missing
     values were filled with the median; a constant column has deviation 1.
+    ``middle`` gives medians that are known already.
     """
-    middle = medians(df, columns, **options).first()
+    middle = medians(df, columns, **options).first() if middle is None else middle
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(middle[c])) for c in columns]
     row = df.agg(
         *[

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crossfade.functions import exprs as X
 from crossfade.operators import clean, encode, filters, split, windows
-from crossfade.operators.quantiles import medians
+from crossfade.operators.quantiles import medians, quantiles
 from crossfade.sources.staging import stage as write_stage
 
 
@@ -59,16 +59,20 @@ def preprocess(
     strings = filters.string_columns(
         enriched, ["performance_level", "career_phase"]
     )
-    imputed = clean.impute_mode(imputed, mode_columns or strings)
-    # Fences, medians and moments each read the imputed rows.
+    imputed = clean.impute_mode(imputed, mode_columns or strings, fit_on=enriched)
+    # Quartiles, moments and the result each read the imputed rows.
     unique = stage(clean.drop_duplicates(imputed), "imputed")
-    capped = numeric if order == "reference" else (clip_columns or scaled)
-    bounds = clean.fence_bounds(clean.quartile_fences(unique, capped))
+    capped = list(numeric if order == "reference" else (clip_columns or scaled))
+    wanted = list(dict.fromkeys([*capped, *scaled]))
+    quarters = quantiles(unique, wanted, [0.25, 0.5, 0.75]).first()
+    bounds = {c: clean.fences(*quarters[c][::2]) for c in capped if quarters[c]}
+    # A median lies inside the fences, so capping leaves it as it is.
+    middle = {c: quarters[c][1] if quarters[c] else None for c in scaled}
     capped_rows = clean.clip_outliers(unique, bounds)
     if order == "raw":
         capped_rows = derived(capped_rows)
-        scaled = [*scaled, "quality_performance_interaction"]
-    out = encode.standardize(capped_rows, scaled)
+    params = encode.fit_standardize(capped_rows, scaled, middle)
+    out = encode.apply_standardize(capped_rows, params)
     if order == "reference":
         out = derived(out)
     return split.time_split(out)
