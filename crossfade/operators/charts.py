@@ -109,7 +109,9 @@ def _bucket(value: Column, low: float, high: float, bins: int) -> Column:
     """Equal bins over [low, high]; the top value belongs to the last one."""
     if low == high:
         return F.when(value.isNotNull(), 1)
-    return F.least(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins))
+    bucket = F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins))
+    # least() alone would put a missing value into the last bin
+    return F.when(value.isNotNull(), F.least(bucket, F.lit(bins)))
 
 
 def _range(df: DataFrame, value: str) -> tuple[float, float] | None:
