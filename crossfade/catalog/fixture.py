@@ -148,6 +148,6 @@ def panel(spark: SparkSession, sf_dir: str, variant: str = "flags") -> DataFrame
         spark,
         ("panel", variant, sf_dir),
         lambda: P.build_panel(
-            events(spark, sf_dir, variant), base(spark, sf_dir, variant)
+            events(spark, sf_dir, variant), base(spark, sf_dir, variant), stage=stage
         ),
     )

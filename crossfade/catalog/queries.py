@@ -21,7 +21,7 @@ from crossfade.operators import charts, clean, encode, filters, joins, metrics,
 from crossfade.plans import effects, features
 from crossfade.plans import panel as P
 from crossfade.sources import scan, sinks
-from crossfade.sources.staging import stage_path
+from crossfade.sources.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,7 +464,7 @@ def _(spark, d):
 @query("zscore_by_season_group")
 def _(spark, d):
     rows = base(spark, d).select(*KEYS, "metric_raw")
-    return windows.zscore_by_season_group(rows)
+    return windows.zscore_by_season_group(rows, stage=stage)
 
 
 @query("prev_team")
@@ -524,7 +524,7 @@ def _(spark, d):
 
 @query("impute_group_median")
 def _(spark, d):
-    rows = clean.impute_group_median(panel(spark, d), MEDIAN_COLUMNS)
+    rows = clean.impute_group_median(panel(spark, d), MEDIAN_COLUMNS, stage=stage)
     return rows.select(*KEYS, *MEDIAN_COLUMNS)
 
 

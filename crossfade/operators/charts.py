@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crossfade.operators.joins import attach
 from crossfade.operators.quantiles import quantiles
+from crossfade.sources.staging import stage
 
 
 def trajectory_by_position(
@@ -33,8 +34,8 @@ def boxplot_stats(
     """Quartiles, whiskers at the last value within reach, outlier count."""
     quarters = quantiles(df, [y], [0.25, 0.5, 0.75], by, **options)
     q = F.col(y)
-    fences = quarters.select(
-        *by, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")
+    fences = stage(
+        quarters.select(*by, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")), "fences"
     )
     spread = F.col("q3") - F.col("q1")
     inside = F.col(y).between(

@@ -11,6 +11,7 @@ from crossfade.functions.exprs import clip
 from crossfade.operators.filters import numeric_columns, require, string_columns
 from crossfade.operators.joins import attach
 from crossfade.operators.quantiles import medians, quantiles
+from crossfade.sources.staging import Stager, unstaged
 
 
 def group_median(
@@ -28,12 +29,14 @@ def impute_group_median(
     columns: Sequence[str] | None = None,
     group: str = "position_group",
     fallback_group: str = "team",
+    stage: Stager = unstaged,
     **options,
 ) -> DataFrame:
     """Fill missing numbers with the median of the row's group.
 
     Without a group column the fallback group is used, without that the
     median of the whole column. A group without any value stays missing.
+    With ``stage`` the medians are written before they are joined.
     """
     columns = list(columns or numeric_columns(df))
     by = next((g for g in (group, fallback_group) if g in df.columns), None)
@@ -41,7 +44,7 @@ def impute_group_median(
         return impute_global_median(df, columns, **options)
     middle = group_median(df, columns, [by], **options)
     middle = middle.select(by, *[F.col(c).alias(f"_median_{c}") for c in columns])
-    joined = attach(df, middle, [by])
+    joined = attach(df, stage(middle, "medians"), [by])
     filled = _filled(df, columns, lambda c: F.col(f"_median_{c}"))
     return joined.select(*filled)
 

@@ -136,11 +136,13 @@ def fit_target_encode(
 ) -> tuple[DataFrame, float]:
     """Smoothed target mean per category, and the overall mean.
 
-    The overall mean comes from the per-category sums: one pass over the rows.
+    Both come from the per-category sums, which are written once: one pass
+    over the rows, and a join that knows the table's size.
     """
     require(df, column, target)
-    groups = df.groupBy(column).agg(
-        F.count(target).alias("n"), F.sum(target).alias("total")
+    groups = stage(
+        df.groupBy(column).agg(F.count(target).alias("n"), F.sum(target).alias("total")),
+        "categories",
     )
     row = groups.agg(F.try_divide(F.sum("total"), F.sum("n"))).first()
     overall = row[0]

@@ -1,9 +1,9 @@
 """Joins (J1-J9).
 
-No join carries a broadcast hint. Adaptive execution measures each side when
-its stage has run and broadcasts it only below
-``spark.sql.adaptive.autoBroadcastJoinThreshold``; a larger side stays a
-sort-merge join whose skewed partitions are split.
+No join carries a broadcast hint. A side is broadcast when its size is known
+to be small: from its files if it is a stage table, else from adaptive
+execution, which measures a side once its stage has run. A larger side stays a
+sort-merge join whose skewed partitions adaptive execution splits.
 """
 
 from __future__ import annotations

@@ -95,7 +95,9 @@ def _selected(
                     (place - F.floor(place)).alias("weight"),
                 )
             )
-    targets = totals.select(*keys, F.inline(F.array(*ranks)))
+    # One row per target in these tables: written, so that their joins to the
+    # values know how small they are.
+    targets = stage(totals.select(*keys, F.inline(F.array(*ranks))), "targets")
     same = lambda a, b, names: [
         F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names
     ]
@@ -110,8 +112,11 @@ def _selected(
         held = candidates.groupBy(*target).agg(F.count(F.lit(1)).alias("n"))
         if (held.agg(F.max("n")).first()[0] or 0) <= row_limit:
             break
-        edges = candidates.groupBy(*target).agg(
-            F.percentile_approx("value", grid, 50 * FANOUT).alias("edges")
+        edges = stage(
+            candidates.groupBy(*target).agg(
+                F.percentile_approx("value", grid, 50 * FANOUT).alias("edges")
+            ),
+            "edges",
         )
         placed = stage(
             candidates.alias("c")
@@ -133,7 +138,7 @@ def _selected(
         )
         candidates = (
             placed.alias("c")
-            .join(chosen.alias("h"), same("c", "h", [*target, "slot"]))
+            .join(stage(chosen, "chosen").alias("h"), same("c", "h", [*target, "slot"]))
             .select(
                 *[f"c.{k}" for k in [*keys, "value", "rows", "prob", "side", "weight"]],
                 (F.col("c.rank") - F.col("h.skipped")).alias("rank"),

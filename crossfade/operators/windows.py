@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from crossfade.functions.exprs import GROUPS, ordinal
 from crossfade.operators.filters import require
 from crossfade.operators.joins import attach
+from crossfade.sources.staging import Stager, unstaged
 
 
 def entity_window(
@@ -40,19 +41,21 @@ def zscore_by_season_group(
     df: DataFrame,
     partition_by: Sequence[str] = ("season", "position_group"),
     metric: str = "metric_raw",
+    stage: Stager = unstaged,
 ) -> DataFrame:
     """Cohort mean, sample deviation and z-score.
 
     A cohort can hold a third of all rows, so its statistics come from a
     partially combined aggregate and are joined back; a window would pass the
-    whole cohort through one task.
+    whole cohort through one task. With ``stage`` the statistics are written
+    first: the join then knows their size and leaves the rows where they are.
     """
     require(df, metric, *partition_by)
     stats = df.groupBy(*partition_by).agg(
         F.avg(metric).alias("mean_season"), F.stddev_samp(metric).alias("sd_season")
     )
     z = F.try_divide(F.col(metric) - F.col("mean_season"), F.col("sd_season"))
-    return attach(df, stats, partition_by).withColumn("z_score", z)
+    return attach(df, stage(stats, "cohorts"), partition_by).withColumn("z_score", z)
 
 
 def prev_team(

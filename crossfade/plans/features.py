@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crossfade.functions import exprs as X
 from crossfade.operators import clean, encode, filters, split, windows
 from crossfade.operators.quantiles import medians, quantiles
+from crossfade.sources.staging import Stager
 from crossfade.sources.staging import stage as write_stage
 
 
@@ -42,7 +43,7 @@ def preprocess(
     order: str = "raw",
     clip_columns: Sequence[str] | None = None,
     mode_columns: Sequence[str] | None = None,
-    stage: Callable[[DataFrame, str], DataFrame] = write_stage,
+    stage: Stager = write_stage,
 ) -> DataFrame:
     """Impute, drop duplicates, cap outliers, scale, derive, split.
 
@@ -55,7 +56,7 @@ def preprocess(
         raise ValueError(f"unknown order: {order}")
     numeric = filters.numeric_columns(enriched)
     scaled = [c for c in numeric if c not in filters.SCALING_EXCLUDED]
-    imputed = clean.impute_group_median(enriched, numeric)
+    imputed = clean.impute_group_median(enriched, numeric, stage=stage)
     strings = filters.string_columns(
         enriched, ["performance_level", "career_phase"]
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 from crossfade.functions import exprs as X
 from crossfade.operators import filters, joins, metrics, windows
 from crossfade.sources.scan import PANEL_SCHEMA
-
-Stager = Callable[[DataFrame, str], DataFrame]
-
-
-def _unstaged(df: DataFrame, name: str) -> DataFrame:
-    return df
+from crossfade.sources.staging import Stager, unstaged
 
 
 def roster_with_age(roster: DataFrame) -> DataFrame:
@@ -31,7 +26,7 @@ def base_metrics(
     events: DataFrame,
     roster: DataFrame,
     roles: Sequence[metrics.Role] = metrics.ROLES,
-    stage: Stager = _unstaged,
+    stage: Stager = unstaged,
 ) -> DataFrame:
     """Entity-season metrics with z-scores, experience and age.
 
@@ -41,7 +36,7 @@ def base_metrics(
     """
     regular = filters.filter_regular(events)
     table = stage(metrics.role_metrics(regular, roles), "metrics")
-    scored = windows.zscore_by_season_group(table)
+    scored = windows.zscore_by_season_group(table, stage=stage)
     return joins.join_roster_left(scored, roster_with_age(roster))
 
 
@@ -97,9 +92,8 @@ def with_pre_trend(
     )
 
 
-def team_context(panel: DataFrame, base: DataFrame, offense: DataFrame) -> DataFrame:
+def team_context(panel: DataFrame, averages: DataFrame, offense: DataFrame) -> DataFrame:
     """Team averages and the quality of the supporting cast."""
-    averages = metrics.team_position_avg(base)
     panel = joins.join_team_pos_avg(panel, averages)
     panel = joins.join_team_offense(panel, offense)
     quality = X.team_quality(
@@ -109,12 +103,21 @@ def team_context(panel: DataFrame, base: DataFrame, offense: DataFrame) -> DataF
 
 
 def build_panel(
-    events: DataFrame, base: DataFrame, min_experience: int = 3
+    events: DataFrame,
+    base: DataFrame,
+    min_experience: int = 3,
+    stage: Stager = unstaged,
 ) -> DataFrame:
-    """The 28-column panel, in the order of ``PANEL_SCHEMA``."""
-    offense = metrics.team_offense_context(filters.filter_regular(events))
+    """The 28-column panel, in the order of ``PANEL_SCHEMA``.
+
+    With ``stage`` the team tables (one row per team and season) are written
+    before they are joined, so their size decides how.
+    """
+    regular = filters.filter_regular(events)
+    offense = stage(metrics.team_offense_context(regular), "offense")
+    averages = stage(metrics.team_position_avg(base), "averages")
     panel = with_pre_trend(relative_panel(base, min_experience))
-    return team_context(panel, base, offense).select(*PANEL_SCHEMA.names)
+    return team_context(panel, averages, offense).select(*PANEL_SCHEMA.names)
 
 
 def transition_effect(panel: DataFrame) -> DataFrame:

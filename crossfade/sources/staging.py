@@ -4,15 +4,29 @@ A stage is a Parquet table in the shared folder named by
 ``spark.checkpoint.dir``. Compared with ``cache()`` it survives the loss of
 executors, and compared with ``checkpoint()`` it keeps column pruning, filter
 pushdown and a known size for the plans that read it.
+
+The known size also decides joins. A group statistic that is staged before it
+is joined back is broadcast when its files are below
+``spark.sql.autoBroadcastJoinThreshold`` and sort-merge joined when they are
+not; the large side is then neither shuffled for nothing nor held up by a few
+hot keys, and nothing is broadcast on trust.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Stager = Callable[[DataFrame, str], DataFrame]
+
+
+def unstaged(df: DataFrame, name: str = "table") -> DataFrame:
+    """Leave ``df`` lazy: the default where staging is a choice."""
+    return df
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one only in local mode."""
