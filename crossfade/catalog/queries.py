@@ -1035,7 +1035,8 @@ def _(spark, d):
 
 @query("transition_effect")
 def _(spark, d):
-    return P.transition_effect(single(spark, d))
+    # Needs neither team context nor pre-trend: straight from the base table.
+    return P.transition_effect(P.relative_panel(fx.base(spark, d, "single")))
 
 
 @query("transition_panel")

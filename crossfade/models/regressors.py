@@ -45,13 +45,19 @@ def _fit(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
     return Pipeline(stages=[vectors, estimator]).fit(train)
 
 
-def _spread(train: DataFrame) -> DataFrame:
-    """Rows over all cores: tree fitting passes over them hundreds of times.
+def _spread(train: DataFrame, rows_per_task: int = 1000) -> DataFrame:
+    """Rows over the cores that they can keep busy.
 
-    A table that already has that many partitions is left where it is.
+    Tree fitting passes over the rows hundreds of times. A table with fewer
+    partitions than cores is spread out first, a small one only as far as a
+    task's work outweighs its start.
     """
     slots = train.sparkSession.sparkContext.defaultParallelism
-    return train.repartition(slots) if train.rdd.getNumPartitions() < slots else train
+    now = train.rdd.getNumPartitions()
+    if now >= slots:
+        return train
+    wanted = min(slots, -(-train.count() // rows_per_task))
+    return train.repartition(wanted) if wanted > now else train
 
 
 def _label_scale(train: DataFrame, target: str) -> tuple[int, float]:
