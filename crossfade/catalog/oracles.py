@@ -192,12 +192,12 @@ def _quantile(column: str, p: float) -> str:
     return f"quantile_cont(CAST({column} AS DOUBLE), {p})"
 
 
-def _fences(names, width: float) -> str:
+def _fences(names, width: float, table: str = "panel") -> str:
     """CTE body: one row per column."""
     return _stacked(
         f"SELECT '{c}' AS column_name, q1, q3, q1 - {width} * (q3 - q1) AS lower_fence, "
         f"q3 + {width} * (q3 - q1) AS upper_fence FROM (SELECT {_quantile(c, 0.25)} AS q1, "
-        f"{_quantile(c, 0.75)} AS q3 FROM panel)"
+        f"{_quantile(c, 0.75)} AS q3 FROM {table})"
         for c in names
     )
 
@@ -206,13 +206,14 @@ def _bound(column: str, side: str) -> str:
     return f"(SELECT {side}_fence FROM fences WHERE column_name = '{column}')"
 
 
-def _clipped(column: str) -> str:
+def _capped(column: str) -> str:
     low, high = _bound(column, "lower"), _bound(column, "upper")
     value = f"CAST({column} AS DOUBLE)"
-    return r(
-        f"CASE WHEN {value} < {low} THEN {low} WHEN {value} > {high} THEN {high} ELSE {value} END",
-        column,
-    )
+    return f"CASE WHEN {value} < {low} THEN {low} WHEN {value} > {high} THEN {high} ELSE {value} END"
+
+
+def _clipped(column: str) -> str:
+    return r(_capped(column), column)
 
 
 def _cut(column: str, edges, labels, lower=None) -> str:
@@ -684,6 +685,30 @@ def oracles() -> dict[str, str]:
         f"stepped AS (SELECT *, {MOMENTUM} AS m, {panel_age} AS filled FROM panel)",
     )
 
+    used = ("metric_raw", "success_rate", "team_quality", "age", "z_score", "pre_trend_slope", "years_exp")
+    kept = f"{KEYS}, rel_time, years_since_change"
+    filled_in = ", ".join(
+        f"coalesce({c}, {_median(c)} OVER (PARTITION BY position_group)) AS {c}" for c in used
+    )
+    units = ("metric_raw", "success_rate", "team_quality", "age")
+    whole_column = ", ".join(
+        f"coalesce({c}, (SELECT {_median(c)} FROM imputed)) AS {c}_full" for c in units
+    )
+    scaled_units = ", ".join(
+        r(f"({c}_full - avg({c}_full) OVER ()) / coalesce(nullif(stddev_pop({c}_full) OVER (), 0), 1)", c)
+        for c in units
+    )
+    o["preprocess_panel"] = flags(
+        f"SELECT {KEYS}, {scaled_units}, {TREND} AS pre_trend_category, "
+        f"{_cut('years_exp', *EXPERIENCE, lower=0)} AS exp_group, {ADJUSTMENT} AS adjustment_phase, "
+        f"{r('team_quality * z_score', 'quality_performance_interaction')}, "
+        f"{_split(-2, 0)} AS data_split FROM complete",
+        f"imputed AS (SELECT DISTINCT {kept}, {filled_in} FROM panel), "
+        f"fences AS ({_fences(used, 3, 'imputed')}), "
+        f"capped AS (SELECT {kept}, {', '.join(f'{_capped(c)} AS {c}' for c in used)} FROM imputed), "
+        f"complete AS (SELECT *, {whole_column} FROM capped)",
+    )
+
     # -- models: what SQL can express of them
     o["icc_null_model"] = single(
         f"SELECT n_entities, n_rows, {r('msb', 'ms_between')}, {r('msw', 'ms_within')}, {r('n0', 'n0')}, "

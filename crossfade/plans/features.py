@@ -56,7 +56,9 @@ def preprocess(
         raise ValueError(f"unknown order: {order}")
     numeric = filters.numeric_columns(enriched)
     scaled = [c for c in numeric if c not in filters.SCALING_EXCLUDED]
-    imputed = clean.impute_group_median(enriched, numeric, stage=stage)
+    # The season is a key: never missing, and to stay an integer.
+    fillable = [c for c in numeric if c != "season"]
+    imputed = clean.impute_group_median(enriched, fillable, stage=stage)
     strings = filters.string_columns(
         enriched, ["performance_level", "career_phase"]
     )
