@@ -36,11 +36,14 @@ def events(
     sf_dir: str,
     variant: str = "flags",
     seasons: Iterable[int] | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """One event per line item.
 
     A season list is also given to the scan as ship-date ranges, which reach
-    the Parquet reader; a filter on the derived season would not.
+    the Parquet reader; a filter on the derived season would not. ``numbered``
+    adds the event order as one number, days and then the order key, which
+    stays far below 2 ** 40.
     """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -67,6 +70,8 @@ def events(
         unit = F.when(urgent, "HI").otherwise("LO")
     entity = F.col("l_suppkey").cast("string")
     number = lambda c: c.cast("double")
+    days = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
+    event_no = (days * F.lit(1 << 40) + F.col("l_orderkey")).alias("event_no")
     return joined.select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("game_id"),
         F.col("l_orderkey").alias("play_id"),
@@ -92,6 +97,7 @@ def events(
         number(is_rush).alias("rush_attempt"),
         number(F.col("l_linestatus") == "F").alias("sack"),
         number(F.col("l_tax") > 0.04).alias("qb_hit"),
+        *([event_no] if numbered else []),
     )
 
 
@@ -137,7 +143,11 @@ def base(spark: SparkSession, sf_dir: str, variant: str = "flags") -> DataFrame:
         spark,
         ("base", variant, sf_dir),
         lambda: P.base_metrics(
-            events(spark, sf_dir, variant), roster(spark, sf_dir), roles(variant), stage
+            events(spark, sf_dir, variant, numbered=True),
+            roster(spark, sf_dir),
+            roles(variant),
+            stage,
+            ["event_no"],
         ),
     )
 

@@ -317,7 +317,10 @@ def _(spark, d):
 
 @query("role_metrics")
 def _(spark, d):
-    return metrics.role_metrics(regular(spark, d), fx.roles("flags"))
+    events = filters.filter_regular(
+        fx.events(spark, d, numbered=True), columns=[*filters.EVENT_COLUMNS, "event_no"]
+    )
+    return metrics.role_metrics(events, fx.roles("flags"), order_by=["event_no"])
 
 
 @query("last_team")

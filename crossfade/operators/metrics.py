@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossfade.operators.filters import (
     filter_role,
@@ -30,6 +31,12 @@ def last_by(value: str, order_by: Sequence[str] = EVENT_ORDER) -> Column:
     return F.max(F.struct(*order_by, value))[value]
 
 
+def _fixed_width(df: DataFrame, column: str) -> bool:
+    """Whether a maximum of the column fits a hash aggregation buffer."""
+    kinds = (T.IntegralType, T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return isinstance(df.schema[column].dataType, kinds)
+
+
 # The metric definitions a role may use, as aggregates over its events.
 METRICS = {
     # mean over known values
@@ -130,11 +137,18 @@ def role_metrics(
     unit: str = "posteam",
     order_by: Sequence[str] = EVENT_ORDER,
 ) -> DataFrame:
-    """All role tables from one scan and one shuffle of the events.
+    """All role tables from one scan of the events.
 
     Every event is expanded to the (role, entity) pairs it counts for and the
     pairs are aggregated together. Equal to the union of ``efficiency`` over
     the roles, which would scan and shuffle the events once per role.
+
+    The last unit decides how Spark aggregates: a string or a struct in the
+    aggregation buffer makes it sort the events on both sides of the shuffle.
+    If ``order_by`` is one number, date or timestamp, the events are summed by
+    unit as well, with the greatest order as a plain value: that is a hash
+    aggregation, and only one row per entity, season, group and unit is left
+    to choose the last unit from.
     """
     require(events, time, unit, *order_by, *[r.player_id for r in roles])
     pairs = [
@@ -150,33 +164,48 @@ def role_metrics(
     expanded = events.select(
         time, unit, *order_by, *values, F.inline(F.array(*pairs))
     ).filter(F.col("gsis_id").isNotNull())
-    needed = {r.metric for r in roles}
-    grouped = expanded.groupBy("gsis_id", time, "position_group").agg(
-        *[METRICS[m]().alias(m) for m in sorted(needed)],
+    keys = ("gsis_id", time, "position_group")
+    sums = [
         F.count(F.lit(1)).alias("volume"),
-        F.avg("success").alias("success"),
-        EXTRAS["total_epa"]().alias("epa"),
-        last_by(unit, order_by).alias("team"),
-    )
-    source = {"success_rate": "success", "metric_secondary": "success", "total_epa": "epa"}
-
-    def per_role(pick) -> Column:
-        """The column each role uses, NULL for a role that has none."""
-        out = F.lit(None).cast("double")
+        *[F.sum(v).alias(f"sum_{v}") for v in values],
+        *[F.count(v).alias(f"n_{v}") for v in values],
+    ]
+    if len(order_by) == 1 and _fixed_width(events, order_by[0]):
+        by_unit = expanded.groupBy(*keys, unit).agg(*sums, F.max(order_by[0]).alias("_last"))
+        names = ["volume", *[f"{kind}_{v}" for kind in ("sum", "n") for v in values]]
+        grouped = by_unit.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in names], last_by(unit, ["_last"]).alias("team")
+        )
+    else:
+        grouped = expanded.groupBy(*keys).agg(*sums, last_by(unit, order_by).alias("team"))
+    mean = lambda v: F.try_divide(F.col(f"sum_{v}"), F.col(f"n_{v}"))
+    known = {
+        "mean_yards": mean("yards_gained"),
+        "yards_per_event": F.coalesce(F.col("sum_yards_gained"), F.lit(0.0)) / F.col("volume"),
+        "mean_epa": mean("epa"),
+        "success_rate": mean("success"),
+        "metric_secondary": mean("success"),
+        "total_epa": F.coalesce(F.col("sum_epa"), F.lit(0.0)),
+    }
+
+    def per_role(pick, empty) -> Column:
+        """The value each role uses, ``empty`` for a role that has none."""
+        out = empty
         for r in roles:
-            name = pick(r)
-            if name is not None:
-                out = F.when(F.col("position_group") == r.label, F.col(name)).otherwise(out)
+            value = pick(r)
+            if value is not None:
+                out = F.when(F.col("position_group") == r.label, value).otherwise(out)
         return out
 
-    extra = lambda name: per_role(lambda r: source[name] if name in r.extras else None)
-    minimum = F.lit(None).cast("long")
-    for r in roles:
-        minimum = F.when(F.col("position_group") == r.label, r.min_volume).otherwise(minimum)
+    nothing = F.lit(None).cast("double")
+    extra = lambda name: per_role(
+        lambda r: known[name] if name in r.extras else None, nothing
+    )
+    minimum = per_role(lambda r: F.lit(r.min_volume), F.lit(None).cast("int"))
     return grouped.filter(F.col("volume") >= minimum).select(
         "gsis_id",
         time,
-        per_role(lambda r: r.metric).alias("metric_raw"),
+        per_role(lambda r: known[r.metric], nothing).alias("metric_raw"),
         "volume",
         extra("success_rate").alias("success_rate"),
         extra("total_epa").alias("total_epa"),

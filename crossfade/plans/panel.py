@@ -27,6 +27,7 @@ def base_metrics(
     roster: DataFrame,
     roles: Sequence[metrics.Role] = metrics.ROLES,
     stage: Stager = unstaged,
+    order_by: Sequence[str] = metrics.EVENT_ORDER,
 ) -> DataFrame:
     """Entity-season metrics with z-scores, experience and age.
 
@@ -34,8 +35,9 @@ def base_metrics(
     aggregated events. ``stage`` writes that table (a small fraction of the
     events) so that the events are scanned for it once.
     """
-    regular = filters.filter_regular(events)
-    table = stage(metrics.role_metrics(regular, roles), "metrics")
+    columns = dict.fromkeys([*filters.EVENT_COLUMNS, *order_by])
+    regular = filters.filter_regular(events, columns=list(columns))
+    table = stage(metrics.role_metrics(regular, roles, order_by=order_by), "metrics")
     scored = windows.zscore_by_season_group(table, stage=stage)
     return joins.join_roster_left(scored, roster_with_age(roster))
 
