@@ -162,13 +162,8 @@ def split_label(
     )
 
 
-def event_flag(flag: Column | str) -> Column:
-    return _col(flag) == 1
-
-
 def trend_slope(y: Column | str, x: Column | str, where: Column) -> Column:
-    """Least-squares slope over the rows of ``where``; one point gives 0.
-
-    NULL when no row qualifies at all. Works as an aggregate or over a window.
+    """Least-squares slope over the rows of ``where``; NULL for fewer than two
+    points. Works as an aggregate or over a window.
     """
     return F.regr_slope(F.when(where, _col(y)), F.when(where, _col(x)))

@@ -26,6 +26,9 @@ def attach(
     """
     require(left, *on)
     require(right, *on)
+    twice = [c for c in right.columns if c not in on and c in left.columns]
+    if twice:
+        raise ValueError(f"columns on both sides: {', '.join(twice)}")
     a, b = left.alias("a"), right.alias("b")
     match = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in on]
     added = [F.col(f"b.{c}") for c in right.columns if c not in on]

@@ -65,10 +65,11 @@ def _selected(
 ) -> DataFrame:
     """Quantiles by repeated narrowing of value ranges.
 
-    Every target rank starts with all distinct values of its group as
-    candidates. A round cuts the candidates into ``FANOUT`` ranges, counts
-    rows per range, and keeps the range that holds the rank. All steps are
-    partially combined aggregates and joins with one row per target.
+    A round cuts the values still in question into ``FANOUT`` ranges, counts
+    rows per range, and keeps the range that holds the wanted rank. The first
+    round is shared by all ranks of a group; later ones work on what is left
+    for each rank. All steps are partially combined aggregates, and joins with
+    one row per rank or range.
     """
     pairs = [
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
@@ -102,48 +103,62 @@ def _selected(
         F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names
     ]
     target = [*keys, "prob", "side"]
-    candidates = (
-        weighted.alias("v")
-        .join(targets.alias("t"), same("v", "t", keys))
-        .select("v.*", "t.prob", "t.side", "t.rank", "t.weight")
-    )
-    grid = [i / FANOUT for i in range(1, FANOUT)]
-    while True:
-        held = candidates.groupBy(*target).agg(F.count(F.lit(1)).alias("n"))
-        if (held.agg(F.max("n")).first()[0] or 0) <= row_limit:
-            break
+
+    def sliced(values: DataFrame, within: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """Values with the number of their range, and row counts per range."""
+        grid = [i / FANOUT for i in range(1, FANOUT)]
         edges = stage(
-            candidates.groupBy(*target).agg(
+            values.groupBy(*within).agg(
                 F.percentile_approx("value", grid, 50 * FANOUT).alias("edges")
             ),
             "edges",
         )
+        below = F.size(F.filter("e.edges", lambda e: e < F.col("c.value")))
         placed = stage(
-            candidates.alias("c")
-            .join(edges.alias("e"), same("c", "e", target))
-            .select("c.*", F.size(F.filter("e.edges", lambda e: e < F.col("c.value"))).alias("slot")),
+            values.alias("c").join(edges.alias("e"), same("c", "e", within)).select(
+                "c.*", below.alias("slot")
+            ),
             "slots",
         )
-        before = Window.partitionBy(*target).orderBy("slot").rowsBetween(
+        before = Window.partitionBy(*within).orderBy("slot").rowsBetween(
             Window.unboundedPreceding, -1
         )
-        chosen = (
-            placed.groupBy(*target, "slot")
-            .agg(F.sum("rows").alias("rows"), F.first("rank").alias("rank"))
-            .withColumn("skipped", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-            .filter(
-                (F.col("rank") >= F.col("skipped"))
-                & (F.col("rank") < F.col("skipped") + F.col("rows"))
-            )
+        counts = placed.groupBy(*within, "slot").agg(F.sum("rows").alias("rows"))
+        skipped = F.coalesce(F.sum("rows").over(before), F.lit(0))
+        return placed, counts.withColumn("skipped", skipped)
+
+    def holding(ranks: DataFrame, counts: DataFrame, within: Sequence[str]) -> DataFrame:
+        """The range of each rank, and the rank inside it."""
+        inside = (F.col("t.rank") >= F.col("h.skipped")) & (
+            F.col("t.rank") < F.col("h.skipped") + F.col("h.rows")
         )
-        candidates = (
-            placed.alias("c")
-            .join(stage(chosen, "chosen").alias("h"), same("c", "h", [*target, "slot"]))
-            .select(
-                *[f"c.{k}" for k in [*keys, "value", "rows", "prob", "side", "weight"]],
-                (F.col("c.rank") - F.col("h.skipped")).alias("rank"),
-            )
+        found = ranks.alias("t").join(counts.alias("h"), same("t", "h", within)).filter(inside)
+        return stage(
+            found.select(
+                *[f"t.{k}" for k in target], "t.weight", "h.slot",
+                (F.col("t.rank") - F.col("h.skipped")).alias("rank"),
+            ),
+            "chosen",
+        )
+
+    def narrowed(placed: DataFrame, chosen: DataFrame, within: Sequence[str]) -> DataFrame:
+        """The values of the chosen ranges, once per rank."""
+        on = same("c", "h", [*within, "slot"])
+        return placed.alias("c").join(chosen.alias("h"), on).select(
+            *[f"c.{k}" for k in [*keys, "value", "rows"]],
+            *[f"h.{k}" for k in ["prob", "side", "weight", "rank"]],
         )
+
+    placed, counts = sliced(weighted, keys)
+    ranks = holding(targets, counts, keys)
+    candidates = narrowed(placed, ranks, keys)
+    while True:
+        held = candidates.groupBy(*target).agg(F.count(F.lit(1)).alias("n"))
+        if (held.agg(F.max("n")).first()[0] or 0) <= row_limit:
+            break
+        placed, counts = sliced(candidates, target)
+        ranks = holding(ranks.drop("slot"), counts, target)
+        candidates = narrowed(placed, ranks, target)
     upto = Window.partitionBy(*target).orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0
     )

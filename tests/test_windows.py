@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from crossfade.operators import windows
 from crossfade.plans import features
