@@ -146,7 +146,7 @@ def fit(
     if not sizes:
         return Model([], codewords(0), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     languages = sorted(sizes)
-    share = F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k])))), "lang")
+    share = F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / sizes[k])))), F.col("lang"))
     sample = rows.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)) | F.col("id").isNull())
     sample = sample.select("text", "lang").distinct()
     at = {lang: i for i, lang in enumerate(languages)}
