@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfade.llm import ann, chat, decontaminate, langid, packing, quality, simhash
+import corpus_pipeline
+from crossfade.llm import ann, chat, decontaminate, langid, licenses, oracles, packing, quality, sharding, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_sharding": oracles.SHARDING, "op6_url_filter": oracles.URL_FILTER}
 
 
 def query(f: Query) -> Query:
@@ -74,3 +75,55 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, whatever its values."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences stated or quoted in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("passage")
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    shards = [f"shard-{i:02d}" for i in range(oracles.SHARDS)]
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), shards, oracles.SLOTS)
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """Pages with a day of 2024 on which each was fetched, from its id."""
+    day = (F.col("page_id") * 37 % 365).cast("int")
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched"))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' own hosts, domains and sections: blocked, allowed, cleared, blocked again."""
+    host, steps = urlfilter.host_of(F.col("url")), urlfilter.steps_of(urlfilter.path_of(F.col("url")))
+    named = pages.select("page_id", host.alias("host"), steps.alias("steps")).filter(F.col("host") != "")
+    domain = F.array_join(F.slice(F.split("host", r"\."), -F.least(F.size(F.split("host", r"\.")), F.lit(2)), 2), ".")
+    pairs = (("host", F.col("host")), ("domain", domain), ("prefix", F.concat("host", F.lit("/"), F.get("steps", F.lit(0)))))
+    patterns = F.array(*(F.struct(F.lit(scope).alias("scope"), pattern.alias("pattern")) for scope, pattern in pairs))
+    first = named.select("page_id", F.inline(patterns)).filter(F.col("pattern").isNotNull()).groupBy("scope", "pattern").agg(F.min("page_id").alias("f"))
+    day, always = F.col("f") * 7 % 300, F.col("scope") == "domain"
+    starts = F.when((F.col("scope") == "host") & (F.col("f") % 3 == 1), "allow").otherwise("block")
+    entries = (
+        (always | (F.col("f") % 3 < 2), starts, day),
+        (always | (F.col("f") % 6 < 2), F.lit("clear"), day + 50),
+        (F.col("f") % 5 == 0, F.lit("block"), day + 110),
+    )
+    dated = F.array(*(F.struct(F.when(when, action).alias("action"), on.alias("day")) for when, action, on in entries))
+    rows = first.select("scope", "pattern", F.inline(dated)).filter(F.col("action").isNotNull())
+    return rows.select("scope", "pattern", "action", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int")).alias("effective"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list as it was when the page was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.evaluate(_captures(pages), _entries(pages))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
