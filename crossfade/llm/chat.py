@@ -182,7 +182,7 @@ def _parse(template: Template, texts: Iterator[str]) -> Iterator[tuple[str, str]
     """``(role, text)`` of a formatted conversation that comes in parts."""
     marks = list(template.turns.items())
     opening, named, closing = template.other
-    buffer = ""
+    buffer, longest = "", max(len(o) for o in [opening, *(o for _, (o, _) in marks)])
 
     def more(until: str, at: int) -> int:
         """Where ``until`` starts, reading on until it is there."""
@@ -193,11 +193,10 @@ def _parse(template: Template, texts: Iterator[str]) -> Iterator[tuple[str, str]
         return found
 
     while True:
-        while not buffer:
-            try:
-                buffer = next(texts)
-            except StopIteration:
-                return
+        while len(buffer) < longest and (part := next(texts, None)) is not None:
+            buffer += part
+        if not buffer:
+            return
         role = next((r for r, (o, _) in marks if buffer.startswith(o)), None)
         if role is not None:
             begin, end_mark = len(template.turns[role][0]), template.turns[role][1]

@@ -117,6 +117,21 @@ def anchors(template: list[str], least: float) -> set[str]:
     return chosen
 
 
+def settle(candidates: list[tuple[str, tuple[float, int, int]]]) -> dict[str, tuple[float, int, int]]:
+    """The best passage of each licence, of passages that don't overlap a better one.
+
+    Better is the greater coefficient, then the earlier and the shorter
+    passage, then the licence's name: similar licences don't share a passage.
+    """
+    taken: list[tuple[int, int]] = []
+    best: dict[str, tuple[float, int, int]] = {}
+    for name, (dice, start, end) in sorted(candidates, key=lambda c: (-c[1][0], c[1][1], c[1][2], c[0])):
+        if all(end <= a or b <= start for a, b in taken):
+            taken.append((start, end))
+            best.setdefault(name, (dice, start, end))
+    return best
+
+
 class Scanner:
     """The templates, ready to be looked for."""
 
@@ -140,7 +155,7 @@ class Scanner:
         self._most = max(high for _, high in self._bounds)
 
     def scan(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """Licence: ``(coefficient, start, end)`` of the passage most like one of its templates."""
+        """Licence: ``(coefficient, start, end)`` of the passage most like one of its templates; see :func:`settle`."""
         low = text.lower()
         if next(self._anchors.iter(low), None) is None:
             return {}
@@ -148,18 +163,14 @@ class Scanner:
         content = [words(text[a:b]) for a, b in spans]
         before = [0, *accumulate(map(len, content))]
         marked = [i for i, c in enumerate(content) if any(next(self._anchors.iter(w), None) for w in c)]
-        best: dict[str, tuple[float, int, int]] = {}
+        candidates = []
         for first in range(len(spans)):
             nearest = bisect_left(marked, first)
             if nearest == len(marked):
                 break
             if content[first] and before[marked[nearest]] - before[first] <= self._most:
-                for name, found in self._from(spans, content, first):
-                    known = best.get(name)
-                    # the greater coefficient, then the earlier and the shorter passage
-                    if known is None or (-found[0], found[1], found[2]) < (-known[0], known[1], known[2]):
-                        best[name] = found
-        return best
+                candidates += self._from(spans, content, first)
+        return settle(candidates)
 
     def _from(self, spans, content, first: int) -> Iterator[tuple[str, tuple[float, int, int]]]:
         """Passages that start with unit ``first``."""
@@ -196,8 +207,8 @@ def scan(
     """``(doc_id, license, dice, start, end, passage)``: the licences found in each document.
 
     One row per document and licence, with the passage most like one of the
-    licence's templates (ties: the earlier, then the shorter one) and its code
-    points in the text. NULL and empty texts, and those without a licence, give
+    licence's templates and its code points in the text; a passage belongs to
+    the licence it is most like (:func:`settle`). NULL and empty texts, and those without a licence, give
     no row; repeated rows and NULL ids are scanned like any other. Whole texts
     count. An empty table gives no rows.
     """
