@@ -51,7 +51,10 @@ class MixedModel:
     slope: str | None
     phase: str | None
     entities: DataFrame = field(repr=False)
+    scaled_beta: np.ndarray  # of the centred and scaled values that ``entities`` sums
+    unit: float  # of y in these
     evaluations: int = 0
+    converged: bool = True
 
     @property
     def covariance(self) -> np.ndarray:
@@ -89,6 +92,35 @@ def _design(
     return selected.dropna()
 
 
+def _centres(rows: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of x1.. and y, in this order; a constant has deviation 1."""
+    names = [f"x{k}" for k in range(1, p)] + ["y"]
+    out = [f"avg({n}) AS m{i}" for i, n in enumerate(names)]
+    out += [f"stddev_pop({n}) AS s{i}" for i, n in enumerate(names)]
+    row = rows.agg(*map(F.expr, out)).first()
+    if row["m0"] is None:
+        raise ValueError("no complete rows to fit")
+    mean = np.array([row[f"m{i}"] for i in range(p)])
+    deviation = np.array([row[f"s{i}"] for i in range(p)])
+    # what is left of a constant after rounding is no spread
+    flat = ~(deviation > 1e-12 * np.abs(mean))
+    return mean, np.where(flat, 1.0, deviation)
+
+
+def _centred(rows: DataFrame, mean: np.ndarray, deviation: np.ndarray) -> DataFrame:
+    """x1.. and y around their means, in units of their deviations.
+
+    Sums of products of large values would otherwise lose what they differ by.
+    """
+    names = [f"x{k}" for k in range(1, len(mean))] + ["y"]
+    return rows.withColumns(
+        {
+            n: (F.col(n) - F.lit(float(m))) / F.lit(float(d))
+            for n, m, d in zip(names, mean, deviation)
+        }
+    )
+
+
 def _entity_statistics(
     rows: DataFrame, p: int, slope: bool, phases: int
 ) -> DataFrame:
@@ -200,9 +232,12 @@ def nelder_mead(
     step: float = 0.4,
     tol: float = 1e-10,
     limit: int = 4000,
-) -> tuple[np.ndarray, float]:
-    """Minimum of a function of few variables without derivatives."""
-    n = len(start)
+) -> tuple[np.ndarray, float, bool]:
+    """Minimum of a function of few variables without derivatives.
+
+    The third result says whether it settled within ``limit`` rounds.
+    """
+    n, settled = len(start), False
     points = [np.array(start, float)]
     for i in range(n):
         shifted = np.array(start, float)
@@ -214,6 +249,7 @@ def nelder_mead(
         points, values = [points[i] for i in order], [values[i] for i in order]
         spread = max(np.abs(x - points[0]).max() for x in points[1:])
         if values[-1] - values[0] <= tol * (abs(values[0]) + tol) and spread < 1e-6:
+            settled = True
             break
         centre = np.mean(points[:-1], axis=0)
         reflected = centre + (centre - points[-1])
@@ -235,7 +271,7 @@ def nelder_mead(
                 points = [best] + [best + 0.5 * (x - best) for x in points[1:]]
                 values = [values[0]] + [f(x) for x in points[1:]]
     best = int(np.argmin(values))
-    return points[best], values[best]
+    return points[best], values[best], settled
 
 
 def _unpack(theta: np.ndarray, q: int, phases: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,10 +294,14 @@ def fit_lmm(
     """REML fit of y on the named fixed terms (an intercept is added).
 
     ``slope`` adds a random slope in that column to the random intercept;
-    ``phase`` (0/1) gives each phase its own residual variance.
+    ``phase`` (0/1) gives each phase its own residual variance. The fit works
+    on centred and scaled values, so it does not depend on the units or the
+    origin of y and the fixed terms; a fit that doesn't converge is an error.
     """
     p, q, phases = len(fixed) + 1, 2 if slope else 1, 2 if phase else 1
     rows = _design(df, y, fixed, entity, slope, phase)
+    mean, deviation = _centres(rows, p)
+    rows = _centred(rows, mean, deviation)
     totals = _total_products(rows, p, phases)
     entities = stage(_entity_statistics(rows, p, bool(slope), phases), "entities")
     table = _pattern_table(entities, p, q, phases)
@@ -310,17 +350,27 @@ def fit_lmm(
     start[0] = 0.5
     if q == 2:
         start[2] = 0.3
-    theta, _ = nelder_mead(objective, start)
-    theta, _ = nelder_mead(objective, theta, step=0.1)
+    theta, _, _ = nelder_mead(objective, start)
+    theta, _, converged = nelder_mead(objective, theta, step=0.1)
     solved = solve(theta)
     if solved is None:
         raise ValueError("the fixed terms are linearly dependent")
-    deviance, beta, left, sigma2 = solved
+    if not converged:
+        raise ValueError("the variance parameters did not converge")
+    deviance, scaled_beta, left, scaled_sigma2 = solved
     factor, weights = _unpack(theta, q, phases)
+    # back to the units of the data: b = back b' + (mean of y)
+    unit = float(deviation[-1])
+    back = np.diag(np.append(1.0, 1.0 / deviation[:-1]))
+    back[0, 1:] = -mean[:-1] / deviation[:-1]
+    beta = unit * back @ scaled_beta
+    beta[0] += mean[-1]
+    sigma2 = unit * unit * scaled_sigma2
+    deviance += (n_rows - p) * 2 * math.log(unit) + 2 * float(np.log(deviation[:-1]).sum())
     return MixedModel(
         names=["(Intercept)", *fixed],
         beta=beta,
-        cov_beta=sigma2 * np.linalg.inv(left),
+        cov_beta=sigma2 * back @ np.linalg.inv(left) @ back.T,
         sigma2=float(sigma2),
         factor=factor,
         weights=weights,
@@ -333,7 +383,10 @@ def fit_lmm(
         slope=slope,
         phase=phase,
         entities=entities,
+        scaled_beta=scaled_beta,
+        unit=unit,
         evaluations=calls,
+        converged=converged,
     )
 
 
@@ -394,9 +447,9 @@ def random_effects(model: MixedModel) -> DataFrame:
         value = weighted(lambda g, a=a: f"u_{g}_{a}_{p}")
         for k in range(p):
             value = value - weighted(lambda g, a=a, k=k: f"u_{g}_{a}_{k}") * F.lit(
-                float(model.beta[k])
+                float(model.scaled_beta[k])
             )
-        residual.append(value)
+        residual.append(value * F.lit(model.unit))
     zz = {
         (a, b): weighted(lambda g, a=a, b=b: f"zz_{g}_{a}{b}")
         for a in range(q)

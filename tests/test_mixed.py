@@ -187,3 +187,33 @@ def test_anova(spark):
     assert (row.n_entities, row.n_rows) == (2, 4)
     assert row.ms_between == pytest.approx(25) and row.ms_within == pytest.approx(2)
     assert row.icc == pytest.approx(11.5 / 13.5)
+
+
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e6, 1.0), (1e8, 1.0), (-3e4, 1e4), (5.0, 1e-4)])
+def test_fit_does_not_depend_on_origin_and_unit(spark, shift, scale):
+    rng = np.random.default_rng(8)
+    rows = [
+        (f"e{e}", float(t), float(a), float(1 + 0.3 * t - 0.2 * a + u + v * t + rng.normal() * 0.5))
+        for e in range(60)
+        for u, v in [rng.normal(size=2) * (1.0, 0.3)]
+        for t, a in zip((-2, -1, 0, 1.5, 2.25), rng.normal(25, 4, 5))
+    ]
+    df = spark.createDataFrame(rows, "gsis_id string, t double, a double, y double")
+    fixed = {"a": F.col("a"), "t": F.col("t")}
+    plain = mixed.fit_lmm(df, "y", fixed, slope="t")
+    moved = df.withColumns({"y": F.col("y") * scale + shift, "a": F.col("a") * scale + shift})
+    other = mixed.fit_lmm(moved, "y", fixed, slope="t")
+    assert other.converged and other.evaluations < 2000
+    rel = 1e-5 if shift < 1e8 else 1e-4  # a double keeps 8 digits of y behind the point
+    assert other.sigma2 / scale**2 == pytest.approx(plain.sigma2, rel=rel)
+    assert np.allclose(other.covariance / scale**2, plain.covariance, rtol=50 * rel, atol=1e-6)
+    assert other.beta[1:] * (1, 1 / scale) == pytest.approx(plain.beta[1:], rel=50 * rel, abs=1e-6)
+    ours, theirs = (
+        {r.gsis_id: r.intercept for r in mixed.random_effects(m).collect()} for m in (plain, other)
+    )
+    assert all(theirs[e] / scale == pytest.approx(ours[e], abs=1e-3) for e in ours)
+
+
+def test_no_rows_is_an_error(spark):
+    with pytest.raises(ValueError):
+        mixed.fit_lmm(spark.createDataFrame([], "gsis_id string, y double"), "y", {})
