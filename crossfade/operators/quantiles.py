@@ -1,10 +1,11 @@
 """Exact and approximate quantiles.
 
-Spark's ``percentile`` keeps every distinct value of a group in one hash map.
-That is right for groups of a known small size and wrong for a column of a
-large table. ``quantiles`` counts first: small groups use ``percentile``, large
-ones a distributed selection that never holds more than a bounded number of
-values in one task and gives the same numbers.
+Spark's ``percentile`` keeps every distinct value of a group in one hash map,
+which a large column doesn't fit. Here equal values are counted first, the
+counts are sorted by range, so that a large group is spread over many tasks,
+and each task adds the counts of the tasks before it. The rows that hold the
+wanted ranks are all that is left. One plan serves every size, and the numbers
+are those of ``percentile``.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 
 from crossfade.sources.staging import stage
 
-CELL_LIMIT = 4_000_000
-FANOUT = 64
-
 
 def quantiles(
     df: DataFrame,
@@ -26,165 +24,85 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     exact: bool = True,
-    cell_limit: int = CELL_LIMIT,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per group; each column becomes the array of its quantiles.
 
-    Linear interpolation between order statistics, NULLs left out.
-    ``cell_limit`` bounds the values (rows of the largest group times columns)
-    that one task may hold. With ``exact=False`` the mergeable sketch of
-    ``percentile_approx`` is used.
+    Linear interpolation between order statistics, NULLs left out; a column
+    without a value in a group has a NULL there. With ``exact=False`` the
+    mergeable sketch of ``percentile_approx`` is used, without a stage table.
     """
-    points = F.array(*[F.lit(float(p)) for p in probs])
     if not exact:
         sketches = [
             F.percentile_approx(F.col(c).cast("double"), list(map(float, probs)), accuracy).alias(c)
             for c in columns
         ]
         return df.groupBy(*by).agg(*sketches)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest * len(columns) <= cell_limit:
-        return df.groupBy(*by).agg(*[F.percentile(c, points).alias(c) for c in columns])
-    return _selected(df, columns, probs, by, cell_limit)
-
-
-def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **options) -> DataFrame:
-    """Median per group and column."""
-    halves = quantiles(df, columns, [0.5], by, **options)
-    return halves.select(*by, *[F.col(c)[0].alias(c) for c in columns])
-
-
-def _selected(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str],
-    row_limit: int,
-) -> DataFrame:
-    """Quantiles by repeated narrowing of value ranges.
-
-    A round cuts the values still in question into ``FANOUT`` ranges, counts
-    rows per range, and keeps the range that holds the wanted rank. The first
-    round is shared by all ranks of a group; later ones work on what is left
-    for each rank. All steps are partially combined aggregates, and joins with
-    one row per rank or range.
-    """
+    keys = [*by, "_column"]
     pairs = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-        for c in columns
+        F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value"))
+        for i, c in enumerate(columns)
     ]
-    keys = [*by, "column"]
-    weighted = stage(
-        df.select(*by, F.inline(F.array(*pairs)))
-        .filter(F.col("value").isNotNull())
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("rows")),
-        "values",
+    counted = df.select(*by, F.inline(F.array(*pairs))).groupBy(*keys, "_value")
+    counted = counted.agg(F.count(F.lit(1)).alias("_rows"))
+    # the id of a row holds its task above bit 33
+    ordered = counted.orderBy(*keys, "_value").withColumn(
+        "_task", F.shiftright(F.monotonically_increasing_id(), 33)
     )
-    totals = weighted.groupBy(*keys).agg(F.sum("rows").alias("n"))
-    ranks = []
+    ordered = stage(ordered, "values")
+    values = ordered.filter(F.col("_value").isNotNull())
+    sums = values.groupBy(*keys, "_task").agg(F.sum("_rows").alias("_sum"))
+    of_key = Window.partitionBy(*keys)
+    earlier = of_key.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *keys, "_task",
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(of_key).alias("_n"),
+    )
+    in_task = Window.partitionBy(*keys, "_task").orderBy("_value")
+    upto = F.sum("_rows").over(in_task.rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_task"]]
+    placed = values.withColumn("_upto", upto).alias("v").join(starts.alias("s"), same)
+    placed = placed.select("v.*", "s._n", (F.col("_before") + F.col("_upto")).alias("_end"))
+    targets = []
     for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n") - 1)
+        place = F.lit(float(p)) * (F.col("_n") - 1)
         for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            ranks.append(
+            targets.append(
                 F.struct(
-                    F.lit(i).alias("prob"),
-                    F.lit(side).alias("side"),
-                    rank.cast("long").alias("rank"),
-                    (place - F.floor(place)).alias("weight"),
-                )
+                    F.lit(i).alias("prob"), F.lit(side).alias("side"),
+                    place.alias("place"), rank.alias("rank"),
+                )
             )
-    # One row per target in these tables: written, so that their joins to the
-    # values know how small they are.
-    targets = stage(totals.select(*keys, F.inline(F.array(*ranks))), "targets")
-    same = lambda a, b, names: [
-        F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names
-    ]
-    target = [*keys, "prob", "side"]
-
-    def sliced(values: DataFrame, within: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Values with the number of their range, and row counts per range."""
-        grid = [i / FANOUT for i in range(1, FANOUT)]
-        edges = stage(
-            values.groupBy(*within).agg(
-                F.percentile_approx("value", grid, 50 * FANOUT).alias("edges")
-            ),
-            "edges",
-        )
-        below = F.size(F.filter("e.edges", lambda e: e < F.col("c.value")))
-        placed = stage(
-            values.alias("c").join(edges.alias("e"), same("c", "e", within)).select(
-                "c.*", below.alias("slot")
-            ),
-            "slots",
-        )
-        before = Window.partitionBy(*within).orderBy("slot").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        counts = placed.groupBy(*within, "slot").agg(F.sum("rows").alias("rows"))
-        skipped = F.coalesce(F.sum("rows").over(before), F.lit(0))
-        return placed, counts.withColumn("skipped", skipped)
-
-    def holding(ranks: DataFrame, counts: DataFrame, within: Sequence[str]) -> DataFrame:
-        """The range of each rank, and the rank inside it."""
-        inside = (F.col("t.rank") >= F.col("h.skipped")) & (
-            F.col("t.rank") < F.col("h.skipped") + F.col("h.rows")
-        )
-        found = ranks.alias("t").join(counts.alias("h"), same("t", "h", within)).filter(inside)
-        return stage(
-            found.select(
-                *[f"t.{k}" for k in target], "t.weight", "h.slot",
-                (F.col("t.rank") - F.col("h.skipped")).alias("rank"),
-            ),
-            "chosen",
-        )
-
-    def narrowed(placed: DataFrame, chosen: DataFrame, within: Sequence[str]) -> DataFrame:
-        """The values of the chosen ranges, once per rank."""
-        on = same("c", "h", [*within, "slot"])
-        return placed.alias("c").join(chosen.alias("h"), on).select(
-            *[f"c.{k}" for k in [*keys, "value", "rows"]],
-            *[f"h.{k}" for k in ["prob", "side", "weight", "rank"]],
-        )
-
-    placed, counts = sliced(weighted, keys)
-    ranks = holding(targets, counts, keys)
-    candidates = narrowed(placed, ranks, keys)
-    while True:
-        held = candidates.groupBy(*target).agg(F.count(F.lit(1)).alias("n"))
-        if (held.agg(F.max("n")).first()[0] or 0) <= row_limit:
-            break
-        placed, counts = sliced(candidates, target)
-        ranks = holding(ranks.drop("slot"), counts, target)
-        candidates = narrowed(placed, ranks, target)
-    upto = Window.partitionBy(*target).orderBy("value").rowsBetween(
-        Window.unboundedPreceding, 0
+    held = F.filter(
+        F.array(*targets),
+        lambda t: (t["rank"] < F.col("_end")) & (t["rank"] >= F.col("_end") - F.col("_rows")),
     )
-    found = (
-        candidates.withColumn("upto", F.sum("rows").over(upto))
-        .filter(
-            (F.col("rank") < F.col("upto"))
-            & (F.col("rank") >= F.col("upto") - F.col("rows"))
-        )
-        .groupBy(*keys, "prob")
-        .agg(
-            F.max(F.when(F.col("side") == "low", F.col("value"))).alias("low"),
-            F.max(F.when(F.col("side") == "high", F.col("value"))).alias("high"),
-            F.max("weight").alias("weight"),
-        )
-        .withColumn(
-            "q", F.col("low") + F.col("weight") * (F.col("high") - F.col("low"))
-        )
+    found = placed.select(*keys, "_value", F.inline(held)).groupBy(*keys, "prob").agg(
+        F.max(F.when(F.col("side") == "low", F.col("_value"))).alias("low"),
+        F.max(F.when(F.col("side") == "high", F.col("_value"))).alias("high"),
+        F.max("place").alias("place"),
     )
+    between = (F.ceil("place") - F.col("place")) * F.col("low") + (
+        F.col("place") - F.floor("place")
+    ) * F.col("high")
+    quantile = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(between)
+    found = found.select(*keys, "prob", quantile.alias("q"))
+    # groups without any value have a row as well
+    groups = ordered.filter(F.col("_value").isNull()).select(*keys).distinct()
+    found = found.unionByName(groups.withColumns({"prob": F.lit(-1), "q": F.lit(None).cast("double")}))
+    one = lambda c, i: (F.col("_column") == c) & (F.col("prob") == i)
     picks = [
-        F.array(
-            *[
-                F.max(F.when((F.col("column") == c) & (F.col("prob") == i), F.col("q")))
-                for i in range(len(probs))
-            ]
-        ).alias(c)
-        for c in columns
+        F.when(
+            F.count(F.when(one(c, 0), 1)) > 0,
+            F.array(*[F.max(F.when(one(c, i), F.col("q"))) for i in range(len(probs))]),
+        ).alias(name)
+        for c, name in enumerate(columns)
     ]
     return found.groupBy(*by).agg(*picks)
+
+
+def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **options) -> DataFrame:
+    """Median per group and column."""
+    halves = quantiles(df, columns, [0.5], by, **options)
+    return halves.select(*by, *[F.col(c)[0].alias(c) for c in columns])

@@ -141,10 +141,13 @@ def position_post_indicators(
     return [(hit(p) * F.col(post)).alias(f"{p}_post") for p in positions]
 
 
-def first_positions(df: DataFrame, n: int = 4) -> list[str]:
-    """The first groups in sorted order (a top-k over the distinct labels)."""
+def first_positions(df: DataFrame, n: int | None = None) -> list[str]:
+    """The groups in sorted order: all of them, or the first ``n``.
+
+    Each becomes a column, so these are labels of which there are few.
+    """
     rows = df.select("position_group").distinct().dropna().orderBy("position_group")
-    return [r[0] for r in rows.limit(n).collect()]
+    return [r[0] for r in (rows if n is None else rows.limit(n)).collect()]
 
 
 def interaction_features(df: DataFrame, positions: Sequence[str] | None = None) -> DataFrame:

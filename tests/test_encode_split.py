@@ -139,9 +139,10 @@ def test_time_split_covers_all_rows(spark):
     assert labels == ["train", "validation", "validation", "test", "test"]
 
 
-def test_position_indicators_are_sorted_and_at_most_four(spark):
+def test_position_indicators_are_sorted_and_for_all_groups(spark):
     df = spark.createDataFrame([(p,) for p in "edcba"] + [(None,)], "position_group string")
-    assert features.first_positions(df) == ["a", "b", "c", "d"]
+    assert features.first_positions(df) == ["a", "b", "c", "d", "e"]
+    assert features.first_positions(df, 2) == ["a", "b"]
 
 
 def test_unknown_modes_are_refused(spark):

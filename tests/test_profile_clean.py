@@ -1,4 +1,5 @@
 import random
+import statistics
 
 import pytest
 
@@ -68,8 +69,7 @@ def test_describe_by_sketch_and_by_selection(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(rng.random(),) for _ in range(500)], "x double")
     exact = profile.describe_numeric(df).first()
-    small = profile.describe_numeric(df, cell_limit=20).first()
-    assert list(exact)[1:] == pytest.approx(list(small)[1:])
+    assert exact.q25 == pytest.approx(statistics.quantiles([r.x for r in df.collect()], n=4, method="inclusive")[0])
     sketch = profile.describe_numeric(df, exact=False).first()
     assert sketch.q25 == pytest.approx(exact.q25, abs=0.01)
 
