@@ -37,22 +37,55 @@ def _fixed_width(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, kinds)
 
 
-# The metric definitions a role may use, as aggregates over its events.
+VALUES = ("yards_gained", "epa", "success")
+
+
+def _mean(value: str) -> Column:
+    return F.try_divide(F.col(f"sum_{value}"), F.col(f"n_{value}"))
+
+
+# The metric definitions a role may use, from sums and counts of its events.
 METRICS = {
     # mean over known values
-    "mean_yards": lambda: F.avg("yards_gained"),
+    "mean_yards": lambda: _mean("yards_gained"),
     # sum over known values by the count of all events
-    "yards_per_event": lambda: F.coalesce(F.sum("yards_gained"), F.lit(0.0))
-    / F.count(F.lit(1)),
-    "mean_epa": lambda: F.avg("epa"),
+    "yards_per_event": lambda: F.coalesce(F.col("sum_yards_gained"), F.lit(0.0)) / F.col("volume"),
+    "mean_epa": lambda: _mean("epa"),
 }
 EXTRAS = {
-    "success_rate": lambda: F.avg("success"),
-    "metric_secondary": lambda: F.avg("success"),
-    "total_epa": lambda: F.coalesce(F.sum("epa"), F.lit(0.0)),
+    "success_rate": lambda: _mean("success"),
+    "metric_secondary": lambda: _mean("success"),
+    "total_epa": lambda: F.coalesce(F.col("sum_epa"), F.lit(0.0)),
 }
 
 
+def _by_unit(
+    events: DataFrame, keys: Sequence[str], unit: str, order_by: Sequence[str] = EVENT_ORDER
+) -> DataFrame:
+    """Volume, sums and counts by ``keys``, and the unit of the last event as ``team``.
+
+    A string or a struct in an aggregation buffer would make Spark sort the
+    events. So they are summed first by unit and by all of the order but its
+    last part, of which the greatest is a plain value: a hash aggregation. What
+    is left, one row per key, unit and game, is reduced to the keys.
+    """
+    values = [v for v in VALUES if v in events.columns]
+    sums = [
+        F.count(F.lit(1)).alias("volume"),
+        *[F.sum(v).alias(f"sum_{v}") for v in values],
+        *[F.count(v).alias(f"n_{v}") for v in values],
+    ]
+    *first, last = order_by
+    if _fixed_width(events, last):
+        by_unit = events.groupBy(*keys, unit, *first).agg(*sums, F.max(last).alias(last))
+    else:
+        by_unit = events.groupBy(*keys, unit, *order_by).agg(*sums)
+    names = ["volume", *[f"{kind}_{v}" for kind in ("sum", "n") for v in values]]
+    return by_unit.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in names], last_by(unit, order_by).alias("team")
+    )
+
+
 @dataclass(frozen=True)
 class Role:
     """How the events of one group are selected and summarised."""
@@ -90,15 +123,15 @@ def efficiency(
 ) -> DataFrame:
     """One role's table: one row per (entity, season) with enough events."""
     require(events, time, unit, role.player_id, *order_by)
-    table = (
-        filter_role(events, role.attempts, role.player_id)
-        .groupBy(role.player_id, time)
-        .agg(
-            METRICS[role.metric]().alias("metric_raw"),
-            F.count(F.lit(1)).alias("volume"),
-            *[EXTRAS[name]().alias(name) for name in role.extras],
-            last_by(unit, order_by).alias("team"),
-        )
+    rows = filter_role(events, role.attempts, role.player_id)
+    grouped = _by_unit(rows, [role.player_id, time], unit, order_by)
+    table = grouped.select(
+        role.player_id,
+        time,
+        METRICS[role.metric]().alias("metric_raw"),
+        "volume",
+        *[EXTRAS[name]().alias(name) for name in role.extras],
+        "team",
     )
     table = having_min_volume(table, role.min_volume)
     return project_role(table, role.label, role.player_id)
@@ -122,7 +155,8 @@ def last_team(
     unit: str = "posteam",
     order_by: Sequence[str] = EVENT_ORDER,
 ) -> DataFrame:
-    return events.groupBy(*keys).agg(last_by(unit, order_by).alias("team"))
+    """The unit of each key's last event; see :func:`_by_unit`."""
+    return _by_unit(events, keys, unit, order_by).select(*keys, "team")
 
 
 def union_positions(*tables: DataFrame) -> DataFrame:
@@ -143,12 +177,7 @@ def role_metrics(
     pairs are aggregated together. Equal to the union of ``efficiency`` over
     the roles, which would scan and shuffle the events once per role.
 
-    The last unit decides how Spark aggregates: a string or a struct in the
-    aggregation buffer makes it sort the events on both sides of the shuffle.
-    If ``order_by`` is one number, date or timestamp, the events are summed by
-    unit as well, with the greatest order as a plain value: that is a hash
-    aggregation, and only one row per entity, season, group and unit is left
-    to choose the last unit from.
+    Events are hash-aggregated; see :func:`_by_unit`.
     """
     require(events, time, unit, *order_by, *[r.player_id for r in roles])
     pairs = [
@@ -158,35 +187,14 @@ def role_metrics(
         )
         for r in roles
     ]
-    values = ("yards_gained", "epa", "success")
     # A plain array stays in generated code; a lambda to drop the empty pairs
     # before the expansion would not.
     expanded = events.select(
-        time, unit, *order_by, *values, F.inline(F.array(*pairs))
+        time, unit, *order_by, *VALUES, F.inline(F.array(*pairs))
     ).filter(F.col("gsis_id").isNotNull())
     keys = ("gsis_id", time, "position_group")
-    sums = [
-        F.count(F.lit(1)).alias("volume"),
-        *[F.sum(v).alias(f"sum_{v}") for v in values],
-        *[F.count(v).alias(f"n_{v}") for v in values],
-    ]
-    if len(order_by) == 1 and _fixed_width(events, order_by[0]):
-        by_unit = expanded.groupBy(*keys, unit).agg(*sums, F.max(order_by[0]).alias("_last"))
-        names = ["volume", *[f"{kind}_{v}" for kind in ("sum", "n") for v in values]]
-        grouped = by_unit.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in names], last_by(unit, ["_last"]).alias("team")
-        )
-    else:
-        grouped = expanded.groupBy(*keys).agg(*sums, last_by(unit, order_by).alias("team"))
-    mean = lambda v: F.try_divide(F.col(f"sum_{v}"), F.col(f"n_{v}"))
-    known = {
-        "mean_yards": mean("yards_gained"),
-        "yards_per_event": F.coalesce(F.col("sum_yards_gained"), F.lit(0.0)) / F.col("volume"),
-        "mean_epa": mean("epa"),
-        "success_rate": mean("success"),
-        "metric_secondary": mean("success"),
-        "total_epa": F.coalesce(F.col("sum_epa"), F.lit(0.0)),
-    }
+    grouped = _by_unit(expanded, keys, unit, order_by)
+    known = {name: make() for name, make in {**METRICS, **EXTRAS}.items()}
 
     def per_role(pick, empty) -> Column:
         """The value each role uses, ``empty`` for a role that has none."""
