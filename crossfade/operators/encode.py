@@ -249,11 +249,17 @@ def orthogonal_poly2(
     fitted: Mapping[str, float] | None = None,
     out: Sequence[str] = ("age_poly1", "age_poly2"),
 ) -> DataFrame:
-    """Orthonormal linear and quadratic terms of a column."""
+    """Orthonormal linear and quadratic terms of a column.
+
+    A column needs three different values to have both.
+    """
     p = fitted or fit_orthogonal_poly2(df, column)
     n, s2, s3, s4 = p["n"], p["s2"], p["s3"], p["s4"]
+    left = s4 - s2 * s2 / n - s3 * s3 / s2 if n and s2 else 0.0
+    if not left > 1e-12 * (s4 or 0.0):
+        raise ValueError(f"{column} has fewer than three different values")
     c = F.col(column) - F.lit(p["mean"])
-    size = (s4 - s2 * s2 / n - s3 * s3 / s2) ** 0.5
+    size = left**0.5
     return df.withColumns(
         {
             out[0]: c / F.lit(s2**0.5),

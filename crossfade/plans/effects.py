@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from crossfade.models import mixed
 from crossfade.operators.encode import orthogonal_poly2
 
-COMPLETE = ("z_score", "age", "years_exp", "team_quality")
-
 
 def model_rows(panel: DataFrame) -> DataFrame:
     """Panel rows with an age, and the orthogonal age terms over them."""

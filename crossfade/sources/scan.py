@@ -105,15 +105,15 @@ def scan_parquet(
 def scan_events(
     spark: SparkSession, path: str, seasons: Iterable[int] | None = None
 ) -> DataFrame:
-    """Event table, optionally for a list of seasons."""
-    return scan_parquet(spark, path, EVENT_SCHEMA, seasons)
+    """Event table, optionally for a list of seasons; NaN is NULL."""
+    return nan_to_null(scan_parquet(spark, path, EVENT_SCHEMA, seasons))
 
 
 def scan_roster(
     spark: SparkSession, path: str, seasons: Iterable[int] | None = None
 ) -> DataFrame:
-    """Entity-season dimension."""
-    return scan_parquet(spark, path, ROSTER_SCHEMA, seasons)
+    """Entity-season dimension; NaN is NULL."""
+    return nan_to_null(scan_parquet(spark, path, ROSTER_SCHEMA, seasons))
 
 
 def scan_panel_parquet(spark: SparkSession, path: str) -> DataFrame:

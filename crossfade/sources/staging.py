@@ -14,7 +14,6 @@ hot keys, and nothing is broadcast on trust.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,15 +28,17 @@ def unstaged(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only in local mode."""
+    """The checkpoint folder of the session.
+
+    Where ``spark.checkpoint.dir`` is unset it is a folder of the warehouse,
+    which executors share as well.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="crossfade-")
-    context.setCheckpointDir(folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 

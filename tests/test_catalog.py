@@ -13,7 +13,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
 # Boosting takes a hundred rounds; its pieces are tested in test_regressors.
 BOOSTED = {
     "gradient_boosting", "boosting_depth6", "model_comparison", "rank_models", "predictions",
