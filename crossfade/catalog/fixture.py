@@ -16,9 +16,21 @@ from pyspark.sql import functions as F
 
 from crossfade.operators import metrics
 from crossfade.plans import panel as P
+from crossfade.sources.scan import PANEL_SCHEMA
 from crossfade.sources.staging import stage
 
 SEASONS = range(1995, 2002)
+# Columns of the panel by use: all numbers but the season, all labels of moves, and what has few values.
+MEASURES = tuple(
+    f.name
+    for f in PANEL_SCHEMA.fields
+    if f.name != "season" and f.dataType.simpleString() != "string"
+)
+LABELS = ("team", "prev_team")
+CATEGORIES = (
+    "position_group", "team", "prev_team", "new_team", "phase", "season", "changed_team",
+    "post_transition", "rel_time", "years_since_change", "transition_season",
+)
 # Not a round number: means of exact decimals could end in a 5 right after the
 # last place kept, where two engines round to different sides.
 EPA_SCALE = 1234.567
@@ -95,13 +107,16 @@ def events(
     )
 
 
-def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (supplier, season), with gaps."""
+def roster(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """One row per (supplier, season); with ``gaps`` some are missing, for the join."""
+    missing = F.lit(gaps) & (
+        (F.col("s_nationkey") == 24)
+        | ((F.col("s_nationkey") % 10 == 3) & (F.col("season") == 1997))
+    )
     nation, balance = F.col("s_nationkey"), F.col("s_acctbal")
     years = F.sequence(F.lit(SEASONS[0]), F.lit(SEASONS[-1]))
     return (
         spark.read.parquet(f"{sf_dir}/supplier.parquet")
-        .filter(nation != 24)
         .select(
             F.col("s_suppkey").cast("string").alias("gsis_id"),
             nation,
@@ -110,7 +125,7 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
             F.explode(years).alias("season"),
         )
-        .filter(~((nation % 10 == 3) & (F.col("season") == 1997)))
+        .filter(~missing)
         .select(
             "gsis_id",
             "season",
@@ -137,7 +152,7 @@ def base(spark: SparkSession, sf_dir: str, variant: str = "flags") -> DataFrame:
         spark,
         ("base", variant, sf_dir),
         lambda: P.base_metrics(
-            events(spark, sf_dir, variant), roster(spark, sf_dir), roles(variant), stage
+            events(spark, sf_dir, variant), roster(spark, sf_dir, True), roles(variant), stage
         ),
     )
 

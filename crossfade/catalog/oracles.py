@@ -69,11 +69,13 @@ WITH ev AS (
     CAST(y - 1995 + s_nationkey % 6 AS INTEGER) AS years_exp,
     DATE '1955-01-01' + CAST(floor(s_acctbal) AS INTEGER) AS birth_date
   FROM supplier CROSS JOIN range(1995, 2002) AS seasons(y)
-  WHERE s_nationkey <> 24 AND NOT (s_nationkey % 10 = 3 AND y = 1997)
 ), aged AS (
   SELECT gsis_id, season, years_exp,
     date_diff('day', birth_date, make_date(season, 9, 1)) / CAST(365.25 AS DOUBLE) AS age
   FROM roster
+), known AS (
+  SELECT aged.* FROM aged JOIN supplier ON gsis_id = CAST(s_suppkey AS VARCHAR)
+  WHERE s_nationkey <> 24 AND NOT (s_nationkey % 10 = 3 AND season = 1997)
 ), reg AS (
   SELECT * FROM ev WHERE season_type = 'REG' AND epa IS NOT NULL
 ), rb AS (
@@ -99,8 +101,8 @@ WITH ev AS (
   FROM stacked WINDOW w AS (PARTITION BY season, position_group)
 ), base AS (
   SELECT cohort.*, (metric_raw - mean_season) / nullif(sd_season, 0) AS z_score,
-    aged.years_exp, aged.age
-  FROM cohort LEFT JOIN aged ON cohort.gsis_id = aged.gsis_id AND cohort.season = aged.season
+    known.years_exp, known.age
+  FROM cohort LEFT JOIN known ON cohort.gsis_id = known.gsis_id AND cohort.season = known.season
 ), lagged AS (
   SELECT *, lag(team) OVER ({BY_ENTITY}) AS prev_team FROM base
 ), flagged AS (
@@ -237,15 +239,9 @@ CONTRACT = (
     "CAST(coalesce((position_group = 'RB' AND years_exp IN (6, 7, 8)) OR "
     "(position_group = 'QB' AND years_exp IN (7, 8, 9)), false) AS INTEGER)"
 )
-MEDIAN_COLUMNS = ("metric_raw", "success_rate", "metric_secondary", "age", "years_exp", "z_score")
-CLIPPED = ("metric_raw", "volume", "total_epa", "metric_secondary", "team_quality", "pre_trend_slope")
-SCALED = ("metric_raw", "success_rate", "total_epa", "age", "team_quality", "pre_trend_slope")
+MEDIAN_COLUMNS = CLIPPED = SCALED = fx.MEASURES
 STRINGS = [c for c in PANEL if TYPES[c] == "string"]
-PARTIAL = [c for c in PANEL if c not in ("metric_secondary", "total_epa")]
-REPEATING = (
-    "SELECT team, season, position_group, phase, "
-    "round(success_rate, 1) + 0.0 AS success_rate FROM panel"
-)
+REPEATING = f"SELECT {cols(PANEL)} FROM panel UNION ALL SELECT {cols(PANEL)} FROM panel WHERE rel_time = 0"
 
 
 def _split(before: int, upto: int) -> str:
@@ -306,7 +302,7 @@ def oracles() -> dict[str, str]:
         f"{r('age * age', 'age_squared')}"
     )
     o["sink_csv"] = flags(f"SELECT {enriched} FROM panel")
-    o["sink_parquet"] = flags(f"SELECT {cols(PANEL)} FROM panel WHERE season >= 1996")
+    o["sink_parquet"] = flags(f"SELECT {cols(PANEL)} FROM panel")
     o["sink_by_split"] = flags(f"SELECT {cols(PANEL)}, {_split(-2, 0)} AS data_split FROM panel")
     missing = ", ".join(f"count(*) - count({c}) AS missing_{c}" for c in PANEL)
     o["quality_report"] = flags(
@@ -405,7 +401,7 @@ def oracles() -> dict[str, str]:
         _stacked(
             f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n "
             f"FROM panel WHERE {c} IS NOT NULL GROUP BY {c}"
-            for c in ("position_group", "post_transition", "changed_team", "team")
+            for c in fx.CATEGORIES
         )
     )
     o["distinct_counts"] = flags(
@@ -434,12 +430,12 @@ def oracles() -> dict[str, str]:
         f"SELECT (SELECT count(*) FROM ({REPEATING})) - "
         f"(SELECT count(*) FROM (SELECT DISTINCT * FROM ({REPEATING}))) AS n_duplicates"
     )
-    incomplete = " OR ".join(f"{c} IS NULL" for c in PARTIAL)
+    incomplete = " OR ".join(f"{c} IS NULL" for c in PANEL)
     o["rows_with_nulls"] = flags(
         f"SELECT count(*) AS n_rows_with_nulls FROM panel WHERE {incomplete}"
     )
-    known = " + ".join(f"count({c})" for c in PARTIAL)
-    completeness = f"100 * ({known}) / CAST(count(*) * {len(PARTIAL)} AS DOUBLE)"
+    known = " + ".join(f"count({c})" for c in PANEL)
+    completeness = f"100 * ({known}) / CAST(count(*) * {len(PANEL)} AS DOUBLE)"
     o["completeness"] = flags(
         f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT ({incomplete})) AS complete_rows, "
         f"{r(completeness, 'completeness_pct')} FROM panel"
@@ -595,10 +591,11 @@ def oracles() -> dict[str, str]:
         f"SELECT {KEYS}, {r('pre_trend_slope', 'performance_trajectory')}, "
         f"{r(spread, 'performance_variance')}, {CONTRACT} AS likely_contract_year FROM panel"
     )
-    zeros = ", ".join(r(f"coalesce({c}, 0)", c) for c in ("success_rate", "total_epa", "age", "z_score"))
+    zeros = ", ".join(r(f"CAST(coalesce({c}, 0) AS DOUBLE)", c) for c in fx.MEASURES)
     o["fill_zero"] = flags(f"SELECT {KEYS}, {zeros} FROM panel")
     o["impute_mode"] = flags(
-        f"SELECT {KEYS}, team, coalesce(prev_team, (SELECT prev_team FROM moves WHERE prev_team "
+        f"SELECT {KEYS}, coalesce(team, (SELECT team FROM moves WHERE team IS NOT NULL GROUP BY team "
+        "ORDER BY count(*) DESC, team LIMIT 1)) AS team, coalesce(prev_team, (SELECT prev_team FROM moves WHERE prev_team "
         "IS NOT NULL GROUP BY prev_team ORDER BY count(*) DESC, prev_team LIMIT 1)) AS prev_team "
         "FROM moves"
     )

@@ -85,12 +85,16 @@ def scored(spark, d):
 
 @query("scan_events")
 def _(spark, d):
-    return fx.events(spark, d, seasons=[1995, 1996, 1997, 1999, 2000, 2001])
+    path = stage_path(spark, "events")
+    sinks.sink_parquet(fx.events(spark, d), path, ["season"])
+    return scan.scan_events(spark, path, seasons=[1995, 1996, 1997, 1999, 2000, 2001])
 
 
 @query("scan_roster")
 def _(spark, d):
-    return fx.roster(spark, d)
+    path = stage_path(spark, "roster")
+    sinks.sink_parquet(fx.roster(spark, d), path)
+    return scan.scan_roster(spark, path)
 
 
 @query("scan_panel_csv")
@@ -124,7 +128,7 @@ def _(spark, d):
 def _(spark, d):
     path = stage_path(spark, "by-season")
     sinks.sink_parquet(panel(spark, d), path, ["season"])
-    return spark.read.parquet(path).filter(F.col("season") >= 1996)
+    return spark.read.parquet(path)
 
 
 @query("sink_by_split")
@@ -230,7 +234,7 @@ def _(spark, d):
 @query("join_roster_left")
 def _(spark, d):
     rows = base(spark, d).drop("years_exp", "age")
-    return joins.join_roster_left(rows, P.roster_with_age(fx.roster(spark, d)))
+    return joins.join_roster_left(rows, P.roster_with_age(fx.roster(spark, d, gaps=True)))
 
 
 @query("join_first_transition")
@@ -354,14 +358,7 @@ def _(spark, d):
 
 @query("value_counts")
 def _(spark, d):
-    rows = panel(spark, d)
-    tables = [
-        profile.value_counts(rows, c).select(
-            F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), "n"
-        )
-        for c in ("position_group", "post_transition", "changed_team", "team")
-    ]
-    return metrics.union_positions(*tables)
+    return profile.value_counts_of(panel(spark, d), fx.CATEGORIES)
 
 
 @query("distinct_counts")
@@ -379,14 +376,10 @@ def _(spark, d):
     return profile.missing_profile(panel(spark, d))
 
 
-REPEATING = ("team", "season", "position_group", "phase", "success_rate")
-
-
 def _repeating(spark, d):
-    """Panel columns with few values; the rate is coarse so that rows repeat."""
-    return panel(spark, d).select(
-        *REPEATING[:4], F.round("success_rate", 1).alias("success_rate")
-    )
+    """All panel rows, and those of the move a second time."""
+    rows = rounded(panel(spark, d))
+    return rows.unionByName(rows.filter(F.col("rel_time") == 0))
 
 
 @query("duplicate_count")
@@ -396,12 +389,12 @@ def _(spark, d):
 
 @query("rows_with_nulls")
 def _(spark, d):
-    return profile.rows_with_nulls(panel(spark, d).drop("metric_secondary", "total_epa"))
+    return profile.rows_with_nulls(panel(spark, d))
 
 
 @query("completeness")
 def _(spark, d):
-    return profile.completeness(panel(spark, d).drop("metric_secondary", "total_epa"))
+    return profile.completeness(panel(spark, d))
 
 
 @query("season_range")
@@ -414,17 +407,18 @@ def _(spark, d):
     return clean.quartile_fences(panel(spark, d))
 
 
-MEDIAN_COLUMNS = ("metric_raw", "success_rate", "metric_secondary", "age", "years_exp", "z_score")
+#: Every number of the panel but the season, which is a key.
+MEASURES = fx.MEASURES
 
 
 @query("group_median")
 def _(spark, d):
-    return clean.group_median(panel(spark, d), MEDIAN_COLUMNS)
+    return clean.group_median(panel(spark, d), MEASURES)
 
 
 @query("global_median")
 def _(spark, d):
-    return clean.global_median(panel(spark, d), MEDIAN_COLUMNS)
+    return clean.global_median(panel(spark, d), MEASURES)
 
 
 @query("column_mode")
@@ -524,8 +518,8 @@ def _(spark, d):
 
 @query("impute_group_median")
 def _(spark, d):
-    rows = clean.impute_group_median(panel(spark, d), MEDIAN_COLUMNS, stage=stage)
-    return rows.select(*KEYS, *MEDIAN_COLUMNS)
+    rows = clean.impute_group_median(panel(spark, d), MEASURES, stage=stage)
+    return rows.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in MEASURES])
 
 
 # -- order and shape -------------------------------------------------------
@@ -627,14 +621,12 @@ def _(spark, d):
     return panel(spark, d).select(*KEYS, phase.alias("adjustment_phase"))
 
 
-CLIPPED = ("metric_raw", "volume", "total_epa", "metric_secondary", "team_quality", "pre_trend_slope")
-
-
 @query("clip_outliers")
 def _(spark, d):
     rows = panel(spark, d)
-    bounds = clean.fence_bounds(clean.quartile_fences(rows, CLIPPED, width=0.5))
-    return clean.clip_outliers(rows, bounds).select(*KEYS, *CLIPPED)
+    bounds = clean.fence_bounds(clean.quartile_fences(rows, MEASURES, width=0.5))
+    rows = clean.clip_outliers(rows, bounds)
+    return rows.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in MEASURES])
 
 
 @query("polynomial_terms")
@@ -690,13 +682,13 @@ def _(spark, d):
 
 @query("fill_zero")
 def _(spark, d):
-    columns = ("success_rate", "total_epa", "age", "z_score")
-    return clean.fill_zero(panel(spark, d), columns).select(*KEYS, *columns)
+    rows = clean.fill_zero(panel(spark, d), MEASURES)
+    return rows.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in MEASURES])
 
 
 @query("impute_mode")
 def _(spark, d):
-    return clean.impute_mode(moves(spark, d), ["prev_team"]).select(*KEYS, "team", "prev_team")
+    return clean.impute_mode(moves(spark, d), fx.LABELS).select(*KEYS, *fx.LABELS)
 
 
 @query("residual_columns")
@@ -706,12 +698,9 @@ def _(spark, d):
 
 # -- encoding, scaling, splitting, reduction -------------------------------
 
-SCALED = ("metric_raw", "success_rate", "total_epa", "age", "team_quality", "pre_trend_slope")
-
-
 @query("standardize")
 def _(spark, d):
-    return encode.standardize(panel(spark, d), SCALED).select(*KEYS, *SCALED)
+    return encode.standardize(panel(spark, d), MEASURES).select(*KEYS, *MEASURES)
 
 
 @query("one_hot")

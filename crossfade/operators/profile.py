@@ -58,6 +58,16 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def value_counts_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Frequencies of the known values of several columns, from one pass."""
+    pairs = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        for c in columns
+    ]
+    rows = df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+    return rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _unpivoted(row: DataFrame, columns: Sequence[str], **measures) -> DataFrame:
     """A one-row aggregate turned into one row per column.
 
