@@ -9,7 +9,8 @@ to repeat its own. A document is contaminated by an item if enough of the
 item's words are covered.
 
 A benchmark word that looks like a name is indexed as a name and as a plain
-word, so a copy in lower or upper case is found as well.
+word, so a copy in lower or upper case is found as well; an item's first word is
+indexed as it would look within a sentence, too.
 """
 
 from __future__ import annotations
@@ -37,22 +38,25 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _word(t: Column, before: Column, names: bool) -> Column:
+def _word(t: Column, before: Column, names: bool, inner: bool) -> Column:
     """The template word of token ``t``; NULL for what ends a sentence."""
     low = F.lower(t)
     digit = F.substring(t, 1, 1).between("0", "9")
     behind_number = F.substring(F.coalesce(before, F.lit("")), 1, 1).between("0", "9")
     word = F.when(t.isin(*ENDS), F.lit(None)).when(digit, F.lit(NUMBER)).when(behind_number & low.isin(*UNITS), F.lit(UNIT))
     if names:
-        inside = ~F.coalesce(before, F.lit(".")).isin(*ENDS)
+        inside = ~F.coalesce(before, F.lit("" if inner else ".")).isin(*ENDS)
         word = word.when((t != low) & inside & (t != F.upper(t)), F.lit(NAME))
     return word.otherwise(low)
 
 
-def template(text: Column, names: bool = True) -> Column:
-    """Array of ``(word, value)``: template words of a text with what stood there."""
+def template(text: Column, names: bool = True, inner: bool = False) -> Column:
+    """Array of ``(word, value)``: template words of a text with what stood there.
+
+    ``inner`` reads the text as what follows within a sentence.
+    """
     tokens = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
-    typed = lambda r: F.transform(r, lambda t, i: F.struct(_word(t, F.get(r, i - 1), names).alias("word"), t.alias("value")))
+    typed = lambda r: F.transform(r, lambda t, i: F.struct(_word(t, F.when(i > 0, F.get(r, i - 1)), names, inner).alias("word"), t.alias("value")))
     return F.filter(_let(tokens, typed), lambda x: x["word"].isNotNull())
 
 
@@ -66,10 +70,11 @@ def windows(words: Column, size: int) -> Column:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(item_id, form, words)``: both templates of each item; equal ones once."""
+    """``(item_id, form, words)``: the templates of each item; equal ones once."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
-    forms = [items.select("item_id", F.lit(i).alias("form"), template(F.col("text"), names).alias("words")) for i, names in enumerate((True, False))]
-    first = forms[0].unionByName(forms[1]).groupBy("item_id", F.transform("words", lambda x: x["word"]).alias("t"))
+    readings = ((True, False), (True, True), (False, False))
+    forms = F.array(*(F.struct(F.lit(i).alias("form"), template(F.col("text"), *reading).alias("words")) for i, reading in enumerate(readings)))
+    first = items.select("item_id", F.inline(forms)).groupBy("item_id", F.transform("words", lambda x: x["word"]).alias("t"))
     return first.agg(F.min("form").alias("form"), F.min_by("words", "form").alias("words")).select("item_id", "form", "words")
 
 

@@ -11,10 +11,10 @@ BROKEN = "If Bob buys 7 apples and walks 9 km to Rome in the rain, how many appl
 PLAIN = "the long passage of the benchmark says that nothing in it is a name or a number but it goes on for a while"
 
 
-def slow_template(text, names=True):
+def slow_template(text, names=True, inner=False):
     tokens, out = re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]", text or ""), []
     for i, t in enumerate(tokens):
-        before = tokens[i - 1] if i else "."
+        before = tokens[i - 1] if i else ("," if inner else ".")
         if t in d.ENDS:
             continue
         if t[0].isdigit():
@@ -35,8 +35,8 @@ def slow(docs, items, size=8, literal=4, least=5, covered=13):
     for doc_id, text in docs:
         doc = slow_template(text)
         for item_id, item_text in items:
-            for names in (True, False):
-                item = slow_template(item_text, names)
+            for reading in ((True, False), (True, True), (False, False)):
+                item = slow_template(item_text, *reading)
                 if len(item) < least:
                     continue
                 n, reached = min(size, len(item)), {}
@@ -59,24 +59,24 @@ def frames(spark, docs, items):
 
 
 @pytest.mark.parametrize("text", [ITEM, AGAIN, "", "a.B c\nD e 3 M 4,5 Km X", "ÉCOLE École. École 12 Hours hours", "I am A OK Mc.Donald"])
-@pytest.mark.parametrize("names", [True, False])
-def test_template(spark, text, names):
-    frame = spark.createDataFrame([(text,)], "text string").select(d.template(F.col("text"), names).alias("t"))
-    assert [(x["word"], x["value"]) for x in frame.first()["t"]] == slow_template(text, names)
+@pytest.mark.parametrize("reading", [(True, False), (True, True), (False, False)])
+def test_template(spark, text, reading):
+    frame = spark.createDataFrame([(text,)], "text string").select(d.template(F.col("text"), *reading).alias("t"))
+    assert [(x["word"], x["value"]) for x in frame.first()["t"]] == slow_template(text, *reading)
 
 
 def test_same_questions_with_other_values(spark):
     docs = [
         (1, f"Before. {ITEM} Behind."), (2, f"Before. {AGAIN} Behind."), (3, BROKEN), (4, ITEM.lower()), (5, ITEM.upper()), (6, "intro " * 3000 + PLAIN),
         (7, " ".join(PLAIN.split()[:9])), (8, " ".join(PLAIN.split()[3:17])), (9, None), (10, ""), (11, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (12, "short item of six words"),
-        (12, "something else"), (None, PLAIN), (13, PLAIN + ". " + PLAIN), (14, "all other words of a clean text that never was a question at all and goes on"),
+        (12, "something else"), (None, PLAIN), (13, PLAIN + ". " + PLAIN), (15, "they said: Short item of six words and went on"), (14, "all other words of a clean text that never was a question at all and goes on"),
     ]
     items = [(100, ITEM), (100, ITEM), (101, PLAIN), (102, None), (103, ""), (104, "too few words"), (105, "Short item of six words"), (106, "20 21 22 23 24 25 26 27 28 29 30"), (None, PLAIN)]
     found = d.contaminated(*frames(spark, docs, items)).collect()
     named = [i for i in items if i[0] is not None]
     got = [(r.doc_id, r.item_id) for r in found]
     assert set(got) == slow(docs, named) and len(got) == len(set(got))
-    assert {(1, 100), (2, 100), (4, 100), (5, 100), (6, 101), (8, 101), (12, 105), (None, 101), (13, 101)} == set(got)
+    assert {(1, 100), (2, 100), (4, 100), (5, 100), (6, 101), (8, 101), (12, 105), (15, 105), (None, 101), (13, 101)} == set(got)
     changed = {r.doc_id: r.changed for r in found if r.item_id == 100}
     assert changed == {1: False, 2: True, 4: False, 5: False}
 
