@@ -346,6 +346,11 @@ def oracles() -> dict[str, str]:
             for i, c in enumerate(PANEL)
         )
     )
+    o["type_counts"] = flags(
+        "SELECT data_type, count(*) AS n_columns FROM ("
+        + _stacked(f"SELECT '{TYPES[c]}' AS data_type, max({c}) IS NULL AS n FROM panel" for c in PANEL)
+        + ") GROUP BY data_type"
+    )
     o["sample_head"] = flags(
         f"SELECT {cols(PANEL)} FROM (SELECT * FROM panel ORDER BY gsis_id, season, {ORDINAL} LIMIT 5)"
     )

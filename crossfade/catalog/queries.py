@@ -222,6 +222,11 @@ def _(spark, d):
     return filters.schema_profile(panel(spark, d))
 
 
+@query("type_counts")
+def _(spark, d):
+    return filters.type_counts(panel(spark, d))
+
+
 @query("sample_head")
 def _(spark, d):
     order = ["gsis_id", "season", X.ordinal("position_group")]
@@ -865,12 +870,12 @@ def _(spark, d):
 
 @query("feature_importance")
 def _(spark, d):
-    return R.feature_importance(_model(spark, d, "Random Forest"), spark)
+    return R.feature_importance(_best(spark, d), spark)
 
 
 @query("topk_features")
 def _(spark, d):
-    return R.topk_features(R.feature_importance(_model(spark, d, "Random Forest"), spark))
+    return R.topk_features(R.feature_importance(_best(spark, d), spark), 15)
 
 
 @query("predictions")
@@ -968,8 +973,12 @@ def _(spark, d):
 
 @query("fixed_effect_table")
 def _(spark, d):
-    table = mixed.fixed_effect_table(_fitted(spark, d, "interaction"), spark)
-    return table.select("term", "estimate", "std_error", "t_value")
+    return mixed.fixed_effect_table(_fitted(spark, d, "interaction"), spark)
+
+
+@query("scaled_residuals")
+def _(spark, d):
+    return mixed.scaled_residuals(_fitted(spark, d, "interaction"), _effect_rows(spark, d))
 
 
 # -- chart tables ----------------------------------------------------------

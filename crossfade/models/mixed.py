@@ -18,7 +18,7 @@ distributed sum over the pattern table instead.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossfade.operators.quantiles import quantiles
 from crossfade.sources.staging import stage
 
 PATTERN_LIMIT = 20_000
@@ -503,6 +504,19 @@ def fitted_residuals(
     )
 
 
+def scaled_residuals(model: MixedModel, df: DataFrame) -> DataFrame:
+    """Five numbers of the residuals over their standard deviation."""
+    keys = [model.entity, *([model.phase] if model.phase else [])]
+    rows = fitted_residuals(model, df, keys)
+    weight = F.lit(float(model.weights[0]))
+    for g, w in enumerate(model.weights[1:], 1):
+        weight = F.when(F.col(model.phase).cast("int") == g, F.lit(float(w))).otherwise(weight)
+    scaled = F.col("residual") / F.sqrt(F.lit(float(model.sigma2)) * weight)
+    five = quantiles(rows.select(scaled.alias("q")), ["q"], [0.0, 0.25, 0.5, 0.75, 1.0])
+    names = ("minimum", "lower_quartile", "median", "upper_quartile", "maximum")
+    return five.select(*[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def likelihood_ratio(
     larger: MixedModel, smaller: MixedModel, spark: SparkSession
 ) -> DataFrame:
@@ -524,21 +538,25 @@ def marginal_effects(
     groups: Sequence[str],
     group_terms: dict[str, str],
     interaction_terms: dict[str, str],
+    held: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Predicted metric by (post, group), other terms at their mean.
 
     ``group_terms`` and ``interaction_terms`` name the model's terms of each
-    group but the first, which is the baseline.
+    group but the first, which is the baseline. ``held`` gives the values of
+    terms that are not to be at their own mean, such as powers of a variable
+    that is at its mean.
     """
     varied = {post, *group_terms.values(), *interaction_terms.values()}
-    others = [n for n in model.names[1:] if n not in varied]
+    held = dict(held or {})
+    others = [n for n in model.names[1:] if n not in varied and n not in held]
     complete = F.lit(True)
     for c in [F.col(model.y), *model.fixed.values()]:
         complete = complete & c.isNotNull()
     means = df.filter(complete).agg(
         *[F.avg(model.fixed[n].cast("double")).alias(f"m{i}") for i, n in enumerate(others)]
     ).first() if others else ()
-    at = dict(zip(others, means))
+    at = {**dict(zip(others, means)), **held}
     rows = []
     for group in groups:
         for flag in (0, 1):

@@ -174,6 +174,13 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def type_counts(df: DataFrame) -> DataFrame:
+    """Number of columns of each data type."""
+    kinds = F.array(*[F.lit(kind) for _, kind in df.dtypes])
+    kind = df.sparkSession.range(1).select(F.explode(kinds).alias("data_type"))
+    return kind.groupBy("data_type").agg(F.count(F.lit(1)).alias("n_columns"))
+
+
 def sample_head(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
     """First rows of an explicit order (a top-k, not a full sort)."""
     return df.orderBy(*order_by).limit(n)

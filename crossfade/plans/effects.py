@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossfade.models import mixed
-from crossfade.operators.encode import orthogonal_poly2
+from crossfade.operators.encode import fit_orthogonal_poly2, orthogonal_poly2
 
 
 def model_rows(panel: DataFrame) -> DataFrame:
@@ -70,6 +70,11 @@ def interaction_model(rows: DataFrame) -> mixed.MixedModel:
 
 
 def marginal_effects(model: mixed.MixedModel, rows: DataFrame) -> DataFrame:
+    """Adjusted predictions by group before and after the move, at the mean age."""
+    complete = rows.dropna(subset=["z_score", "age", "years_exp", "team_quality"])
+    age = complete.agg(F.avg("age").alias("age"))
+    at = orthogonal_poly2(age, "age", fit_orthogonal_poly2(rows, "age")).first()
+    held = {n: at[n] for n in ("age_poly1", "age_poly2")}
     return mixed.marginal_effects(
-        model, rows, "post_transition", ("QB", "RB", "WR_TE"), GROUP_TERMS, INTERACTIONS
+        model, rows, "post_transition", ("QB", "RB", "WR_TE"), GROUP_TERMS, INTERACTIONS, held
     )

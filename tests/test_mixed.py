@@ -217,3 +217,17 @@ def test_fit_does_not_depend_on_origin_and_unit(spark, shift, scale):
 def test_no_rows_is_an_error(spark):
     with pytest.raises(ValueError):
         mixed.fit_lmm(spark.createDataFrame([], "gsis_id string, y double"), "y", {})
+
+
+def test_scaled_residuals_and_held_terms(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"e{e}", t, int(t >= 0), float(e % 5 + 0.2 * t + rng.normal() * (1 + (t >= 0)))) for e in range(40) for t in range(-2, 3)]
+    df = spark.createDataFrame(rows, "gsis_id string, t int, post int, y double")
+    model = mixed.fit_lmm(df, "y", {"post": F.col("post")}, phase="post")
+    five = mixed.scaled_residuals(model, df).first()
+    sd = np.sqrt(model.sigma2 * model.weights)
+    values = [r.residual / sd[r.post] for r in mixed.fitted_residuals(model, df, ["gsis_id", "post"]).collect()]
+    assert list(five) == pytest.approx(list(np.percentile(values, [0, 25, 50, 75, 100])))
+    free = mixed.fit_lmm(df, "y", {"post": F.col("post"), "t": F.col("t")})
+    at = mixed.marginal_effects(free, df, "post", ["a"], {}, {}, {"t": 1.5}).filter("post_transition = 0").first()
+    assert at.predicted == pytest.approx(free.beta[0] + 1.5 * free.beta[2])
