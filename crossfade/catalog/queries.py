@@ -781,13 +781,26 @@ def _(spark, d):
     return features.master_features(panel(spark, d)).select(*KEYS, "z_score", *MASTER_ADDED)
 
 
+PREPROCESSED = (
+    "metric_raw", "success_rate", "team_quality", "age", "pre_trend_category",
+    "exp_group", "adjustment_phase", "quality_performance_interaction", "data_split",
+)
+
+
 @query("preprocess_panel")
 def _(spark, d):
     rows = features.preprocess(features.enrich(panel(spark, d)))
-    return rows.select(
-        *KEYS, "metric_raw", "success_rate", "team_quality", "age", "pre_trend_category",
-        "exp_group", "adjustment_phase", "quality_performance_interaction", "data_split",
-    )
+    return rows.select(*KEYS, *PREPROCESSED)
+
+
+@query("preprocess_train_test")
+def _(spark, d):
+    """Fitted on one part of the entities, applied to all rows."""
+    rows = features.enrich(panel(spark, d))
+    fitted, _ = features.fit_preprocess(
+        rows.filter(F.col("season") < 1999), "reference", one_hot=["position_group"], labels=["team"]
+    )
+    return fitted.apply(rows).select(*KEYS, *PREPROCESSED, "position_group_RB", "position_group_WR_TE", "team_encoded")
 
 
 # -- predictive models -----------------------------------------------------

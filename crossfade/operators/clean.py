@@ -24,7 +24,7 @@ def global_median(df: DataFrame, columns: Sequence[str], **options) -> DataFrame
     return medians(df, columns, **options)
 
 
-def impute_group_median(
+def fit_group_median(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     group: str = "position_group",
@@ -32,21 +32,42 @@ def impute_group_median(
     stage: Stager = unstaged,
     **options,
 ) -> DataFrame:
-    """Fill missing numbers with the median of the row's group.
+    """Medians by group, with a row for each and a column ``_median_<c>`` per column.
 
     Without a group column the fallback group is used, without that the
-    median of the whole column. A group without any value stays missing.
-    With ``stage`` the medians are written before they are joined.
+    whole column is one group. With ``stage`` the medians are written.
     """
     columns = list(columns or numeric_columns(df))
-    by = next((g for g in (group, fallback_group) if g in df.columns), None)
-    if by is None:
-        return impute_global_median(df, columns, **options)
-    middle = group_median(df, columns, [by], **options)
-    middle = middle.select(by, *[F.col(c).alias(f"_median_{c}") for c in columns])
-    joined = attach(df, stage(middle, "medians"), [by])
-    filled = _filled(df, columns, lambda c: F.col(f"_median_{c}"))
-    return joined.select(*filled)
+    by = [g for g in (group, fallback_group) if g in df.columns][:1]
+    middle = group_median(df, columns, by, **options)
+    return stage(middle.select(*by, *[F.col(c).alias(f"_median_{c}") for c in columns]), "medians")
+
+
+def apply_group_median(df: DataFrame, middle: DataFrame) -> DataFrame:
+    """Fill missing numbers with the fitted median of the row's group.
+
+    A group without any value, or one that was not there at the fit, stays
+    missing. A filled column is a double.
+    """
+    by = [c for c in middle.columns if not c.startswith("_median_")]
+    columns = [c.removeprefix("_median_") for c in middle.columns if c not in by]
+    if not by:
+        row = middle.first()
+        return df.select(*_filled(df, columns, lambda c: F.lit(row[f"_median_{c}"])))
+    joined = attach(df, middle, by)
+    return joined.select(*_filled(df, columns, lambda c: F.col(f"_median_{c}")))
+
+
+def impute_group_median(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    group: str = "position_group",
+    fallback_group: str = "team",
+    stage: Stager = unstaged,
+    **options,
+) -> DataFrame:
+    """Fill missing numbers with the median of the row's group in the same table."""
+    return apply_group_median(df, fit_group_median(df, columns, group, fallback_group, stage, **options))
 
 
 def impute_global_median(
@@ -59,7 +80,7 @@ def impute_global_median(
 
 
 def _filled(df: DataFrame, columns: Sequence[str], value) -> list:
-    """All columns in order; the chosen ones filled, in their own type if whole."""
+    """All columns in order; the chosen ones filled."""
     chosen = set(columns)
     return [
         F.coalesce(F.col(c), value(c)).alias(c) if c in chosen else F.col(c)

@@ -125,10 +125,15 @@ def fit_label_encode(df: DataFrame, column: str, order_by: Sequence) -> DataFram
     return number_rows(first, ["_first", column], "code").select(column, "code")
 
 
+def apply_label_encode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """Fitted codes of a column; a missing or unknown value is -1."""
+    codes = codes.withColumnRenamed("code", f"{column}_encoded")
+    return join_back_aggregate(df, codes, column, f"{column}_encoded", F.lit(-1).cast("long"))
+
+
 def label_encode(df: DataFrame, column: str, order_by: Sequence) -> DataFrame:
     """Integer codes by first appearance; a missing value is -1."""
-    codes = fit_label_encode(df, column, order_by).withColumnRenamed("code", f"{column}_encoded")
-    return join_back_aggregate(df, codes, column, f"{column}_encoded", F.lit(-1).cast("long"))
+    return apply_label_encode(df, fit_label_encode(df, column, order_by), column)
 
 
 def fit_target_encode(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,14 +39,61 @@ def derived(df: DataFrame) -> DataFrame:
     )
 
 
-def preprocess(
+@dataclass(frozen=True)
+class Preprocessing:
+    """What preprocessing has learned from its rows; see :func:`fit_preprocess`."""
+
+    order: str
+    medians: DataFrame
+    modes: Mapping[str, str]
+    bounds: Mapping[str, tuple]
+    scaling: DataFrame
+    indicators: Mapping[str, list]  # column -> values with a 0/1 column each
+    codes: Mapping[str, DataFrame]  # column -> (value, code)
+
+    def apply(self, enriched: DataFrame) -> DataFrame:
+        """Impute, cap, scale, derive, encode and split other rows alike.
+
+        Rows are neither dropped nor learned from. A value that the fit did
+        not see has no indicator, and -1 as its code.
+        """
+        return self._finish(self._impute(enriched))
+
+    def _impute(self, enriched: DataFrame) -> DataFrame:
+        return clean.apply_group_median(enriched, self.medians).fillna(dict(self.modes))
+
+    def _finish(self, imputed: DataFrame) -> DataFrame:
+        out = clean.clip_outliers(imputed, self.bounds)
+        if self.order == "raw":
+            out = derived(out)
+        out = encode.apply_standardize(out, self.scaling)
+        if self.order == "reference":
+            out = derived(out)
+        return split.time_split(self._encode(out))
+
+    def _encode(self, out: DataFrame) -> DataFrame:
+        for column, values in self.indicators.items():
+            out = encode.append_dummy_columns(out, column, values)
+        for column, codes in self.codes.items():
+            out = encode.apply_label_encode(out, codes, column)
+        return out
+
+
+def fit_preprocess(
     enriched: DataFrame,
     order: str = "raw",
     clip_columns: Sequence[str] | None = None,
     mode_columns: Sequence[str] | None = None,
+    one_hot: Sequence[str] = (),
+    labels: Sequence[str] = (),
     stage: Stager = write_stage,
-) -> DataFrame:
-    """Impute, drop duplicates, cap outliers, scale, derive, split.
+) -> tuple[Preprocessing, DataFrame]:
+    """Learn preprocessing from rows, and give these rows preprocessed.
+
+    Missing values are filled, repeated rows dropped, outliers capped, numbers
+    scaled, categories derived and encoded (``one_hot`` as indicators of all
+    but the first value, ``labels`` as codes by first appearance in the order
+    of the values), and rows split by time.
 
     ``order="raw"`` derives the categories from raw units and scales after;
     it caps ``clip_columns`` (those to be scaled by default).
@@ -58,11 +106,13 @@ def preprocess(
     scaled = [c for c in numeric if c not in filters.SCALING_EXCLUDED]
     # The season is a key: never missing, and to stay an integer.
     fillable = [c for c in numeric if c != "season"]
-    imputed = clean.impute_group_median(enriched, fillable, stage=stage)
-    strings = filters.string_columns(
+    medians_ = clean.fit_group_median(enriched, fillable, stage=stage)
+    strings = mode_columns or filters.string_columns(
         enriched, ["performance_level", "career_phase"]
     )
-    imputed = clean.impute_mode(imputed, mode_columns or strings, fit_on=enriched)
+    found = {r["column_name"]: r["mode"] for r in clean.column_mode(enriched, strings).collect()}
+    modes = {c: found.get(c, "Unknown") for c in strings}
+    imputed = clean.apply_group_median(enriched, medians_).fillna(modes)
     # Quartiles, moments and the result each read the imputed rows.
     unique = stage(clean.drop_duplicates(imputed), "imputed")
     capped = list(numeric if order == "reference" else (clip_columns or scaled))
@@ -71,14 +121,24 @@ def preprocess(
     bounds = {c: clean.fences(*quarters[c][::2]) for c in capped if quarters[c]}
     # A median lies inside the fences, so capping leaves it as it is.
     middle = {c: quarters[c][1] if quarters[c] else None for c in scaled}
-    capped_rows = clean.clip_outliers(unique, bounds)
-    if order == "raw":
-        capped_rows = derived(capped_rows)
-    params = encode.fit_standardize(capped_rows, scaled, middle)
-    out = encode.apply_standardize(capped_rows, params)
-    if order == "reference":
-        out = derived(out)
-    return split.time_split(out)
+    scaling = stage(encode.fit_standardize(clean.clip_outliers(unique, bounds), scaled, middle), "scaling")
+    fitted = Preprocessing(order, medians_, modes, bounds, scaling, {}, {})
+    if one_hot or labels:
+        rows = stage(fitted._finish(unique), "derived")
+        indicators = {}
+        for c in one_hot:
+            values = encode.levels(rows, c)
+            if values is None:
+                raise ValueError(f"{c} has too many values for indicators; use labels")
+            indicators[c] = values[1:]
+        codes = {c: stage(encode.fit_label_encode(rows, c, [c]), "codes") for c in labels}
+        fitted = replace(fitted, indicators=indicators, codes=codes)
+    return fitted, fitted._finish(unique)
+
+
+def preprocess(enriched: DataFrame, order: str = "raw", **options) -> DataFrame:
+    """Rows preprocessed with what they teach themselves; see :func:`fit_preprocess`."""
+    return fit_preprocess(enriched, order, **options)[1]
 
 
 def propensity_features(df: DataFrame) -> DataFrame:

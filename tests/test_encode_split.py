@@ -174,3 +174,25 @@ def test_master_with_components(spark, sf_dir):
     assert {"PC1", "PC2", "PC3", "z_score_roll2"} <= set(out.columns)
     assert out.count() == panel.count()
     assert features.master_features(panel, "copy") is panel
+
+
+def test_preprocessing_learned_from_other_rows(spark):
+    def rows(values):
+        return spark.createDataFrame(
+            [(f"e{i}", 2000 + i % 3, g, t, x, 0.5, 1.0, 2, 1, 0) for i, (g, t, x) in enumerate(values)],
+            "gsis_id string, season int, position_group string, team string, metric_raw double, z_score double, "
+            "team_quality double, years_exp int, years_since_change int, rel_time int",
+        ).withColumns({"pre_trend_slope": F.lit(0.1), "age": F.lit(25.0), "sd_season": F.lit(1.0)})
+
+    train = rows([("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", 10.0), ("b", None, None), ("a", "x", None)])
+    fitted, own = features.fit_preprocess(train, one_hot=["position_group"], labels=["team"])
+    assert own.count() == 5
+    other = rows([("a", "x", None), ("b", "new", None), ("c", "y", 1e9), ("a", "x", None), ("a", None, 2.0)])
+    found = fitted.apply(other).orderBy("gsis_id").collect()
+    same = {r.gsis_id: r for r in own.collect()}
+    assert len(found) == 5
+    # the train median of group a, and the whole column's scale
+    assert found[0].metric_raw == found[4].metric_raw == same["e4"].metric_raw
+    assert [r.team_encoded for r in found] == [0, -1, 1, 0, 0]
+    assert [r.position_group_b for r in found] == [0, 1, 0, 0, 0]
+    assert found[2].metric_raw < 100  # capped by the train fences
