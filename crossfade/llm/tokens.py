@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from crossfade.llm.text import pieces
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 
 def _byte_alphabet() -> dict[int, str]:
