@@ -9,7 +9,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from crossfade.catalog import fixture as fx
-from crossfade.operators.filters import EVENT_COLUMNS, MODEL_EXCLUDED
+from crossfade.operators.filters import EVENT_COLUMNS, MODEL_EXCLUDED, SCALING_EXCLUDED
 from crossfade.sources.scan import PANEL_SCHEMA
 
 # Columns of the panel and the events by their Spark type.
@@ -683,16 +683,23 @@ def oracles() -> dict[str, str]:
         f"{CONTRACT} AS likely_contract_year",
     ]
     o["master_features"] = flags(
-        f"SELECT {KEYS}, {cols(['z_score'])}, {', '.join(master)} FROM stepped",
+        f"SELECT {cols(PANEL)}, {', '.join(master)} FROM stepped",
         f"stepped AS (SELECT *, {MOMENTUM} AS m, {panel_age} AS filled FROM panel)",
     )
 
-    used = ("metric_raw", "success_rate", "team_quality", "age", "z_score", "pre_trend_slope", "years_exp")
-    kept = f"{KEYS}, rel_time, years_since_change"
+    numbers = [c for c in NUMERIC if c != "season"] + ["metric_raw_scaled", "age_squared"]
+    units = [c for c in numbers if c not in SCALING_EXCLUDED]
+    others = [c for c in numbers if c not in units]
+    labels = [c for c in STRINGS if c not in ("performance_level", "career_phase")]
     filled_in = ", ".join(
-        f"coalesce({c}, {_median(c)} OVER (PARTITION BY position_group)) AS {c}" for c in used
+        f"coalesce(CAST({c} AS DOUBLE), {_median(c)} OVER (PARTITION BY position_group)) AS {c}" for c in numbers
     )
-    units = ("metric_raw", "success_rate", "team_quality", "age")
+    named = ", ".join(
+        f"coalesce({c}, (SELECT {c} FROM panel WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} "
+        f"LIMIT 1), 'Unknown') AS {c}"
+        for c in labels
+    )
+    kept = ", ".join(["season", "performance_level", "career_phase", *labels, *others])
     whole_column = ", ".join(
         f"coalesce({c}, (SELECT {_median(c)} FROM imputed)) AS {c}_full" for c in units
     )
@@ -701,13 +708,17 @@ def oracles() -> dict[str, str]:
         for c in units
     )
     o["preprocess_panel"] = flags(
-        f"SELECT {KEYS}, {scaled_units}, {TREND} AS pre_trend_category, "
+        f"SELECT season, performance_level, career_phase, {', '.join(labels)}, "
+        f"{', '.join(r(c, c) for c in others)}, {scaled_units}, {TREND} AS pre_trend_category, "
         f"{_cut('years_exp', *EXPERIENCE, lower=0)} AS exp_group, {ADJUSTMENT} AS adjustment_phase, "
         f"{r('team_quality * z_score', 'quality_performance_interaction')}, "
         f"{_split(-2, 0)} AS data_split FROM complete",
-        f"imputed AS (SELECT DISTINCT {kept}, {filled_in} FROM panel), "
-        f"fences AS ({_fences(used, 3, 'imputed')}), "
-        f"capped AS (SELECT {kept}, {', '.join(f'{_capped(c)} AS {c}' for c in used)} FROM imputed), "
+        "enriched AS (SELECT *, metric_raw / (sd_season + 1e-10) AS metric_raw_scaled, "
+        f"{LEVEL} AS performance_level, {_cut('years_exp', *CAREER, lower=0)} AS career_phase, "
+        "age * age AS age_squared FROM panel), "
+        f"imputed AS (SELECT DISTINCT season, performance_level, career_phase, {named}, {filled_in} FROM enriched), "
+        f"fences AS ({_fences(units, 3, 'imputed')}), "
+        f"capped AS (SELECT {kept}, {', '.join(f'{_capped(c)} AS {c}' for c in units)} FROM imputed), "
         f"complete AS (SELECT *, {whole_column} FROM capped)",
     )
 

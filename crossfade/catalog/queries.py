@@ -766,19 +766,9 @@ def _(spark, d):
     return rows.select(*KEYS, "age_poly1", "age_poly2")
 
 
-MASTER_ADDED = (
-    "team_encoded", "position_encoded", "age_squared", "age_cubed", "age_exp_decay",
-    "exp_squared", "peak_years_away", "age_post_interaction", "exp_post_interaction",
-    "quality_performance_interaction", "QB_post", "RB_post", "WR_TE_post", "z_score_roll2",
-    "z_score_vol2", "z_score_roll3", "z_score_vol3", "z_score_momentum",
-    "z_score_acceleration", "z_score_cumulative_change", "performance_trajectory",
-    "performance_variance", "likely_contract_year",
-)
-
-
 @query("master_features")
 def _(spark, d):
-    return features.master_features(panel(spark, d)).select(*KEYS, "z_score", *MASTER_ADDED)
+    return features.master_features(panel(spark, d))
 
 
 PREPROCESSED = (
@@ -789,8 +779,7 @@ PREPROCESSED = (
 
 @query("preprocess_panel")
 def _(spark, d):
-    rows = features.preprocess(features.enrich(panel(spark, d)))
-    return rows.select(*KEYS, *PREPROCESSED)
+    return features.preprocess(features.enrich(panel(spark, d)))
 
 
 @query("preprocess_train_test")
