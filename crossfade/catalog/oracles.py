@@ -9,7 +9,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from crossfade.catalog import fixture as fx
-from crossfade.operators.filters import EVENT_COLUMNS, MODEL_EXCLUDED, SCALING_EXCLUDED
+from crossfade.operators.filters import EVENT_COLUMNS, FEATURE_EXCLUDED, MODEL_EXCLUDED, SCALING_EXCLUDED
 from crossfade.sources.scan import PANEL_SCHEMA
 
 # Columns of the panel and the events by their Spark type.
@@ -284,6 +284,52 @@ def _post(group: str) -> str:
     return f"CAST(position_group = '{group}' AS INTEGER) * post_transition AS \"{group}_post\""
 
 
+def _components(columns: list[str], k: int, sweeps: int = 10) -> str:
+    """CTEs of the components of standardised ``columns``, by cyclic Jacobi rotations.
+
+    ``unit`` has the standardised rows, ``loading`` a row per component with
+    its number, share of variance and loadings, the largest one positive.
+    """
+    n = len(columns)
+    pairs = [(p, q) for p in range(1, n + 1) for q in range(p + 1, n + 1)]
+    filled = ", ".join(
+        f"coalesce(CAST({c} AS DOUBLE), (SELECT {_median(c)} FROM enriched)) AS f{i}" for i, c in enumerate(columns)
+    )
+    unit = ", ".join(
+        f"(f{i} - avg(f{i}) OVER ()) / coalesce(nullif(stddev_pop(f{i}) OVER (), 0), 1)" for i in range(n)
+    )
+    products = ", ".join(
+        "[" + ", ".join(f"sum(x[{i}] * x[{j}])" for j in range(1, n + 1)) + "]" for i in range(1, n + 1)
+    )
+    turned = "[[CASE j WHEN p THEN c * row[p] - s * row[q] WHEN q THEN s * row[p] + c * row[q] ELSE row[j] END FOR j IN range(1, {0})] FOR row IN {1}]"
+    return f"""
+enriched AS (SELECT *, metric_raw / (sd_season + 1e-10) AS metric_raw_scaled, age * age AS age_squared FROM panel),
+filled AS (SELECT {KEYS}, {filled} FROM enriched),
+unit AS (SELECT {KEYS}, [{unit}] AS x FROM filled),
+jacobi(step, a, v) AS (
+  SELECT 0, [{products}], [[CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END FOR j IN range({n})] FOR i IN range({n})] FROM unit
+  UNION ALL
+  SELECT step + 1,
+    [[CASE i WHEN p THEN c * b[p][j] - s * b[q][j] WHEN q THEN s * b[p][j] + c * b[q][j] ELSE b[i][j] END FOR j IN range(1, {n + 1})] FOR i IN range(1, {n + 1})],
+    {turned.format(n + 1, "v")}
+  FROM (
+    SELECT *, {turned.format(n + 1, "a")} AS b FROM (
+      SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s FROM (
+        SELECT *, CASE WHEN a[p][q] = 0 THEN CAST(0 AS DOUBLE) ELSE
+            (CASE WHEN tau < 0 THEN -1 ELSE 1 END) / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (
+          SELECT *, CASE WHEN a[p][q] = 0 THEN CAST(0 AS DOUBLE) ELSE (a[q][q] - a[p][p]) / (2 * a[p][q]) END AS tau FROM (
+            SELECT *, {[p for p, _ in pairs]}[step % {len(pairs)} + 1] AS p, {[q for _, q in pairs]}[step % {len(pairs)} + 1] AS q
+            FROM jacobi WHERE step < {sweeps * len(pairs)})))))
+), found AS (
+  SELECT i, a[i][i] AS value, [row[i] FOR row IN v] AS w, list_sum([a[j][j] FOR j IN range(1, {n + 1})]) AS total
+  FROM (SELECT * FROM jacobi WHERE step = {sweeps * len(pairs)}), range(1, {n + 1}) t(i)
+), loading AS (
+  SELECT row_number() OVER (ORDER BY value DESC) AS k, value / total AS share,
+    [e * (CASE WHEN w[list_position([abs(u) FOR u IN w], list_max([abs(u) FOR u IN w]))] < 0 THEN -1 ELSE 1 END) FOR e IN w] AS w
+  FROM found QUALIFY k <= {k}
+)"""
+
+
 def oracles() -> dict[str, str]:
     o: dict[str, str] = {}
 
@@ -722,6 +768,22 @@ def oracles() -> dict[str, str]:
         f"complete AS (SELECT *, {whole_column} FROM capped)",
     )
 
+    kept = [c for c in NUMERIC if c not in FEATURE_EXCLUDED] + ["metric_raw_scaled", "age_squared"]
+    axes = _components(kept, 10)
+    scores = ", ".join(
+        r(f"list_sum([x[i] * ws[{k}][i] FOR i IN range(1, {len(kept) + 1})])", f"PC{k}")
+        for k in range(1, 11)
+    )
+    recursive = lambda sql: sql.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1)
+    o["pca_scores"] = recursive(flags(f"SELECT {KEYS}, {scores} FROM unit CROSS JOIN (SELECT list(w ORDER BY k) AS ws FROM loading)", axes))
+    o["pca_explained_variance"] = recursive(
+        flags(
+            f"SELECT 'PC' || k AS \"Component\", {r('share', '\"Explained_Variance\"')}, "
+            f"{r('sum(share) OVER (ORDER BY k)', '\"Cumulative_Variance\"')} FROM loading",
+            axes,
+        )
+    )
+
     # -- models: what SQL can express of them
     o["icc_null_model"] = single(
         f"SELECT n_entities, n_rows, {r('msb', 'ms_between')}, {r('msw', 'ms_within')}, {r('n0', 'n0')}, "
