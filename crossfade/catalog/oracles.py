@@ -753,19 +753,22 @@ def oracles() -> dict[str, str]:
         r(f"({c}_full - avg({c}_full) OVER ()) / coalesce(nullif(stddev_pop({c}_full) OVER (), 0), 1)", c)
         for c in units
     )
-    o["preprocess_panel"] = flags(
-        f"SELECT season, performance_level, career_phase, {', '.join(labels)}, "
-        f"{', '.join(r(c, c) for c in others)}, {scaled_units}, {TREND} AS pre_trend_category, "
-        f"{_cut('years_exp', *EXPERIENCE, lower=0)} AS exp_group, {ADJUSTMENT} AS adjustment_phase, "
-        f"{r('team_quality * z_score', 'quality_performance_interaction')}, "
-        f"{_split(-2, 0)} AS data_split FROM complete",
+    prepared = (
         "enriched AS (SELECT *, metric_raw / (sd_season + 1e-10) AS metric_raw_scaled, "
         f"{LEVEL} AS performance_level, {_cut('years_exp', *CAREER, lower=0)} AS career_phase, "
         "age * age AS age_squared FROM panel), "
         f"imputed AS (SELECT DISTINCT season, performance_level, career_phase, {named}, {filled_in} FROM enriched), "
         f"fences AS ({_fences(units, 3, 'imputed')}), "
         f"capped AS (SELECT {kept}, {', '.join(f'{_capped(c)} AS {c}' for c in units)} FROM imputed), "
-        f"complete AS (SELECT *, {whole_column} FROM capped)",
+        f"complete AS (SELECT *, {whole_column} FROM capped)"
+    )
+    o["preprocess_panel"] = flags(
+        f"SELECT season, performance_level, career_phase, {', '.join(labels)}, "
+        f"{', '.join(r(c, c) for c in others)}, {scaled_units}, {TREND} AS pre_trend_category, "
+        f"{_cut('years_exp', *EXPERIENCE, lower=0)} AS exp_group, {ADJUSTMENT} AS adjustment_phase, "
+        f"{r('team_quality * z_score', 'quality_performance_interaction')}, "
+        f"{_split(-2, 0)} AS data_split FROM complete",
+        prepared,
     )
 
     kept = [c for c in NUMERIC if c not in FEATURE_EXCLUDED] + ["metric_raw_scaled", "age_squared"]
@@ -785,6 +788,31 @@ def oracles() -> dict[str, str]:
     )
 
     # -- models: what SQL can express of them
+    features = [c for c in units if c not in (*MODEL_EXCLUDED, "z_score")]
+    p = len(features) + 1
+    value = lambda c: f"({c}_full - avg({c}_full) OVER ()) / coalesce(nullif(stddev_pop({c}_full) OVER (), 0), 1)"
+    x = ", ".join([*map(value, features), "coalesce(team_quality * z_score, 0)"])
+    around = lambda i: "(y - my)" if i > p else f"(x[{i}] - mx[{i}])"
+    normal = ", ".join(
+        "[" + ", ".join(f"sum({around(i)} * {around(j)})" + " + 1" * (i == j) for j in range(1, p + 2)) + "]"
+        for i in range(1, p + 1)
+    )
+    means = ", ".join(f"avg(x[{i}])" for i in range(1, p + 1))
+    o["ridge"] = recursive(
+        flags(
+            f"SELECT {KEYS}, position_group AS position, {r('y', 'actual')}, {r('yhat', 'predicted')}, "
+            f"{r('y - yhat', 'error')}, {r('abs(y - yhat)', 'abs_error')} FROM (SELECT *, "
+            f"my + list_sum([(x[i] - mx[i]) * b[i] FOR i IN range(1, {p + 1})]) AS yhat "
+            "FROM framed CROSS JOIN centre CROSS JOIN slopes WHERE share < 20)",
+            f"{prepared}, framed AS (SELECT {KEYS}, {value('z_score')} AS y, [{x}] AS x, {_share('gsis_id')} AS share FROM complete), "
+            f"centre AS (SELECT avg(y) AS my, [{means}] AS mx FROM framed WHERE share >= 20), "
+            f"gauss(k, m) AS (SELECT 0, [{normal}] FROM framed CROSS JOIN centre WHERE share >= 20 UNION ALL SELECT k + 1, "
+            f"[CASE WHEN i = k + 1 THEN [e / m[i][i] FOR e IN m[i]] ELSE "
+            f"[m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] FOR j IN range(1, {p + 2})] END FOR i IN range(1, {p + 1})] "
+            f"FROM gauss WHERE k < {p}), "
+            f"slopes AS (SELECT [row[{p + 1}] FOR row IN m] AS b FROM gauss WHERE k = {p})",
+        )
+    )
     o["icc_null_model"] = single(
         f"SELECT n_entities, n_rows, {r('msb', 'ms_between')}, {r('msw', 'ms_within')}, {r('n0', 'n0')}, "
         f"{r('greatest((msb - msw) / n0, 0)', 'var_entity')}, "
