@@ -1,5 +1,6 @@
 """DuckDB twins of the corpus queries that SQL can express, written from the definitions."""
 
+from crossfade.llm.decontaminate import UNITS
 from crossfade.llm.urlfilter import _HOST, _PATH
 
 #: Shards of op4_sharding and slots of its table.
@@ -62,3 +63,57 @@ WITH captures AS (
 SELECT c.page_id, c.url, c.fetched, coalesce(b.weight = 2, false) AS blocked, b.scope, b.pattern
 FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND c.url = b.url AND c.fetched = b.fetched
 """
+
+_ENDS = "('.', '!', '?', chr(10))"
+
+
+def _words(names: bool, inner: bool) -> str:
+    """Template words of the tokens ``t`` with their values, without sentence ends."""
+    digit = "substr({0}, 1, 1) BETWEEN '0' AND '9'".format
+    name = f"WHEN {'' if inner else 'i > 1 AND'} (i = 1 OR t[i - 1] NOT IN {_ENDS}) AND t[i] <> lower(t[i]) AND t[i] <> upper(t[i]) THEN '<name>'"
+    word = (
+        f"CASE WHEN {digit('t[i]')} THEN '<num>' WHEN i > 1 AND {digit('t[i - 1]')} AND lower(t[i]) IN {UNITS} THEN '<unit>' "
+        f"{name if names else ''} ELSE lower(t[i]) END"
+    )
+    return f"[{{'w': {word}, 'v': lower(t[i])}} FOR i IN range(1, len(t) + 1) IF t[i] NOT IN {_ENDS}]"
+
+
+DECONTAMINATION = rf"""
+WITH doc_tokens AS (
+    SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|\p{{L}}[\p{{L}}\p{{M}}]*|[.!?\n]') AS t FROM documents
+), item_tokens AS (
+    SELECT item_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|\p{{L}}[\p{{L}}\p{{M}}]*|[.!?\n]') AS t FROM benchmark
+), docs AS (SELECT doc_id, {_words(True, False)} AS x FROM doc_tokens
+), items AS (
+    SELECT *, len(x) AS item_words, least(len(x), 8) AS n FROM (
+        SELECT item_id, 0 AS form, {_words(True, False)} AS x FROM item_tokens
+        UNION ALL SELECT item_id, 1, {_words(True, True)} FROM item_tokens
+        UNION ALL SELECT item_id, 2, {_words(False, False)} FROM item_tokens)
+    WHERE len(x) >= 5
+), item_windows AS (
+    SELECT item_id, form, n, i, array_to_string([e.w FOR e IN x[i:i + n - 1]], ' ') AS win,
+        len([e FOR e IN x[i:i + n - 1] IF e.w NOT IN ('<num>', '<name>', '<unit>')]) AS literal
+    FROM (SELECT *, unnest(range(1, item_words - n + 2)) AS i FROM items)
+), doc_windows AS (
+    SELECT doc_id, n, j, array_to_string([e.w FOR e IN x[j:j + n - 1]], ' ') AS win
+    FROM (SELECT *, unnest(range(1, len(x) - n + 2)) AS j FROM docs, (SELECT DISTINCT n FROM items))
+), met AS (
+    SELECT DISTINCT doc_id, item_id, form, j - i AS shift, unnest(range(i, i + a.n)) AS p
+    FROM item_windows a JOIN doc_windows b ON a.win = b.win AND a.n = b.n WHERE literal >= least(4, a.n)
+), pairs AS (
+    SELECT met.*, item_words, items.x[p].w AS kind, items.x[p].v AS was, docs.x[p + shift].v AS now
+    FROM met JOIN items USING (item_id, form) JOIN docs USING (doc_id)
+), aligned AS (
+    SELECT doc_id, item_id, form, item_words, count(*) AS reached,
+        coalesce(bool_or(was <> now) FILTER (WHERE kind IN ('<num>', '<name>', '<unit>')), false) AS changed
+    FROM pairs GROUP BY doc_id, item_id, form, item_words, shift
+    HAVING count(DISTINCT (kind, was, now)) FILTER (WHERE kind IN ('<num>', '<name>', '<unit>'))
+        = count(DISTINCT (kind, was)) FILTER (WHERE kind IN ('<num>', '<name>', '<unit>'))
+), summed AS (
+    SELECT doc_id, item_id, form, item_words, least(sum(reached), item_words) AS words, bool_or(changed) AS changed
+    FROM aligned GROUP BY doc_id, item_id, form, item_words
+)
+SELECT doc_id, item_id, CAST(words AS INTEGER) AS words, CAST(item_words AS INTEGER) AS item_words, changed
+FROM summed WHERE words >= least(item_words, 13)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, item_words DESC, changed DESC) = 1
+"""

@@ -13,7 +13,7 @@ from crossfade.llm import ann, chat, decontaminate, langid, licenses, oracles, p
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {"op4_sharding": oracles.SHARDING, "op6_url_filter": oracles.URL_FILTER}
+ORACLES: dict[str, str] = {"op4_sharding": oracles.SHARDING, "op6_url_filter": oracles.URL_FILTER, "op8_decontamination": oracles.DECONTAMINATION}
 
 
 def query(f: Query) -> Query:
