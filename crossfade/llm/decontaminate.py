@@ -56,7 +56,7 @@ def template(text: Column, names: bool = True, inner: bool = False) -> Column:
     ``inner`` reads the text as what follows within a sentence.
     """
     tokens = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
-    typed = lambda r: F.transform(r, lambda t, i: F.struct(_word(t, F.when(i > 0, F.get(r, i - 1)), names, inner).alias("word"), t.alias("value")))
+    typed = lambda r: F.transform(r, lambda t, i: F.struct(_word(t, F.get(r, i - 1), names, inner).alias("word"), t.alias("value")))
     return F.filter(_let(tokens, typed), lambda x: x["word"].isNotNull())
 
 
