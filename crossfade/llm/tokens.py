@@ -8,8 +8,8 @@ from tokenizers import Tokenizer
 
 from crossfade.llm.text import pieces
 
-#: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps: half of them of late, the others as long as they are met again.
+KEPT_WORDS = 400_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -35,13 +35,16 @@ class WordTokenizer:
         self._alphabet = _byte_alphabet()
         self._kept_words = kept_words
         self._known: dict[bytes, bytes] = {}
+        self._before: dict[bytes, bytes] = {}
         self._ends: dict[bytes, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack("<%dI" % len(ids), *ids)
 
     def _learn(self, word: bytes) -> bytes:
-        """The ids of a word not met yet."""
+        """The ids of a word not met of late."""
+        if (ids := self._before.get(word)) is not None:
+            return ids
         body = word.rstrip(b".,")
         if body.isalpha():  # ASCII letters
             letters = body.decode().lower()
@@ -52,7 +55,7 @@ class WordTokenizer:
             letters = letters.encode().decode("latin-1").translate(self._alphabet)
         if len(body) == len(word):
             return self._packed([t.id for t in self._merges.tokenize(letters)])
-        known = self._known.get(body)
+        known = self._known.get(body) or self._before.get(body)
         if known is None:
             known = self._known[body] = self._packed([t.id for t in self._merges.tokenize(letters)])
         end = word[len(body) :]
@@ -66,8 +69,8 @@ class WordTokenizer:
         for piece in pieces(text):
             # control strings count in their own case only
             words = (piece if b"<|" in piece else piece.lower()).split()
-            if len(self._known) > self._kept_words:
-                self._known.clear()
+            if len(self._known) > self._kept_words // 2:
+                self._before, self._known = self._known, {}
             known = self._known
             for word in set(words).difference(known):
                 known[word] = self._learn(word)
