@@ -10,7 +10,9 @@ item's words are covered.
 
 A benchmark word that looks like a name is indexed as a name and as a plain
 word, so a copy in lower or upper case is found as well; an item's first word is
-indexed as it would look within a sentence, too.
+indexed as it would look within a sentence, too. A capitalised word that starts
+a sentence has both readings, in items and in documents. Windows too general for
+their template to tell anything are joined by their values instead.
 """
 
 from __future__ import annotations
@@ -60,13 +62,50 @@ def template(text: Column, names: bool = True, inner: bool = False) -> Column:
     return F.filter(_let(tokens, typed), lambda x: x["word"].isNotNull())
 
 
-def windows(words: Column, size: int) -> Column:
-    """Array of hashes: that of each window of ``size`` template words."""
+def _is_slot(word: Column) -> Column:
+    return word.isin(NUMBER, NAME, UNIT)
+
+
+def _may_name(x: Column) -> Column:
+    """Whether a plain template word is capitalised, which it can be as a name that starts a sentence."""
+    return (x["word"] == F.lower(x["value"])) & (x["value"] != F.lower(x["value"])) & (x["value"] != F.upper(x["value"]))
+
+
+def marks(words: Column, size: int, least_literal: int, least_words: int, names: Column) -> Column:
+    """For each window of ``size`` template words, the array of hashes it is met by.
+
+    First that of the template. Where ``names`` holds, those of its other
+    readings follow, in which words that start sentences are names, as long as
+    ``least_literal`` plain words are left. A window that has fewer in its
+    barest reading, or that is shorter than ``least_words``, has the hash of its
+    values in addition.
+    """
+    least = min(least_literal, size)
     hashes = F.transform(words, lambda x: F.xxhash64(x["word"]))
-    each = lambda h: F.when(
-        F.size(h) >= size, F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(F.slice(h, i, size)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    return _let(hashes, each)
+    named = F.transform(words, lambda x: F.when(names & _may_name(x), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(x["word"])))
+    plain = lambda w: F.size(F.array_remove(F.array_remove(F.array_remove(w, F.xxhash64(F.lit(NUMBER))), F.xxhash64(F.lit(NAME))), F.xxhash64(F.lit(UNIT))))
+    none = F.array().cast("array<bigint>")
+    step = lambda found, x: F.flatten(
+        F.transform(found, lambda a: F.when(x["h"] == x["t"], F.array(F.concat(a, F.array(x["h"])))).otherwise(F.array(F.concat(a, F.array(x["h"])), F.concat(a, F.array(x["t"])))))
+    )
+
+    def readings(h: Column, t: Column) -> Column:
+        both = F.zip_with(h, t, lambda x, y: F.struct(x.alias("h"), y.alias("t")))
+        every = F.aggregate(both, F.array(none), step)
+        mixed = F.filter(every, lambda a: (a != h) & (plain(a) >= least))
+        single = F.when(plain(t) >= least, F.array(F.xxhash64(t))).otherwise(none)
+        return F.when(h == t, none).when(plain(h) - plain(t) == 1, single).otherwise(F.transform(mixed, lambda a: F.xxhash64(a)))
+
+    def each(i: Column, h: Column, t: Column) -> Column:
+        h, t = F.slice(h, i, size), F.slice(t, i, size)
+        values = F.array(F.xxhash64(F.lit("values"), F.transform(F.slice(words, i, size), lambda x: F.lower(x["value"]))))
+        exact = values if size < least_words else F.when(plain(t) < least, values).otherwise(none)
+        others = none if size < least_words else readings(h, t)
+        return F.concat(F.array(F.xxhash64(h)), others, exact)
+
+    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
+    all_of = lambda p: F.transform(starts, lambda i: each(i, p["h"], p["t"]))
+    return F.when(F.size(words) >= size, _let(F.struct(hashes.alias("h"), named.alias("t")), all_of)).otherwise(F.array().cast("array<array<bigint>>"))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,14 +134,16 @@ def contaminated(
     ``words`` are the item's words covered by windows of ``size`` in consistent
     alignments (an item of fewer words is one window), at least ``covered`` or
     all of the item's; ``changed`` says that values differ. Windows with fewer
-    than ``least_literal`` plain words are too general to count, and items of
-    fewer than ``least_words`` words are not searched for. Whole texts count.
+    than ``least_literal`` plain words, and items of fewer than ``least_words``
+    words, are too general for other values and are found with their own. A
+    capitalised word that starts a sentence is a name where that fits and a
+    plain word where it doesn't. Whole texts count.
     NULL and empty texts contain nothing and NULL items aren't searched for;
     rows with a NULL doc_id are searched and named NULL; rows that repeat
     an id count as one document. Empty tables give no rows.
     """
     items = _items(benchmark, item_id_col, item_text_col)
-    items = items.filter((F.size("words") >= least_words) & F.col("item_id").isNotNull())
+    items = items.filter((F.size("words") > 0) & F.col("item_id").isNotNull())
     items = stage(items.withColumn("size", F.least(F.size("words"), F.lit(size))), "bench-items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -110,25 +151,33 @@ def contaminated(
         empty = "doc_id bigint, item_id bigint, words int, item_words int, changed boolean"
         return docs.sparkSession.createDataFrame([], empty)
 
-    def placed(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-        return rows.select(*keys, F.posexplode(windows(F.col("words"), n)).alias("at", "mark"))
+    def placed(rows: DataFrame, keys: list[str], n: int, names: Column) -> DataFrame:
+        met_by = marks(F.col("words"), n, least_literal, least_words, names)
+        each = rows.select(*keys, F.posexplode(met_by).alias("at", "marks"))
+        return each.select(*keys, "at", F.posexplode("marks").alias("reading", "mark"))
 
-    literal = lambda i, n: F.size(F.filter(F.slice("words", i + 1, n), lambda x: ~x["word"].isin(NUMBER, NAME, UNIT)))
+    literal = lambda i, n: F.size(F.filter(F.slice("words", i + 1, n), lambda x: ~_is_slot(x["word"])))
     index = None
     for n in sizes:
-        rows = placed(items.filter(F.col("size") == n), ["item_id", "form", "words"], n)
-        rows = rows.filter(literal(F.col("at"), n) >= min(least_literal, n)).select("item_id", "form", F.col("at").alias("item_at"), F.col("mark").alias("bench_mark"), F.lit(n).alias("n"))
+        rows = placed(items.filter(F.col("size") == n), ["item_id", "form", "words"], n, F.col("form") < 2)
+        general = literal(F.col("at"), n) < min(least_literal, n) if n >= least_words else F.lit(True)
+        rows = rows.filter((F.col("reading") > 0) | ~general)
+        rows = rows.select("item_id", "form", F.col("at").alias("item_at"), F.col("mark").alias("bench_mark"), (F.col("reading") == 0).alias("bench_first"), F.lit(n).alias("n"))
         index = rows if index is None else index.unionByName(rows)
     index = stage(index, "bench-windows")
 
     keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), template(F.col("text")).alias("words"))
     found = None
     for n in sizes:
-        met = placed(keyed, ["doc_id", "key"], n).join(index.filter(F.col("n") == n), F.col("mark") == F.col("bench_mark"))
-        met = met.select("doc_id", "key", "item_id", "form", "n", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+        met = placed(keyed, ["doc_id", "key"], n, F.lit(True)).join(index.filter(F.col("n") == n), F.col("mark") == F.col("bench_mark"))
+        first = F.when((F.col("reading") == 0) & F.col("bench_first"), F.col("item_at"))
+        met = met.select("doc_id", "key", "item_id", "form", "n", "item_at", first.alias("first_at"), (F.col("at") - F.col("item_at")).alias("shift"))
         found = met if found is None else found.unionByName(met)
     # at most one row per window of the item in each alignment
-    aligned = found.groupBy("doc_id", "key", "item_id", "form", "n", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("starts"))
+    aligned = found.groupBy("doc_id", "key", "item_id", "form", "n", "shift").agg(F.array_sort(F.collect_set("first_at")).alias("first"), F.array_sort(F.collect_set("item_at")).alias("every"))
+    # other readings add windows, and never take those of the first reading away
+    tried = F.explode(F.array_distinct(F.filter(F.array("first", "every"), lambda x: F.size(x) > 0))).alias("starts")
+    aligned = aligned.select("doc_id", "key", "item_id", "form", "n", "shift", tried)
     aligned = stage(aligned, "bench-aligned")
 
     hit = aligned.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
@@ -142,17 +191,23 @@ def contaminated(
     both = both.withColumn("reached", reached)
     pairs = F.transform("reached", lambda p: F.struct(F.get("item_words", p).alias("of_item"), F.get("doc_words", p + F.col("shift")).alias("of_doc")))
     both = both.withColumn("pairs", pairs)
-    same = F.forall("pairs", lambda x: x["of_item"]["word"].eqNullSafe(x["of_doc"]["word"]))
-    slot = lambda x: x["of_item"]["word"].isin(NUMBER, NAME, UNIT)
+    may = lambda x: _may_name(x) | (x["word"] == NAME)
+    alike = lambda x: x["of_item"]["word"] == x["of_doc"]["word"]
+    equal = lambda x: F.lower(x["of_item"]["value"]) == F.lower(x["of_doc"]["value"])
+    same = F.forall("pairs", lambda x: F.coalesce(alike(x) | equal(x) | (may(x["of_item"]) & may(x["of_doc"])), F.lit(False)))
+    # as a plain word where both are the same one, as a name where only that fits
+    kind = lambda x: F.when(alike(x) | equal(x), x["of_item"]["word"]).otherwise(F.lit(NAME))
     values = F.array_distinct(
         F.transform(
-            F.filter("pairs", slot),
-            lambda x: F.struct(x["of_item"]["word"].alias("type"), F.lower(x["of_item"]["value"]).alias("was"), F.lower(x["of_doc"]["value"]).alias("now")),
+            F.filter("pairs", lambda x: _is_slot(kind(x))),
+            lambda x: F.struct(kind(x).alias("type"), F.lower(x["of_item"]["value"]).alias("was"), F.lower(x["of_doc"]["value"]).alias("now")),
         )
     )
     both = both.withColumn("slots", values).filter(same)
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["type"], x["was"]))))
-    both = both.filter(consistent)
+    # of one alignment's readings, the consistent one that covers most
+    both = both.filter(consistent).groupBy("doc_id", "key", "item_id", "form", "n", "shift").agg(F.max_by(F.struct("reached", "slots", "item_words"), F.size("reached")).alias("b"))
+    both = both.select("doc_id", "item_id", "form", "b.*")
     per_item = both.groupBy("doc_id", "item_id", "form", F.size("item_words").alias("item_words")).agg(
         F.sum(F.size("reached")).cast("int").alias("all_words"),
         F.max(F.exists("slots", lambda x: x["was"] != x["now"])).alias("changed"),

@@ -97,3 +97,13 @@ def test_registered_tables(spark, sf_dir):
         item = " ".join(re.findall(r"\w+", r.text.lower()))
         whole = {(i, r.item_id) for i, t in texts if item in t}
         assert whole <= found
+
+
+SHORT = ["What is 12 plus 30?", "Compute 3 times 4 minus 5.", "Compute 12 x 7 + 3 x 9 - 4 x 5 + 6 = 1 2 3 4", "8 + 9 = ?", "20 21 22 23 24 25 26 27 28 29 30", "Anna Bert Carl Dora Emil Fritz Gerd Hans Ida"]
+
+
+def test_general_windows_are_found_by_their_values(spark):
+    docs = [(i, f"Question: {t} And so on.") for i, t in enumerate(SHORT)] + [(100 + i, t) for i, t in enumerate(SHORT)]
+    docs += [(200, "What is 13 plus 30?"), (201, "Compute 3 times 4 minus 6."), (202, "8 + 5 = ?"), (203, "20 21 22 23 24 25 26 27 28 29 31"[3:])]
+    found = {(r.doc_id, r.item_id, r.changed) for r in d.contaminated(*frames(spark, docs, list(enumerate(SHORT)))).collect()}
+    assert found == {(i + at, i, False) for i in range(len(SHORT)) for at in (0, 100)}
