@@ -108,7 +108,7 @@ def anchors(template: list[str], least: float) -> set[str]:
     """Words of which any passage with a coefficient of ``least`` holds one."""
     pairs = _bigrams(template)
     # a passage with fewer of the template's bigrams stays below, whatever its size
-    enough = len(pairs) * (2 - 2 * least) / (2 - least)
+    enough = len(pairs) * (2 - 2 * least) / (2 - least) + 1e-9
     chosen: set[str] = set()
     for word in sorted(set(template), key=lambda w: (-len(w), w)):
         if sum(not chosen.isdisjoint(p) for p in pairs) > enough:
@@ -151,7 +151,8 @@ class Scanner:
                 for word in anchors(found, least):
                     self._anchors.add_word(word, word)
         self._anchors.make_automaton()
-        self._bounds = [(n * least / (2 - least), n * (2 - least) / least) for n in self._sizes]
+        # one wider than the exact bounds, which floats may miss; the coefficient itself decides
+        self._bounds = [(n * least / (2 - least) - 1, n * (2 - least) / least + 1) for n in self._sizes]
         self._most = max(high for _, high in self._bounds)
 
     def scan(self, text: str) -> dict[str, tuple[float, int, int]]:

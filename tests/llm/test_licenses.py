@@ -60,3 +60,8 @@ def test_scan(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(frame, {"one": ("word",)})
+
+
+@pytest.mark.parametrize("text, name", [("It is released under the MIT License.", "MIT"), ("x\nthe BSD 2-Clause License.\ny", "BSD-2-Clause")])
+def test_a_coefficient_of_just_the_least_counts(text, name):
+    assert licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)[name][0] == 0.8
