@@ -71,41 +71,58 @@ def _may_name(x: Column) -> Column:
     return (x["word"] == F.lower(x["value"])) & (x["value"] != F.lower(x["value"])) & (x["value"] != F.upper(x["value"]))
 
 
-def marks(words: Column, size: int, least_literal: int, least_words: int, names: Column) -> Column:
-    """For each window of ``size`` template words, the array of hashes it is met by.
-
-    First that of the template. Where ``names`` holds, those of its other
-    readings follow, in which words that start sentences are names, as long as
-    ``least_literal`` plain words are left. A window that has fewer in its
-    barest reading, or that is shorter than ``least_words``, has the hash of its
-    values in addition.
+def marks(words: Column, size: int, least_literal: int, least_words: int, names: Column, searched: bool) -> Column:
+    """Array of ``(at, mark, first)``: the hashes that windows of ``size`` template words are met by.
+
+    ``first`` is that of the template. Where ``names`` holds, those of its other
+    readings follow, in which words that start sentences are names; the ``searched``
+    side has none with fewer than ``least_literal`` plain words. A window
+    that has fewer than ``least_literal`` plain words in its barest reading, or
+    that is shorter than ``least_words``, has the hash of its values as well.
+    Windows with more than one hash are found from the few words that make them so.
     """
-    least = min(least_literal, size)
-    hashes = F.transform(words, lambda x: F.xxhash64(x["word"]))
-    named = F.transform(words, lambda x: F.when(names & _may_name(x), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(x["word"])))
-    plain = lambda w: F.size(F.array_remove(F.array_remove(F.array_remove(w, F.xxhash64(F.lit(NUMBER))), F.xxhash64(F.lit(NAME))), F.xxhash64(F.lit(UNIT))))
-    none = F.array().cast("array<bigint>")
+    mark = lambda i, h, first: F.struct(i.cast("int").alias("at"), h.alias("mark"), F.lit(first).alias("first"))
+    slots = [F.xxhash64(F.lit(w)) for w in (NUMBER, NAME, UNIT)]
+    telling = lambda w: F.size(F.filter(w, lambda h: ~h.isin(*slots))) >= min(least_literal, size)
+    empty = F.array().cast("array<struct<at:int,mark:bigint,first:boolean>>")
     step = lambda found, x: F.flatten(
         F.transform(found, lambda a: F.when(x["h"] == x["t"], F.array(F.concat(a, F.array(x["h"])))).otherwise(F.array(F.concat(a, F.array(x["h"])), F.concat(a, F.array(x["t"])))))
     )
 
-    def readings(h: Column, t: Column) -> Column:
-        both = F.zip_with(h, t, lambda x, y: F.struct(x.alias("h"), y.alias("t")))
-        every = F.aggregate(both, F.array(none), step)
-        mixed = F.filter(every, lambda a: (a != h) & (plain(a) >= least))
-        single = F.when(plain(t) >= least, F.array(F.xxhash64(t))).otherwise(none)
-        return F.when(h == t, none).when(plain(h) - plain(t) == 1, single).otherwise(F.transform(mixed, lambda a: F.xxhash64(a)))
+    def around(places: Column, needed: int, last: Column) -> Column:
+        """Starts of the windows that hold ``needed`` or more of the places."""
+        close = F.filter(F.transform(places, lambda p, j: F.struct(p.alias("p"), F.get(places, j + (needed - 1)).alias("q"))), lambda x: x["q"] - x["p"] < size)
+        return F.array_distinct(F.flatten(F.transform(close, lambda x: F.sequence(F.greatest(F.lit(1), x["q"] - (size - 1)), F.least(x["p"], last)))))
 
-    def each(i: Column, h: Column, t: Column) -> Column:
+    def mixed(i: Column, h: Column, t: Column) -> Column:
         h, t = F.slice(h, i, size), F.slice(t, i, size)
-        values = F.array(F.xxhash64(F.lit("values"), F.transform(F.slice(words, i, size), lambda x: F.lower(x["value"]))))
-        exact = values if size < least_words else F.when(plain(t) < least, values).otherwise(none)
-        others = none if size < least_words else readings(h, t)
-        return F.concat(F.array(F.xxhash64(h)), others, exact)
-
-    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-    all_of = lambda p: F.transform(starts, lambda i: each(i, p["h"], p["t"]))
-    return F.when(F.size(words) >= size, _let(F.struct(hashes.alias("h"), named.alias("t")), all_of)).otherwise(F.array().cast("array<array<bigint>>"))
+        every = F.aggregate(F.zip_with(h, t, lambda x, y: F.struct(x.alias("h"), y.alias("t"))), F.array(F.array().cast("array<bigint>")), step)
+        return F.transform(F.filter(every, lambda a: (a != h) & (a != t) & (telling(a) if searched else F.lit(True))), lambda a: mark(i, F.xxhash64(a), False))
+
+    def every(p: Column) -> Column:
+        h, t, last = p["h"], p["t"], F.size(p["h"]) - (size - 1)
+        found = [F.transform(F.sequence(F.lit(1), last), lambda i: mark(i - 1, F.xxhash64(F.slice(h, i, size)), True))]
+        by_values = F.sequence(F.lit(1), last)
+        if size >= least_words:
+            named = around(p["may"], 1, last)
+            named = F.filter(named, lambda i: telling(F.slice(t, i, size))) if searched else named
+            found.append(F.transform(named, lambda i: mark(i - 1, F.xxhash64(F.slice(t, i, size)), False)))
+            several = F.flatten(F.transform(around(p["may"], 2, last), lambda i: mixed(i, h, t)))
+            found.append(F.transform(several, lambda m: mark(m["at"] - 1, m["mark"], False)))
+            by_values = around(p["bare"], size - min(least_literal, size) + 1, last)
+        value = lambda i: F.xxhash64(F.lit("values"), F.transform(F.slice(words, i, size), lambda x: F.lower(x["value"])))
+        found.append(F.transform(by_values, lambda i: mark(i - 1, value(i), False)))
+        return F.concat(*found)
+
+    kinds = F.transform(words, lambda x: F.when(_is_slot(x["word"]), 1).when(names & _may_name(x), 2).otherwise(0))
+    places = lambda k, test: F.filter(F.transform(k, lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull())
+
+    def hashed(p: Column) -> Column:
+        other = F.zip_with(p["h"], p["k"], lambda h, k: F.when(k == 2, F.xxhash64(F.lit(NAME))).otherwise(h))
+        return F.struct(p["h"].alias("h"), other.alias("t"), places(p["k"], lambda k: k == 2).alias("may"), places(p["k"], lambda k: k > 0).alias("bare"))
+
+    hashes = F.struct(F.transform(words, lambda x: F.xxhash64(x["word"])).alias("h"), kinds.alias("k"))
+    return F.when(F.size(words) >= size, _let(_let(hashes, hashed), every)).otherwise(empty)
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,26 +168,24 @@ def contaminated(
         empty = "doc_id bigint, item_id bigint, words int, item_words int, changed boolean"
         return docs.sparkSession.createDataFrame([], empty)
 
-    def placed(rows: DataFrame, keys: list[str], n: int, names: Column) -> DataFrame:
-        met_by = marks(F.col("words"), n, least_literal, least_words, names)
-        each = rows.select(*keys, F.posexplode(met_by).alias("at", "marks"))
-        return each.select(*keys, "at", F.posexplode("marks").alias("reading", "mark"))
+    def placed(rows: DataFrame, keys: list[str], n: int, names: Column, searched: bool) -> DataFrame:
+        return rows.select(*keys, F.inline(marks(F.col("words"), n, least_literal, least_words, names, searched)))
 
     literal = lambda i, n: F.size(F.filter(F.slice("words", i + 1, n), lambda x: ~_is_slot(x["word"])))
     index = None
     for n in sizes:
-        rows = placed(items.filter(F.col("size") == n), ["item_id", "form", "words"], n, F.col("form") < 2)
+        rows = placed(items.filter(F.col("size") == n), ["item_id", "form", "words"], n, F.col("form") < 2, searched=True)
         general = literal(F.col("at"), n) < min(least_literal, n) if n >= least_words else F.lit(True)
-        rows = rows.filter((F.col("reading") > 0) | ~general)
-        rows = rows.select("item_id", "form", F.col("at").alias("item_at"), F.col("mark").alias("bench_mark"), (F.col("reading") == 0).alias("bench_first"), F.lit(n).alias("n"))
+        rows = rows.filter(~F.col("first") | ~general)
+        rows = rows.select("item_id", "form", F.col("at").alias("item_at"), F.col("mark").alias("bench_mark"), F.col("first").alias("bench_first"), F.lit(n).alias("n"))
         index = rows if index is None else index.unionByName(rows)
     index = stage(index, "bench-windows")
 
     keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), template(F.col("text")).alias("words"))
     found = None
     for n in sizes:
-        met = placed(keyed, ["doc_id", "key"], n, F.lit(True)).join(index.filter(F.col("n") == n), F.col("mark") == F.col("bench_mark"))
-        first = F.when((F.col("reading") == 0) & F.col("bench_first"), F.col("item_at"))
+        met = placed(keyed, ["doc_id", "key"], n, F.lit(True), searched=False).join(index.filter(F.col("n") == n), F.col("mark") == F.col("bench_mark"))
+        first = F.when(F.col("first") & F.col("bench_first"), F.col("item_at"))
         met = met.select("doc_id", "key", "item_id", "form", "n", "item_at", first.alias("first_at"), (F.col("at") - F.col("item_at")).alias("shift"))
         found = met if found is None else found.unionByName(met)
     # at most one row per window of the item in each alignment

@@ -107,3 +107,15 @@ def test_general_windows_are_found_by_their_values(spark):
     docs += [(200, "What is 13 plus 30?"), (201, "Compute 3 times 4 minus 6."), (202, "8 + 5 = ?"), (203, "20 21 22 23 24 25 26 27 28 29 31"[3:])]
     found = {(r.doc_id, r.item_id, r.changed) for r in d.contaminated(*frames(spark, docs, list(enumerate(SHORT)))).collect()}
     assert found == {(i + at, i, False) for i in range(len(SHORT)) for at in (0, 100)}
+
+
+TWO = ["Alice has 5 apples and gives 2 to Bob. How many are left?", "Alice buys 12 apples at the market. Bob takes 3 of them. How many apples does Alice have now?"]
+
+
+def test_names_that_start_sentences(spark):
+    docs = [
+        (0, "Mary has 7 apples and gives 4 to Tom. How many are left?"), (1, "So: Mary buys 9 apples at the market. Tom takes 4 of them. How many apples does Mary have now?"),
+        (2, "Mary buys 9 apples at the market. Tom takes 4 of them. how many apples does Carol have now?"), (3, TWO[1]), (4, "Mary buys 9 apples at the market. Tom takes 4 of them. how many apples does Mary have now?"),
+    ]
+    found = {(r.doc_id, r.item_id, r.words) for r in d.contaminated(*frames(spark, docs, list(enumerate(TWO)))).collect()}
+    assert found == {(0, 0, 13), (1, 1, 19), (3, 1, 19), (4, 1, 19)}
