@@ -41,15 +41,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id."""
-    return simhash.one_of_each(docs, stage(simhash.near_duplicates(docs), "duplicates"))
+    """One document of each class of near-duplicates, that with the smallest id if any has one."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = stage(found.select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    rows = stage(docs.withColumn("__nth", F.monotonically_increasing_id()), "decontamination-rows")
+    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__nth")
+    hit = stage(found.select(F.col("doc_id").alias("__nth")).distinct(), "contaminated")
+    return rows.join(hit, "__nth", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from crossfade.llm.components import connected_components
 from crossfade.llm.text import byte_texts, pieces
@@ -277,3 +278,28 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     kept = docs.join(names, F.col(id_col) == F.col("__name"), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *[c for c in docs.columns if c not in (id_col, text_col)])
     return kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(*docs.columns)
+
+
+def representatives(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class of :func:`classes`, with or without ids.
+
+    It is that with the smallest doc_id, NULL after all others; among rows of
+    one doc_id the hash of their columns decides. Rows with one doc_id but texts
+    of different classes stay, one for each class. An empty table gives none.
+    """
+    at = docs.columns.index(text_col)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, words) for t in byte_texts(batch.column(at))], dtype=np.uint64)
+            yield batch.append_column("__fp", pa.array(found.view(np.int64)))
+
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    rows = stage(docs.mapInArrow(compute, schema).withColumn("__nth", F.monotonically_increasing_id()), "simhash-rows")
+    own = F.col(id_col).cast("bigint")
+    first = F.struct(own.isNull().alias("unnamed"), own.alias("own"), F.xxhash64(*docs.columns).alias("row"), F.col("__nth").alias("nth"))
+    distinct = stage(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("first")), "simhash-distinct")
+    roots = stage(connected_components(links(distinct.select("fp"), most)), "simhash-roots")
+    named = distinct.join(roots, F.col("fp") == F.col("vertex"), "left")
+    chosen = named.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.nth").alias("__nth"))
+    return rows.join(stage(chosen, "simhash-chosen"), "__nth", "left_semi").select(*docs.columns)

@@ -39,3 +39,11 @@ def test_empty_documents(spark, sf_dir):
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.columns[:3] == ["doc_id", "start", "length"] and found.count() > 0
+
+
+def test_clean_documents_without_id_stay(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(None, "one clean text", None, None, 14), (None, "and another clean one", None, None, 21), (None, f"Before. {item} Behind.", None, None, 0)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    kept = corpus_pipeline.decontamination(spark, corpus_pipeline.near_duplicates(spark, docs, sf_dir), sf_dir)
+    assert {r.text for r in kept.collect()} == {"one clean text", "and another clean one"}

@@ -95,3 +95,11 @@ def test_components_of_chains_and_stars(spark):
     found = connected_components(spark.createDataFrame(links, "a bigint, b bigint"))
     got = {r.vertex: r.root for r in found.collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {149: 149, 150: 149}
+
+
+def test_every_class_keeps_one_row_with_or_without_ids(spark):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 2), (None, "a b c d", 3), (None, "only null id here", 4), (None, "only null id here", 4), (7, "a text of its own", 5), (7, "and quite another one of that id", 6)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string, n int"))
+    found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert found == sorted([(1, "a b c d"), (0, "only null id here"), (7, "a text of its own"), (7, "and quite another one of that id")])
+    assert simhash.representatives(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
