@@ -87,7 +87,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document."""
     shards = [f"shard-{i:02d}" for i in range(oracles.SHARDS)]
-    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), shards, oracles.SLOTS)
+    return sharding.place(table(spark, sf_dir, "documents"), shards, oracles.SLOTS).select("doc_id", "slot", "shard")
 
 
 def _captures(pages: DataFrame) -> DataFrame:

@@ -44,3 +44,11 @@ def test_place(spark, tmp_path):
     sharding.write(placed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
     assert sharding.place(frame.limit(0), ["x"], 101).count() == 0
+
+
+def test_query_spreads_documents_without_id(spark, tmp_path):
+    from crossfade.llm.queries import op4_sharding
+
+    spark.createDataFrame([(None, f"text {i}") for i in range(300)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = op4_sharding(spark, str(tmp_path)).collect()
+    assert len(found) == 300 and len({r.shard for r in found}) > 16
