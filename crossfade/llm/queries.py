@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crossfade.llm import ann, chat, decontaminate, langid, licenses, oracles, packing, quality, sharding, simhash, urlfilter
+from crossfade.llm import ann, chat, decontaminate, langid, licenses, oracles, packing, quality, sharding, simhash, structure, urlfilter, warc, zonemap
+from crossfade.sources.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +124,43 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.evaluate(_captures(pages), _entries(pages))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Turns with planted faults; ``present`` is false for those that are dropped."""
+    role, text, conv_id, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text", "conv_id", "turn"))
+    fault = F.crc32(F.concat_ws(":", conv_id, turn)) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text)
+    copies = F.explode(F.sequence(F.lit(0), F.when(fault == 3, 1).otherwise(0)))
+    rows = rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(role).alias("role"), text.alias("text"), (fault != 0).alias("present"), copies)
+    return rows.drop("col")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    rows, there = _damaged(table(spark, sf_dir, "conversations")), F.col("present")
+    found = structure.diagnosed(rows, present=there)
+    repaired = structure.digests(structure.repaired(rows, found, present=there)).withColumnRenamed("conv_id", "repaired")
+    return found.drop("signature").join(repaired, F.col("conv_id").eqNullSafe(F.col("repaired"))).drop("repaired")
+
+
+@query
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rounds of forty centroids over all vectors, and the last assignment."""
+    return zonemap.summarised(*zonemap.clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, salt="2"))
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = stage_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = stage(warc.payloads(warc.records(spark, path), keep=False).filter(F.col("type") != "warcinfo"), "warc-records")
+    record = warc.resolved(found)
+    return record.select(
+        warc.id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.id_of(F.col("refers_to")).alias("refers_to"), "segments", "intact"
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
