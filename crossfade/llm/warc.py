@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 _VERSION = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
-#: Where one record ends and the next one begins.
-_MARK = _END + _VERSION
+#: Where archives are cut. No start of it is an end of it: Hadoop's reader of lines
+#: misses a delimiter with such a border at the edges of its buffers.
+_MARK = _VERSION
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + _END
 _CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
 _SIZE = re.compile(rb"[0-9A-Fa-f]+")
+#: Bytes within which a record's head has to end.
+_HEAD = 1 << 20
 #: Bytes a task gathers before it passes them on.
 _BATCH = 1 << 22
 
@@ -214,26 +217,30 @@ _PAYLOAD_TYPES = pa.schema(
 def _whole(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
     """``(record, intact)`` of one archive that was cut at every mark.
 
-    A block may hold the mark itself; pieces are joined until the record has its
-    stated length.
+    A record may hold the mark itself; pieces are joined until it has its stated
+    length. What stands before the first mark counts for nothing.
     """
     held: list[bytes] = []
     size, due = 0, None
+
+    def closed() -> tuple[bytes, bool]:
+        record = _MARK.join(held)
+        end = len(record) if due is None else due
+        return record[:end], due is not None and size >= due and not record[end:].strip(b"\r\n")
+
+    next(pieces, None)
     for piece in pieces:
-        if held and (due is None or size < due):
+        if held and (size < due if due is not None else size <= _HEAD):
             held.append(piece)
             size += len(_MARK) + len(piece)
-            if due is None:  # its block starts like the mark's end
-                due = _due(_MARK.join(held)) or 0
         else:
             if held:
-                yield _MARK.join(held), size == due
-            head = piece.removeprefix(_VERSION)
-            held, size, due = [head], len(head), _due(head)
+                yield closed()
+            held, size, due = [piece], len(piece), None
+        if due is None and size <= _HEAD:
+            due = _due(_MARK.join(held))
     if held:
-        last = _MARK.join(held)
-        # the end of the archive is the end of its last record
-        yield (last[:due], True) if last[due:] == _END else (last, False)
+        yield closed()
 
 
 def _due(head: bytes) -> int | None:

@@ -44,6 +44,13 @@ def test_records_come_back_from_a_cut_archive(blocks):
     assert found == [(r.removeprefix(b"WARC/1.1\r\n"), True) for r in records]
 
 
+def test_no_record_is_missed_at_the_edges_of_read_buffers(spark):
+    rows = [(i, f"http://h/{i}/WARC/1.1", "\r\n" * (i % 7) + "x" * (i * 31 % 251) + "\r\n" * (i % 5) + str(i), "", 0) for i in range(20_000)]
+    found = warc.payloads(warc.records(spark, written(spark, rows))).filter("type = 'response'").collect()
+    assert len(found) == len(rows) and all(r["intact"] for r in found)
+    assert {bytes(r["payload"]).decode() for r in found} == {r[2] for r in rows}
+
+
 def written(spark, rows, schema=PAGES, **how):
     path = stage_path(spark, "warc")
     warc.write(spark.createDataFrame(rows, schema), path, **how)
