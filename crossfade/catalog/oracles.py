@@ -330,6 +330,38 @@ jacobi(step, a, v) AS (
 )"""
 
 
+def _loess(single) -> str:
+    """Local quadratics at the few relative times, on the panel's rows."""
+    unit = "(CAST(x AS DOUBLE) - v) / h"
+    weight = "CASE WHEN h = 0 THEN CAST(x = v AS INTEGER) WHEN abs(x - v) < h THEN pow(1 - pow(abs(CAST(x AS DOUBLE) - v) / h, 3), 3) ELSE 0 END"
+    sums = ", ".join(
+        [f"sum(w * pow(z, {k})) AS s{k}" for k in range(5)] + [f"sum(w * y * pow(z, {k})) AS t{k}" for k in range(3)] + [f"sum(w * w * pow(z, {k})) AS q{k}" for k in range(5)]
+    )
+    # the first row of the inverse; a fit with fewer than three x in reach is the mean at the point
+    det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
+    row = f"[(s2 * s4 - s3 * s3) / {det}, (s2 * s3 - s1 * s4) / {det}, (s1 * s3 - s2 * s2) / {det}]"
+    variance = " + ".join(f"c[{i + 1}] * c[{j + 1}] * q{i + j}" for i in range(3) for j in range(3))
+    density = "exp(ls - (df + 1) / 2 * ln(1 + {0} * {0} / df))".format
+    at = "(exp(ln(1 + t) * i / 2000) - 1)"
+    area = f"list_sum([(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density(at)} * exp(ln(1 + t) * i / 2000) FOR i IN range(0, 2001)]) * ln(1 + t) / 6000"
+    return single(
+        f"SELECT position_group, v AS rel_time, n, {r('fit', 'fit')}, {r('se', 'se')}, {r('df', 'df')}, {r('fit - t * se', 'low')}, {r('fit + t * se', 'high')} "
+        "FROM (SELECT *, CASE WHEN df > 1e-6 THEN sqrt(rss / df * factor) END AS se FROM fits JOIN stats USING (position_group)) LEFT JOIN quantile USING (position_group)",
+        "obs AS (SELECT position_group, rel_time AS x, z_score AS y, count(*) OVER (PARTITION BY position_group) AS n FROM panel WHERE z_score IS NOT NULL AND rel_time IS NOT NULL), "
+        "spots AS (SELECT DISTINCT position_group, CAST(x AS DOUBLE) AS v FROM obs), "
+        "widths AS (SELECT position_group, v, list_sort(list(abs(x - v)))[greatest(CAST(floor(any_value(n) * CAST(0.75 AS DOUBLE) + 1e-5) AS BIGINT), 1)] AS h FROM obs JOIN spots USING (position_group) GROUP BY 1, 2), "
+        f"weighed AS (SELECT *, {weight} AS w, CASE WHEN h = 0 THEN 0 ELSE {unit} END AS z FROM obs JOIN widths USING (position_group)), "
+        f"moments AS (SELECT position_group, v, any_value(n) AS n, count(DISTINCT x) AS reach, avg(y) FILTER (WHERE x = v) AS here, count(*) FILTER (WHERE x = v) AS rows_here, {sums} FROM weighed WHERE w > 0 GROUP BY 1, 2), "
+        f"solved AS (SELECT *, {row} AS c FROM moments), "
+        f"fits AS (SELECT *, CASE WHEN reach < 3 THEN here ELSE c[1] * t0 + c[2] * t1 + c[3] * t2 END AS fit, "
+        f"CASE WHEN reach < 3 THEN 1 / rows_here ELSE {variance} END AS factor, CASE WHEN reach < 3 THEN 1 / rows_here ELSE c[1] END AS own FROM solved), "
+        "stats AS (SELECT position_group, sum(pow(y - fit, 2)) AS rss, count(*) - sum(own) AS df FROM obs JOIN (SELECT position_group, v, fit, own FROM fits) USING (position_group) WHERE x = v GROUP BY 1), "
+        f"steps(position_group, df, ls, t, k) AS (SELECT position_group, df, lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()), CAST({NormalDist().inv_cdf(0.975)!r} AS DOUBLE), 0 FROM stats WHERE df > 1e-6 "
+        f"UNION ALL SELECT position_group, df, ls, t + (0.475 - {area}) / {density('t')}, k + 1 FROM steps WHERE k < 12), "
+        "quantile AS (SELECT position_group, t FROM steps WHERE k = 12)",
+    ).replace("WITH ev AS", "WITH RECURSIVE ev AS", 1)
+
+
 def oracles() -> dict[str, str]:
     o: dict[str, str] = {}
 
@@ -832,6 +864,7 @@ def oracles() -> dict[str, str]:
         f"SELECT position_group, rel_time, count(z_score) AS n, {r('avg(z_score)', 'mean_z')}, "
         f"{r('stddev_samp(z_score) / sqrt(count(z_score))', 'se_z')} FROM panel GROUP BY 1, 2"
     )
+    o["trajectory_loess"] = _loess(single)
     quarter = {n: _quantile("team_quality", p) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
     inside = "team_quality BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
     o["boxplot_stats"] = flags(

@@ -17,7 +17,7 @@ from crossfade.catalog import fixture as fx
 from crossfade.functions import exprs as X
 from crossfade.models import mixed
 from crossfade.models import regressors as R
-from crossfade.operators import charts, clean, encode, filters, joins, metrics, profile, split, windows
+from crossfade.operators import charts, clean, encode, filters, joins, metrics, profile, smooth, split, windows
 from crossfade.plans import effects, features
 from crossfade.plans import panel as P
 from crossfade.sources import scan, sinks
@@ -991,6 +991,11 @@ def _(spark, d):
     return charts.trajectory_by_position(single(spark, d))
 
 
+@query("trajectory_loess")
+def _(spark, d):
+    return smooth.loess(single(spark, d))
+
+
 @query("boxplot_stats")
 def _(spark, d):
     return charts.boxplot_stats(panel(spark, d))
@@ -1023,6 +1028,11 @@ def _(spark, d):
     return charts.residual_vs_fitted(scored(spark, d))
 
 
+@query("residual_spline")
+def _(spark, d):
+    return smooth.spline_curve(scored(spark, d))
+
+
 @query("error_histogram")
 def _(spark, d):
     return charts.error_histogram(scored(spark, d))
