@@ -830,21 +830,42 @@ def oracles() -> dict[str, str]:
         for i in range(1, p + 1)
     )
     means = ", ".join(f"avg(x[{i}])" for i in range(1, p + 1))
+    framed = (
+        f"{prepared}, framed AS (SELECT {KEYS}, {value('z_score')} AS y, [{x}] AS x, {_share('gsis_id')} AS share FROM complete), "
+        f"centre AS (SELECT avg(y) AS my, [{means}] AS mx FROM framed WHERE share >= 20), "
+    )
+    predicted = (
+        f"SELECT {KEYS}, position_group AS position, {r('y', 'actual')}, {r('yhat', 'predicted')}, "
+        f"{r('y - yhat', 'error')}, {r('abs(y - yhat)', 'abs_error')} FROM (SELECT *, "
+        f"my + list_sum([(x[i] - mx[i]) * b[i] FOR i IN range(1, {p + 1})]) AS yhat "
+        "FROM framed CROSS JOIN centre CROSS JOIN slopes WHERE share < 20)"
+    )
     o["ridge"] = recursive(
         flags(
-            f"SELECT {KEYS}, position_group AS position, {r('y', 'actual')}, {r('yhat', 'predicted')}, "
-            f"{r('y - yhat', 'error')}, {r('abs(y - yhat)', 'abs_error')} FROM (SELECT *, "
-            f"my + list_sum([(x[i] - mx[i]) * b[i] FOR i IN range(1, {p + 1})]) AS yhat "
-            "FROM framed CROSS JOIN centre CROSS JOIN slopes WHERE share < 20)",
-            f"{prepared}, framed AS (SELECT {KEYS}, {value('z_score')} AS y, [{x}] AS x, {_share('gsis_id')} AS share FROM complete), "
-            f"centre AS (SELECT avg(y) AS my, [{means}] AS mx FROM framed WHERE share >= 20), "
-            f"gauss(k, m) AS (SELECT 0, [{normal}] FROM framed CROSS JOIN centre WHERE share >= 20 UNION ALL SELECT k + 1, "
+            predicted,
+            f"{framed}gauss(k, m) AS (SELECT 0, [{normal}] FROM framed CROSS JOIN centre WHERE share >= 20 UNION ALL SELECT k + 1, "
             f"[CASE WHEN i = k + 1 THEN [e / m[i][i] FOR e IN m[i]] ELSE "
             f"[m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] FOR j IN range(1, {p + 2})] END FOR i IN range(1, {p + 1})] "
             f"FROM gauss WHERE k < {p}), "
             f"slopes AS (SELECT [row[{p + 1}] FOR row IN m] AS b FROM gauss WHERE k = {p})",
         )
     )
+    products = ", ".join("[" + ", ".join(f"avg({around(i)} * {around(j)})" for j in range(1, p + 2)) + "]" for i in range(1, p + 1))
+    # a sweep goes through the columns in turn: each step takes the slopes so far and a column's number
+    j = "CAST(col[1] AS BIGINT)"
+    rho = f"(m[{j}][{p + 1}] - list_sum([m[{j}][i] * now[i] FOR i IN range(1, {p + 1})]) + m[{j}][{j}] * now[{j}])"
+    for name, l1, l2, sweeps in (("lasso", 0.1, 0.0, 150), ("elastic_net", 0.05, 0.05, 300)):
+        step = f"CASE WHEN m[{j}][{j}] + {l2} > 0 THEN sign({rho}) * greatest(abs({rho}) - {l1}, 0) / (m[{j}][{j}] + {l2}) ELSE 0 END"
+        sweep = f"list_reduce([b] || [[CAST(i AS DOUBLE)] FOR i IN range(1, {p + 1})], lambda now, col: now[1:{j} - 1] || [{step}] || now[{j} + 1:])"
+        o[name] = recursive(
+            flags(
+                predicted,
+                f"{framed}products AS (SELECT [{products}] AS m FROM framed CROSS JOIN centre WHERE share >= 20), "
+                f"descent(k, b) AS (SELECT 0, [CAST(0 AS DOUBLE) FOR i IN range({p})] UNION ALL "
+                f"SELECT k + 1, {sweep} FROM descent CROSS JOIN products WHERE k < {sweeps}), "
+                f"slopes AS (SELECT b FROM descent WHERE k = {sweeps})",
+            )
+        )
     o["icc_null_model"] = single(
         f"SELECT n_entities, n_rows, {r('msb', 'ms_between')}, {r('msw', 'ms_within')}, {r('n0', 'n0')}, "
         f"{r('greatest((msb - msw) / n0, 0)', 'var_entity')}, "

@@ -62,6 +62,37 @@ def test_elastic_net_is_coordinate_descent(arrays, frame):
     assert got == pytest.approx(_descend(*arrays, 0.05, 0.05), abs=1e-6)
 
 
+def test_optimality_of_correlated_columns(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(0, 1, (500, 4))
+    x = np.concatenate([base, base[:, :2] * 3 + 1e-3 * rng.normal(0, 1, (500, 2)), 1e6 + base[:, 2:3] ** 2, np.full((500, 1), 7.0)], axis=1)
+    y = x @ [1, -1, 0.2, 0, 0.3, 0, 0.5, 1] + rng.normal(0, 0.5, 500)
+    columns = [f"x{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([(*map(float, v), float(t)) for v, t in zip(x, y)], [*columns, "z_score"])
+    xc, yc = x - x.mean(0), y - y.mean()
+    for model, l1, l2 in ((R.fit_lasso(df, columns, max_iter=100_000), 0.1, 0.0), (R.fit_elastic_net(df, columns), 0.05, 0.05)):
+        b = _coefficients(model)[:-1]
+        slope = xc.T @ (yc - xc @ b) / 500 - l2 * b
+        # zero where the slope is within the penalty, else on its edge
+        assert (np.abs(slope) <= l1 + 1e-6).all() and np.abs(slope - l1 * np.sign(b))[b != 0].max() < 1e-6
+        assert b[-1] == 0
+
+
+def test_products_of_shifted_columns_and_no_rows(spark):
+    df = spark.createDataFrame([(1e9 + i, float(i % 3)) for i in range(9)], "a double, b double")
+    n, means, products = R.cross_products(df, ["a", "b"])
+    assert n == 9 and means == pytest.approx([1e9 + 4, 1.0])
+    assert products == pytest.approx(np.cov(np.array([np.arange(9.0), np.arange(9) % 3]), bias=True))
+    n, means, products = R.cross_products(df.filter("b > 5"), ["a", "b"])
+    assert n == 0 and not products.any()
+
+
+def test_descent_says_when_it_has_not_converged():
+    gram = np.array([[1.0, 0.999999], [0.999999, 1.0]])
+    with pytest.raises(ArithmeticError):
+        R.descend(gram, np.array([0.5, 0.4]), 1.0, 0.01, 0.0, 3)
+
+
 def test_comparison_agrees_with_the_evaluator(frame):
     models = {
         "Ridge": R.fit_ridge(frame, FEATURES),
