@@ -8,11 +8,16 @@ checked for consistent slots: where an item repeats a value, the document has
 to repeat its own. A document is contaminated by an item if enough of the
 item's words are covered.
 
-A benchmark word that looks like a name is indexed as a name and as a plain
-word, so a copy in lower or upper case is found as well; an item's first word is
-indexed as it would look within a sentence, too. A capitalised word that starts
-a sentence has both readings, in items and in documents. Windows too general for
-their template to tell anything are joined by their values instead.
+A document's window has one hash, in which every capitalised word is a name. A
+word that starts a sentence may be a plain word as well; which it is shows when
+words are compared, and the few windows of the benchmark are indexed with such
+words either way. Windows too general for their template to tell anything are
+joined by their values instead.
+
+Hashes of windows are put together from those of their halves, so a word costs
+a few hashes whatever the size of windows. Documents are probed against the
+distinct hashes of the benchmark; whatever else is needed is read for those
+that meet one.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 
 from crossfade.sources.staging import stage
 
+#: Scripts without blanks between words: each letter is a word.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 #: A number, a word, or what ends a sentence.
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}]*|[.!?\n]"
+TOKEN = rf"[0-9]+(?:[.,][0-9]+)*|[\p{{L}}&&[^{_UNSPACED}]][\p{{L}}\p{{M}}&&[^{_UNSPACED}]]*|[\p{{L}}&&[{_UNSPACED}]]|[.!?\n]"
 ENDS = (".", "!", "?", "\n")
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Words that are units behind a number.
@@ -71,58 +78,144 @@ def _may_name(x: Column) -> Column:
     return (x["word"] == F.lower(x["value"])) & (x["value"] != F.lower(x["value"])) & (x["value"] != F.upper(x["value"]))
 
 
-def marks(words: Column, size: int, least_literal: int, least_words: int, names: Column, searched: bool) -> Column:
-    """Array of ``(at, mark, first)``: the hashes that windows of ``size`` template words are met by.
+#: Kinds of a document's words: plain, number, unit, name, and a capitalised word that starts a sentence.
+_PLAIN, _NUM, _UNIT, _NAME, _START = range(5)
+_END_CODES = [ord(e) for e in ENDS]
+#: Hashes of the benchmark that are broadcast; more are joined as the planner likes.
+MOST_MARKS = 1 << 21
+#: Texts whose hashes are broadcast to find them again; more are joined as the planner likes.
+MOST_HITS = 1 << 20
 
-    ``first`` is that of the template. Where ``names`` holds, those of its other
-    readings follow, in which words that start sentences are names; the ``searched``
-    side has none with fewer than ``least_literal`` plain words. A window
-    that has fewer than ``least_literal`` plain words in its barest reading, or
-    that is shorter than ``least_words``, has the hash of its values as well.
-    Windows with more than one hash are found from the few words that make them so.
+
+def coded(text: Column) -> Column:
+    """Array of ``(kind, value)``: the words of a text as small numbers and hashes of their lower case.
+
+    The same words as :func:`template` gives, which stays the definition; this
+    form is what every word of every document can pay for.
     """
-    mark = lambda i, h, first: F.struct(i.cast("int").alias("at"), h.alias("mark"), F.lit(first).alias("first"))
-    slots = [F.xxhash64(F.lit(w)) for w in (NUMBER, NAME, UNIT)]
-    telling = lambda w: F.size(F.filter(w, lambda h: ~h.isin(*slots))) >= min(least_literal, size)
-    empty = F.array().cast("array<struct<at:int,mark:bigint,first:boolean>>")
-    step = lambda found, x: F.flatten(
-        F.transform(found, lambda a: F.when(x["h"] == x["t"], F.array(F.concat(a, F.array(x["h"])))).otherwise(F.array(F.concat(a, F.array(x["h"])), F.concat(a, F.array(x["t"])))))
+
+    def code(r: Column, t: Column, i: Column) -> Column:
+        first, before = F.ascii(t), F.ascii(F.coalesce(F.get(r, i - 1), F.lit(".")))
+        digit = lambda c: (c >= ord("0")) & (c <= ord("9"))
+        low = F.lower(t)
+        cased = F.when((t == low) | (t == F.upper(t)), _PLAIN).when(before.isin(*_END_CODES), _START).otherwise(_NAME)
+        kind = F.when(first.isin(*_END_CODES), F.lit(None)).when(digit(first), _NUM).when(digit(before) & low.isin(*UNITS), _UNIT).otherwise(cased)
+        return F.struct(kind.alias("kind"), F.xxhash64(low).alias("value"))
+
+    tokens = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.filter(_let(tokens, lambda r: F.transform(r, lambda t, i: code(r, t, i))), lambda x: x["kind"].isNotNull())
+
+
+def _halves(n: int) -> int:
+    """The greatest power of two within ``n``."""
+    return 1 << (n.bit_length() - 1)
+
+
+def _joined(left: Column, right: Column, by: int) -> Column:
+    """Hashes of each element of ``left`` with that of ``right`` which stands ``by`` places on."""
+    shifted = lambda h: F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1)))
+    return F.zip_with(left, _let(right, shifted), lambda a, b: F.xxhash64(a, b))
+
+
+def _rolled(words: Column, n: int) -> Column:
+    """Hashes of the ``n`` words from each place on; those at the last places mean nothing."""
+    m, ahead = 1, words
+    while m < _halves(n):
+        ahead = _let(ahead, _doubled(m))
+        m *= 2
+    return ahead if m == n else _joined(ahead, _rolled(words, n - m), m)
+
+
+def _doubled(m: int):
+    return lambda h: _joined(h, h, m)
+
+
+def _hashed(word, n: int, at: int = 0) -> Column:
+    """The hash of ``n`` words, ``word(k)`` the one at ``k``; as :func:`_rolled` puts it together."""
+    if n == 1:
+        return word(at)
+    m = _halves(n) // 2 if n == _halves(n) else _halves(n)
+    return F.xxhash64(_hashed(word, m, at), _hashed(word, n - m, at + m))
+
+
+def _by_values(value: Column, i: Column, n: int) -> Column:
+    """The hash of the values of the ``n`` words from ``i`` on."""
+    return F.xxhash64(F.lit("values"), _hashed(lambda k: F.get(value, i + k), n))
+
+
+def _slot_hashes() -> list[Column]:
+    return [F.xxhash64(F.lit(w)) for w in (NUMBER, UNIT, NAME)]
+
+
+def _starts(places: Column, needed: int, size: int, last: Column) -> Column:
+    """Starts of the windows that hold ``needed`` or more of the places (from 0, in order)."""
+    close = F.filter(F.transform(places, lambda p, j: F.struct(p.alias("p"), F.get(places, j + (needed - 1)).alias("q"))), lambda x: x["q"] - x["p"] < size)
+    return F.array_distinct(F.flatten(F.transform(close, lambda x: F.sequence(F.greatest(F.lit(0), x["q"] - (size - 1)), F.least(x["p"], last - 1)))))
+
+
+def probes(words: Column, sizes: list[int], least_literal: int, least_words: int) -> Column:
+    """Array of ``(at, mark)``: the hashes that a document's windows are met by.
+
+    Every window of each size has that of its words with capitalised ones as
+    names. One with two words that start sentences has that of its plain reading as
+    well, and one with fewer than ``least_literal`` plain words, or shorter than
+    ``least_words``, that of its values.
+    """
+    number, unit, name = _slot_hashes()
+    mark = lambda i, m: F.struct(i.cast("int").alias("at"), m.alias("mark"))
+    placed = lambda test: F.filter(F.transform(words, lambda x, i: F.when(test(x["kind"]), i)), lambda i: i.isNotNull())
+    reading = lambda plain: F.transform(words, lambda x: F.when(x["kind"].isin(*plain), x["value"]).when(x["kind"] == _NUM, number).when(x["kind"] == _UNIT, unit).otherwise(name))
+    parts = F.struct(reading([_PLAIN]).alias("loose"), reading([_PLAIN, _START]).alias("plain"), words["value"].alias("value"), placed(lambda k: k == _START).alias("starts"), placed(lambda k: k > 0).alias("bare"))
+
+    def every(p: Column, n: int) -> Column:
+        last = F.size(p["loose"]) - (n - 1)
+        found = [F.transform(F.slice(_rolled(p["loose"], n), F.lit(1), last), lambda m, i: mark(i, m))]
+        found.append(F.transform(_starts(p["starts"], 2, n, last), lambda i: mark(i, _hashed(lambda k: F.get(p["plain"], i + k), n))))
+        general = _starts(p["bare"], n - min(least_literal, n) + 1, n, last) if n >= least_words else F.sequence(F.lit(0), last - 1)
+        found.append(F.transform(general, lambda i: mark(i, _by_values(p["value"], i, n))))
+        return F.when(last > 0, F.concat(*found)).otherwise(F.array().cast("array<struct<at:int,mark:bigint>>"))
+
+    return _let(parts, lambda p: F.concat(*(every(p, n) for n in sizes)))
+
+
+def indexed(items: DataFrame, n: int, least_literal: int, least_words: int) -> DataFrame:
+    """``(item_id, form, item_at, n, mark)``: the hashes that the windows of items of this size are met by.
+
+    A window with ``least_literal`` plain words is indexed as it reads and with
+    the words that start sentences as names, each with one more word the other
+    way: a plain one as a name, as a document may start a sentence with it. Other
+    windows are indexed by their values.
+    """
+    number, unit, name = _slot_hashes()
+    slot = lambda x: F.when(x["word"] == NUMBER, number).when(x["word"] == UNIT, unit).when(x["word"] == NAME, name)
+    own = F.transform(
+        "words",
+        lambda x: F.struct(
+            slot(x).alias("slot"), F.xxhash64(x["word"]).alias("plain"), F.xxhash64(F.lower(x["value"])).alias("value"), (_may_name(x) & (F.col("form") < 2)).alias("start"),
+        ),
     )
+    at = F.explode(F.sequence(F.lit(0), F.size("words") - n))
+    windows = items.select("item_id", "form", own.alias("own"), at.alias("item_at")).withColumn("own", F.slice("own", F.col("item_at") + 1, n))
+    keys = ["item_id", "form", "item_at"]
+    literal = F.size(F.filter("own", lambda x: x["slot"].isNull()))
+    general = literal < min(least_literal, n) if n >= least_words else F.lit(True)
+    values = windows.filter(general).select(*keys, F.transform("own", lambda x: x["value"]).alias("w")).select(*keys, _by_values(F.col("w"), F.lit(0), n).alias("mark"))
+
+    def turned(x: Column, k: Column) -> Column:
+        as_name = F.col("named") & x["start"]
+        other = k == F.col("other")
+        return F.coalesce(x["slot"], F.when(as_name != other, name).otherwise(x["plain"]))
+
+    either = windows.filter(~general).withColumn("named", F.explode(F.array(F.lit(False), F.lit(True))))
+    told = F.size(F.filter("own", lambda x: x["slot"].isNull() & ~x["start"]))
+    either = either.filter(~F.col("named") | (told >= min(least_literal, n))).withColumn("other", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
+    either = either.select(*keys, F.transform("own", turned).alias("w")).select(*keys, _hashed(lambda k: F.get(F.col("w"), F.lit(k)), n).alias("mark"))
+    return either.unionByName(values).distinct().withColumn("n", F.lit(n))
+
 
-    def around(places: Column, needed: int, last: Column) -> Column:
-        """Starts of the windows that hold ``needed`` or more of the places."""
-        close = F.filter(F.transform(places, lambda p, j: F.struct(p.alias("p"), F.get(places, j + (needed - 1)).alias("q"))), lambda x: x["q"] - x["p"] < size)
-        return F.array_distinct(F.flatten(F.transform(close, lambda x: F.sequence(F.greatest(F.lit(1), x["q"] - (size - 1)), F.least(x["p"], last)))))
-
-    def mixed(i: Column, h: Column, t: Column) -> Column:
-        h, t = F.slice(h, i, size), F.slice(t, i, size)
-        every = F.aggregate(F.zip_with(h, t, lambda x, y: F.struct(x.alias("h"), y.alias("t"))), F.array(F.array().cast("array<bigint>")), step)
-        return F.transform(F.filter(every, lambda a: (a != h) & (a != t) & (telling(a) if searched else F.lit(True))), lambda a: mark(i, F.xxhash64(a), False))
-
-    def every(p: Column) -> Column:
-        h, t, last = p["h"], p["t"], F.size(p["h"]) - (size - 1)
-        found = [F.transform(F.sequence(F.lit(1), last), lambda i: mark(i - 1, F.xxhash64(F.slice(h, i, size)), True))]
-        by_values = F.sequence(F.lit(1), last)
-        if size >= least_words:
-            named = around(p["may"], 1, last)
-            named = F.filter(named, lambda i: telling(F.slice(t, i, size))) if searched else named
-            found.append(F.transform(named, lambda i: mark(i - 1, F.xxhash64(F.slice(t, i, size)), False)))
-            several = F.flatten(F.transform(around(p["may"], 2, last), lambda i: mixed(i, h, t)))
-            found.append(F.transform(several, lambda m: mark(m["at"] - 1, m["mark"], False)))
-            by_values = around(p["bare"], size - min(least_literal, size) + 1, last)
-        value = lambda i: F.xxhash64(F.lit("values"), F.transform(F.slice(words, i, size), lambda x: F.lower(x["value"])))
-        found.append(F.transform(by_values, lambda i: mark(i - 1, value(i), False)))
-        return F.concat(*found)
-
-    kinds = F.transform(words, lambda x: F.when(_is_slot(x["word"]), 1).when(names & _may_name(x), 2).otherwise(0))
-    places = lambda k, test: F.filter(F.transform(k, lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull())
-
-    def hashed(p: Column) -> Column:
-        other = F.zip_with(p["h"], p["k"], lambda h, k: F.when(k == 2, F.xxhash64(F.lit(NAME))).otherwise(h))
-        return F.struct(p["h"].alias("h"), other.alias("t"), places(p["k"], lambda k: k == 2).alias("may"), places(p["k"], lambda k: k > 0).alias("bare"))
-
-    hashes = F.struct(F.transform(words, lambda x: F.xxhash64(x["word"])).alias("h"), kinds.alias("k"))
-    return F.when(F.size(words) >= size, _let(_let(hashes, hashed), every)).otherwise(empty)
+def bounded(keys: DataFrame, most: int) -> DataFrame:
+    """A narrow stage table, marked for broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(keys) if keys.count() <= most else keys
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,7 +247,9 @@ def contaminated(
     than ``least_literal`` plain words, and items of fewer than ``least_words``
     words, are too general for other values and are found with their own. A
     capitalised word that starts a sentence is a name where that fits and a
-    plain word where it doesn't. Whole texts count.
+    plain word where it doesn't; of four or more such words in a window of an
+    item, all but one have to read alike. In scripts without blanks every letter
+    is a word. Whole texts count.
     NULL and empty texts contain nothing and NULL items aren't searched for;
     rows with a NULL doc_id are searched and named NULL; rows that repeat
     an id count as one document. Empty tables give no rows.
@@ -168,48 +263,48 @@ def contaminated(
         empty = "doc_id bigint, item_id bigint, words int, item_words int, changed boolean"
         return docs.sparkSession.createDataFrame([], empty)
 
-    def placed(rows: DataFrame, keys: list[str], n: int, names: Column, searched: bool) -> DataFrame:
-        return rows.select(*keys, F.inline(marks(F.col("words"), n, least_literal, least_words, names, searched)))
-
-    literal = lambda i, n: F.size(F.filter(F.slice("words", i + 1, n), lambda x: ~_is_slot(x["word"])))
     index = None
     for n in sizes:
-        rows = placed(items.filter(F.col("size") == n), ["item_id", "form", "words"], n, F.col("form") < 2, searched=True)
-        general = literal(F.col("at"), n) < min(least_literal, n) if n >= least_words else F.lit(True)
-        rows = rows.filter(~F.col("first") | ~general)
-        rows = rows.select("item_id", "form", F.col("at").alias("item_at"), F.col("mark").alias("bench_mark"), F.col("first").alias("bench_first"), F.lit(n).alias("n"))
+        rows = indexed(items.filter(F.col("size") == n), n, least_literal, least_words)
         index = rows if index is None else index.unionByName(rows)
     index = stage(index, "bench-windows")
+    marks = bounded(stage(index.select("mark").distinct(), "bench-marks"), MOST_MARKS)
 
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), template(F.col("text")).alias("words"))
-    found = None
-    for n in sizes:
-        met = placed(keyed, ["doc_id", "key"], n, F.lit(True), searched=False).join(index.filter(F.col("n") == n), F.col("mark") == F.col("bench_mark"))
-        first = F.when(F.col("first") & F.col("bench_first"), F.col("item_at"))
-        met = met.select("doc_id", "key", "item_id", "form", "n", "item_at", first.alias("first_at"), (F.col("at") - F.col("item_at")).alias("shift"))
-        found = met if found is None else found.unionByName(met)
+    keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), coded(F.col("text")).alias("words"))
+    probed = keyed.select("doc_id", "key", F.inline(probes(F.col("words"), sizes, least_literal, least_words)))
+    met = stage(probed.join(marks, "mark", "left_semi"), "bench-met")
+    found = met.join(index, "mark").withColumn("shift", F.col("at") - F.col("item_at"))
     # at most one row per window of the item in each alignment
-    aligned = found.groupBy("doc_id", "key", "item_id", "form", "n", "shift").agg(F.array_sort(F.collect_set("first_at")).alias("first"), F.array_sort(F.collect_set("item_at")).alias("every"))
-    # other readings add windows, and never take those of the first reading away
-    tried = F.explode(F.array_distinct(F.filter(F.array("first", "every"), lambda x: F.size(x) > 0))).alias("starts")
-    aligned = aligned.select("doc_id", "key", "item_id", "form", "n", "shift", tried)
+    aligned = found.groupBy("doc_id", "key", "item_id", "form", "n", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("windows"))
     aligned = stage(aligned, "bench-aligned")
 
-    hit = aligned.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
+    hit = bounded(stage(aligned.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct(), "bench-hits"), MOST_HITS)
     again = texts.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")), "left_semi").distinct()
     again = again.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), template(F.col("text")).alias("doc_words"))
     both = aligned.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).drop("d", "k")
     own = items.select(F.col("item_id").alias("i"), F.col("form").alias("f"), F.col("words").alias("item_words"))
     both = both.join(own, (F.col("item_id") == F.col("i")) & (F.col("form") == F.col("f")))
 
-    reached = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("n") - 1))))
-    both = both.withColumn("reached", reached)
-    pairs = F.transform("reached", lambda p: F.struct(F.get("item_words", p).alias("of_item"), F.get("doc_words", p + F.col("shift")).alias("of_doc")))
-    both = both.withColumn("pairs", pairs)
     may = lambda x: _may_name(x) | (x["word"] == NAME)
     alike = lambda x: x["of_item"]["word"] == x["of_doc"]["word"]
     equal = lambda x: F.lower(x["of_item"]["value"]) == F.lower(x["of_doc"]["value"])
-    same = F.forall("pairs", lambda x: F.coalesce(alike(x) | equal(x) | (may(x["of_item"]) & may(x["of_doc"])), F.lit(False)))
+    pair = lambda p: F.struct(F.get("item_words", p).alias("of_item"), F.get("doc_words", p + F.col("shift")).alias("of_doc"))
+
+    def compared(s: Column) -> Column:
+        """Whether a window's words agree, whether they do as they read, and whether they tell enough."""
+        pairs = F.transform(F.sequence(s, s + F.col("n") - 1), pair)
+        same = F.forall(pairs, lambda x: F.coalesce(alike(x) | equal(x) | ((F.col("form") < 2) & may(x["of_item"]) & may(x["of_doc"])), F.lit(False)))
+        plain = F.size(F.filter(pairs, lambda x: F.coalesce((alike(x) | equal(x)) & ~_is_slot(x["of_item"]["word"]), F.lit(False))))
+        telling = ((F.col("n") >= least_words) & (plain >= F.least(F.lit(least_literal), F.col("n")))) | F.forall(pairs, lambda x: F.coalesce(equal(x), F.lit(False)))
+        return F.struct(s.alias("at"), (same & telling).alias("same"), F.forall(pairs, lambda x: F.coalesce(alike(x), F.lit(False))).alias("as_read"))
+
+    both = both.withColumn("windows", F.filter(F.transform("windows", compared), lambda w: w["same"]))
+    # windows met by other readings never take those of the first reading away
+    first = F.transform(F.filter("windows", lambda w: w["as_read"]), lambda w: w["at"])
+    every = F.transform("windows", lambda w: w["at"])
+    both = both.withColumn("starts", F.explode(F.array_distinct(F.filter(F.array(first, every), lambda x: F.size(x) > 0))))
+    reached = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("n") - 1))))
+    both = both.withColumn("reached", reached).withColumn("pairs", F.transform("reached", pair))
     # as a plain word where both are the same one, as a name where only that fits
     kind = lambda x: F.when(alike(x) | equal(x), x["of_item"]["word"]).otherwise(F.lit(NAME))
     values = F.array_distinct(
@@ -218,7 +313,7 @@ def contaminated(
             lambda x: F.struct(kind(x).alias("type"), F.lower(x["of_item"]["value"]).alias("was"), F.lower(x["of_doc"]["value"]).alias("now")),
         )
     )
-    both = both.withColumn("slots", values).filter(same)
+    both = both.withColumn("slots", values)
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["type"], x["was"]))))
     # of one alignment's readings, the consistent one that covers most
     both = both.filter(consistent).groupBy("doc_id", "key", "item_id", "form", "n", "shift").agg(F.max_by(F.struct("reached", "slots", "item_words"), F.size("reached")).alias("b"))

@@ -119,3 +119,41 @@ def test_names_that_start_sentences(spark):
     ]
     found = {(r.doc_id, r.item_id, r.words) for r in d.contaminated(*frames(spark, docs, list(enumerate(TWO)))).collect()}
     assert found == {(0, 0, 13), (1, 1, 19), (3, 1, 19), (4, 1, 19)}
+
+
+def test_lists_with_a_capital_on_every_line_and_scripts_without_blanks(spark):
+    lines = "\n".join(f"Word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100_000))
+    han = "\u4eca\u65e5\u306f\u3044\u3044\u5929\u6c17\u3067\u3059\u306d\u3068\u5f7c\u306f\u8a00\u3063\u305f"
+    docs = [(1, lines + "\n" + ITEM), (2, "\u524d" * 40 + han + "\u5f8c" * 40), (3, "\u524d" * 90)]
+    found = {(r.doc_id, r.item_id) for r in d.contaminated(*frames(spark, docs, [(7, ITEM), (8, han)])).collect()}
+    assert found == {(1, 7), (2, 8)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 8, 9])
+def test_rolled_hashes_are_those_of_windows(spark, n):
+    frame = spark.createDataFrame([([*range(20)],)], "w array<bigint>")
+    rolled = frame.select(d._rolled(F.col("w"), n).alias("r")).first()["r"]
+    each = frame.select(*(d._hashed(lambda k: F.get("w", F.lit(k + i)), n).alias(str(i)) for i in range(21 - n))).first()
+    if n > 1:
+        assert rolled[: 21 - n] == list(each) and len(set(each)) == 21 - n
+    else:
+        assert rolled == list(range(20))
+
+
+def test_hashes_agree_with_the_template(spark):
+    text = "If Anna buys 12 kg of Rice. Then BOB pays 3,50 Euro at Noon! \u00c9cole d'\u00c9t\u00e9 3 Hours\nnew line"
+    frame = spark.createDataFrame([(text,)], "text string")
+    words, codes = frame.select(d.template(F.col("text")).alias("t"), d.coded(F.col("text")).alias("c")).first()
+    kinds = {d.NUMBER: d._NUM, d.UNIT: d._UNIT, d.NAME: d._NAME}
+    assert len(words) == len(codes)
+    for w, c in zip(words, codes):
+        assert c["kind"] == kinds.get(w["word"], c["kind"]) and (w["word"] in kinds or c["kind"] in (d._PLAIN, d._START))
+    assert [w["value"] for w, c in zip(words, codes) if c["kind"] == d._START] == ["If", "Then", "\u00c9cole"]
+
+
+def test_other_ways_to_join(spark, monkeypatch):
+    docs = [(1, ITEM), (2, AGAIN), (3, PLAIN), (4, "nothing")]
+    wide = {tuple(r) for r in d.contaminated(*frames(spark, docs, [(5, ITEM), (6, PLAIN)])).collect()}
+    monkeypatch.setattr(d, "MOST_MARKS", 0)
+    monkeypatch.setattr(d, "MOST_HITS", 0)
+    assert {tuple(r) for r in d.contaminated(*frames(spark, docs, [(5, ITEM), (6, PLAIN)])).collect()} == wide and len(wide) == 3
