@@ -23,9 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from crossfade.llm.components import connected_components
 from crossfade.llm.text import byte_texts, pieces
@@ -267,17 +266,17 @@ def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their class in ``found``, one for each.
+#: Rows to leave out whose marks are broadcast; more are joined as the planner likes.
+MOST_MARKS = 1 << 20
+
+
+def _marks(docs: DataFrame) -> list:
+    """Two hashes of all columns, which stand for a row: 96 bits."""
+    return [F.xxhash64(*docs.columns).alias("__mark"), F.hash(*docs.columns).alias("__more")]
 
-    Rows with one doc_id are copies of each other: the one whose text comes
-    first stays. Rows without a doc_id can't name a class; those in a class
-    without any id are joined by fingerprint no more, so they go.
-    """
-    names = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__name")).distinct()
-    kept = docs.join(names, F.col(id_col) == F.col("__name"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), *[c for c in docs.columns if c not in (id_col, text_col)])
-    return kept.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(*docs.columns)
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= MOST_MARKS else keys
 
 
 def representatives(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,20 +285,32 @@ def representatives(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     It is that with the smallest doc_id, NULL after all others; among rows of
     one doc_id the hash of their columns decides. Rows with one doc_id but texts
     of different classes stay, one for each class. An empty table gives none.
+
+    Rows are known by hashes of their columns, so what is written and grouped is
+    narrow; ``docs`` is read again without the rows that go. Rows that are the
+    same in all columns and stay in their class go as well, and one of each comes
+    back.
     """
-    at = docs.columns.index(text_col)
+    own = F.col(id_col).cast("bigint").alias("own")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in byte_texts(batch.column(at))], dtype=np.uint64)
-            yield batch.append_column("__fp", pa.array(found.view(np.int64)))
-
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    rows = stage(docs.mapInArrow(compute, schema).withColumn("__nth", F.monotonically_increasing_id()), "simhash-rows")
-    own = F.col(id_col).cast("bigint")
-    first = F.struct(own.isNull().alias("unnamed"), own.alias("own"), F.xxhash64(*docs.columns).alias("row"), F.col("__nth").alias("nth"))
-    distinct = stage(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("first")), "simhash-distinct")
-    roots = stage(connected_components(links(distinct.select("fp"), most)), "simhash-roots")
-    named = distinct.join(roots, F.col("fp") == F.col("vertex"), "left")
-    chosen = named.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(F.col("first.nth").alias("__nth"))
-    return rows.join(stage(chosen, "simhash-chosen"), "__nth", "left_semi").select(*docs.columns)
+            found = np.array([fingerprint(t, words) for t in byte_texts(batch.column(3))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], ["own", "__mark", "__more", "fp"])
+
+    named = docs.select(own, *_marks(docs), F.col(text_col).cast("string").alias("text"))
+    rows = named.mapInArrow(compute, "own bigint, __mark bigint, __more int, fp bigint")
+    rows = stage(rows.groupBy("fp", "own", "__mark", "__more").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    first = F.struct(F.col("own").isNull().alias("unnamed"), "own", "__mark", "__more")
+    distinct = stage(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-distinct")
+    roots = connected_components(links(distinct.select("fp"), most)).withColumnsRenamed({"vertex": "fp", "root": "class"})
+    grouped = stage(distinct.join(roots, "fp", "left").withColumn("class", F.coalesce("class", "fp")), "simhash-classes")
+    chosen = stage(grouped.groupBy("class").agg(F.min("first").alias("first")).select("first.__mark", "first.__more"), "simhash-chosen")
+    # those that stay are known by their marks alone: a row's class follows from its columns
+    others = rows.join(chosen, ["__mark", "__more"], "left_anti").select("__mark", "__more").distinct()
+    again = rows.filter(F.col("n") > 1).join(chosen, ["__mark", "__more"], "left_semi").select("__mark", "__more")
+    gone = stage(others.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "simhash-gone")
+    marked = docs.select("*", *_marks(docs))
+    kept = marked.join(_bounded(gone.drop("again")), ["__mark", "__more"], "left_anti").select(*docs.columns)
+    one = marked.join(_bounded(gone.filter("again").drop("again")), ["__mark", "__more"], "left_semi").groupBy("__mark", "__more")
+    return kept.unionByName(one.agg(*(F.any_value(c).alias(c) for c in docs.columns)).select(*docs.columns))

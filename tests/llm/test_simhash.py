@@ -85,8 +85,8 @@ def test_nulls_repeats_and_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp bigint, component_id string")
     found = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert found == sorted([(1, 1), (1, 1), (None, 1), (2, 2), (3, 2), (None, None)], key=str)
-    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs)).collect()
-    assert sorted((r.doc_id, r.fp) for r in kept) == [(1, 1), (2, 4)]
+    kept = simhash.representatives(docs).collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {1, 2, None}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -103,3 +103,25 @@ def test_every_class_keeps_one_row_with_or_without_ids(spark):
     found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
     assert found == sorted([(1, "a b c d"), (0, "only null id here"), (7, "a text of its own"), (7, "and quite another one of that id")])
     assert simhash.representatives(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_representatives_of_rows_that_are_the_same(spark, monkeypatch):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text, 1)] * 5 + [(None, text, 2)] * 3 + [(3, "another text that has nothing to do with it", 1)] * 4 + [(4, None, 1), (5, None, 1), (6, "", 1), (None, "alone", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, fp int")
+    for limit in (simhash.MOST_MARKS, 0):
+        monkeypatch.setattr(simhash, "MOST_MARKS", limit)
+        kept = sorted(((r["doc_id"], r["text"]) for r in simhash.representatives(frame).collect()), key=str)
+        assert kept == sorted([(None, text), (3, rows[8][1]), (4, None), (None, "alone")], key=str)
+
+
+def test_representatives_write_no_texts(spark):
+    frame = spark.createDataFrame([(i, f"text {i}" * 50) for i in range(9)], "doc_id bigint, text string")
+    written = []
+    original = simhash.stage
+    try:
+        simhash.stage = lambda df, name="t": written.append(df.columns) or original(df, name)
+        assert simhash.representatives(frame).count() == 9
+    finally:
+        simhash.stage = original
+    assert written and not any("text" in c for c in written)
