@@ -46,11 +46,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    rows = stage(docs.withColumn("__nth", F.monotonically_increasing_id()), "decontamination-rows")
-    found = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__nth")
-    hit = stage(found.select(F.col("doc_id").alias("__nth")).distinct(), "contaminated")
-    return rows.join(hit, "__nth", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; a text is known by its hash, so nothing is copied."""
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    found = decontaminate.contaminated(marked.select("__mark", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__mark")
+    hit = stage(found.select(F.col("doc_id").alias("__mark")).distinct(), "contaminated")
+    return marked.join(decontaminate.bounded(hit, decontaminate.MOST_HITS), "__mark", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
