@@ -45,6 +45,13 @@ def test_many_periods_and_a_hot_host(spark):
         assert found[i][0] == bool(past and past[-1] == "block")
 
 
+def test_first_and_last_dates_of_the_calendar(spark):
+    entries = [("host", f"h{i}.com", "block", D(1, 1, 1) if i % 2 else D(2024, 1, 1)) for i in range(3000)] + [("host", "h1.com", "clear", D(2024, 6, 1)), ("host", "h2.com", "allow", D(9999, 12, 31))]
+    captures = [(f"http://h{i}.com", day) for day in (D(1, 1, 1), D(2024, 5, 31), D(2024, 6, 1), D(9999, 12, 30), D(9999, 12, 31)) for i in (1, 2, 3)]
+    found = evaluate(spark, captures, entries)
+    assert [found[i][0] for i in range(15)] == [True, False, True, True, True, True, False, True, True, False, True, True, False, False, True]
+
+
 def test_empty_tables(spark):
     assert evaluate(spark, [], []) == {}
     assert evaluate(spark, [("http://a.com", D(2024, 1, 1))], []) == {0: (False, None, None)}
