@@ -7,8 +7,9 @@ compared with the templates whose size allows the wanted coefficient. With
 a text of any length costs its length times the longest template's.
 
 A passage that reaches ``t`` has to hold one of a template's few *anchor*
-words, those without which too many of its bigrams are gone. Texts without any
-anchor are done after one pass of a multi-pattern search. The scan is one pass
+words, those without which too many of its bigrams are gone; rare words are
+taken first. Texts without any anchor as a whole word are done after one pass of
+a multi-pattern search. The scan is one pass
 over the table without a shuffle; the templates are fixed values of this module
 or the caller's.
 """
@@ -84,6 +85,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+# Words of the templates that many English texts hold.
+_COMMON = frozenset(
+    "a above all an and any are as at be by can conditions copies copy either following for free from granted in included is it list may must new not "
+    "obtain of on one or other permitted person persons program provided public released rights shall software subject terms that the this to under "
+    "use version was whom with without work you".split()
+)
+
 _WORD = re.compile(r"[^\W_]+")
 _UNIT = re.compile(r"[^\n]*?(?:[.!?](?=\s)|(?=\n)|\Z)")
 
@@ -105,12 +113,12 @@ def units(text: str) -> Iterator[tuple[int, int]]:
 
 
 def anchors(template: list[str], least: float) -> set[str]:
-    """Words of which any passage with a coefficient of ``least`` holds one."""
+    """Words of which any passage with a coefficient of ``least`` holds one: rare ones, long ones first."""
     pairs = _bigrams(template)
     # a passage with fewer of the template's bigrams stays below, whatever its size
     enough = len(pairs) * (2 - 2 * least) / (2 - least) + 1e-9
     chosen: set[str] = set()
-    for word in sorted(set(template), key=lambda w: (-len(w), w)):
+    for word in sorted(set(template), key=lambda w: (w in _COMMON or w.isdigit(), -len(w), w)):
         if sum(not chosen.isdisjoint(p) for p in pairs) > enough:
             break
         chosen.add(word)
@@ -137,7 +145,7 @@ class Scanner:
 
     def __init__(self, templates: dict[str, tuple[str, ...]], least: float):
         self._least = least
-        self._names, self._sizes, self._at = [], [], {}
+        self._names, self._sizes, self._at, self._rare = [], [], {}, set()
         self._anchors = ahocorasick.Automaton()
         for name, texts in templates.items():
             for text in texts:
@@ -149,7 +157,8 @@ class Scanner:
                 self._names.append(name)
                 self._sizes.append(len(found) - 1)
                 for word in anchors(found, least):
-                    self._anchors.add_word(word, word)
+                    self._anchors.add_word(word, len(word))
+                    self._rare.add(word)
         self._anchors.make_automaton()
         # one wider than the exact bounds, which floats may miss; the coefficient itself decides
         self._bounds = [(n * least / (2 - least) - 1, n * (2 - least) / least + 1) for n in self._sizes]
@@ -157,13 +166,12 @@ class Scanner:
 
     def scan(self, text: str) -> dict[str, tuple[float, int, int]]:
         """Licence: ``(coefficient, start, end)`` of the passage most like one of its templates; see :func:`settle`."""
-        low = text.lower()
-        if next(self._anchors.iter(low), None) is None:
+        if not self._holds_anchor(text.lower()):
             return {}
         spans = list(units(text))
         content = [words(text[a:b]) for a, b in spans]
         before = [0, *accumulate(map(len, content))]
-        marked = [i for i, c in enumerate(content) if any(next(self._anchors.iter(w), None) for w in c)]
+        marked = [i for i, c in enumerate(content) if not self._rare.isdisjoint(c)]
         candidates = []
         for first in range(len(spans)):
             nearest = bisect_left(marked, first)
@@ -173,6 +181,14 @@ class Scanner:
                 candidates += self._from(spans, content, first)
         return settle(candidates)
 
+    def _holds_anchor(self, low: str) -> bool:
+        """Whether an anchor stands in the text as a whole word."""
+        for last, size in self._anchors.iter(low):
+            before, behind = low[last - size : last - size + 1] if last >= size else "", low[last + 1 : last + 2]
+            if not (_WORD.match(before) or _WORD.match(behind)):
+                return True
+        return False
+
     def _from(self, spans, content, first: int) -> Iterator[tuple[str, tuple[float, int, int]]]:
         """Passages that start with unit ``first``."""
         seen: Counter = Counter()

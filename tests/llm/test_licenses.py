@@ -65,3 +65,13 @@ def test_scan(spark):
 @pytest.mark.parametrize("text, name", [("It is released under the MIT License.", "MIT"), ("x\nthe BSD 2-Clause License.\ny", "BSD-2-Clause")])
 def test_a_coefficient_of_just_the_least_counts(text, name):
     assert licenses.Scanner(licenses.TEMPLATES, 0.8).scan(text)[name][0] == 0.8
+
+
+def test_anchors_are_rare_whole_words():
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            found = licenses.anchors(licenses.words(t), 0.8)
+            assert "by" not in found and "under" not in found and "the" not in found
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    assert not scanner._holds_anchor("accepted according to unlicensed occasions") and not scanner._holds_anchor("")
+    assert scanner._holds_anchor("cc") and scanner._holds_anchor("x (cc) y") and scanner._holds_anchor("accept cc_by")
