@@ -37,6 +37,19 @@ def _known(entity: str, value: Column) -> Column:
     return F.when(F.col(entity).isNotNull(), value)
 
 
+def _own_window(df: DataFrame, entity: str, metric: str, time: str = "season", group: str = "position_group") -> WindowSpec:
+    """:func:`entity_window`, with the rows that have no entity dealt out by their values.
+
+    They get NULL and need no window, but without more keys they would all meet
+    in one task. Each call has an exchange of its own; features over rows that
+    all have an entity share one if they are given an :func:`entity_window`.
+    """
+    own = [c for c in (time, group, "volume", "team") if c in df.columns]
+    order = [F.col(time)] + ([ordinal(group, GROUPS)] if group in df.columns else [])
+    apart = F.when(F.col(entity).isNull(), F.xxhash64(metric, *own))
+    return Window.partitionBy(entity, apart).orderBy(*order)
+
+
 def zscore_by_season_group(
     df: DataFrame,
     partition_by: Sequence[str] = ("season", "position_group"),
@@ -157,7 +170,7 @@ def rolling_mean(
     window: WindowSpec | None = None,
 ) -> DataFrame:
     """Mean of the row and the ``width - 1`` rows before it."""
-    frame = (window or entity_window(entity)).rowsBetween(1 - width, 0)
+    frame = (window or _own_window(df, entity, metric)).rowsBetween(1 - width, 0)
     value = F.avg(metric).over(frame)
     return df.withColumn(f"{metric}_roll{width}", _known(entity, value))
 
@@ -170,7 +183,7 @@ def rolling_volatility(
     window: WindowSpec | None = None,
 ) -> DataFrame:
     """Sample deviation over the same frame; NULL for one value."""
-    frame = (window or entity_window(entity)).rowsBetween(1 - width, 0)
+    frame = (window or _own_window(df, entity, metric)).rowsBetween(1 - width, 0)
     value = F.stddev_samp(metric).over(frame)
     return df.withColumn(f"{metric}_vol{width}", _known(entity, value))
 
@@ -182,7 +195,7 @@ def momentum(
     window: WindowSpec | None = None,
 ) -> DataFrame:
     """Difference from the entity's previous row."""
-    value = F.col(metric) - F.lag(metric).over(window or entity_window(entity))
+    value = F.col(metric) - F.lag(metric).over(window or _own_window(df, entity, metric))
     return df.withColumn(f"{metric}_momentum", _known(entity, value))
 
 
@@ -195,7 +208,7 @@ def acceleration(
     """Difference of the momentum column, which must be there."""
     source = f"{metric}_momentum"
     require(df, source)
-    value = F.col(source) - F.lag(source).over(window or entity_window(entity))
+    value = F.col(source) - F.lag(source).over(window or _own_window(df, entity, metric))
     return df.withColumn(f"{metric}_acceleration", _known(entity, value))
 
 
@@ -206,7 +219,7 @@ def cumulative_change(
     window: WindowSpec | None = None,
 ) -> DataFrame:
     """Difference from the entity's first row; NULL if that one is missing."""
-    running = (window or entity_window(entity)).rowsBetween(Window.unboundedPreceding, 0)
+    running = (window or _own_window(df, entity, metric)).rowsBetween(Window.unboundedPreceding, 0)
     value = F.col(metric) - F.first(metric).over(running)
     return df.withColumn(f"{metric}_cumulative_change", _known(entity, value))
 
@@ -215,5 +228,6 @@ def entity_volatility(
     df: DataFrame, metric: str = "z_score", entity: str = "gsis_id"
 ) -> DataFrame:
     """The entity's sample deviation on each of its rows."""
-    value = F.stddev_samp(metric).over(Window.partitionBy(entity))
+    apart = F.when(F.col(entity).isNull(), F.xxhash64(*df.columns))
+    value = F.stddev_samp(metric).over(Window.partitionBy(entity, apart))
     return df.withColumn("performance_variance", _known(entity, value))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from crossfade.operators import windows
 from crossfade.plans import features
@@ -75,3 +76,22 @@ def test_features_equal_single_operators(panel):
     single = windows.acceleration(windows.momentum(windows.rolling_mean(panel, 2)))
     columns = ("z_score_roll2", "z_score_momentum", "z_score_acceleration")
     assert _by_season(whole, *columns) == _by_season(single, *columns)
+
+
+def test_rows_without_an_entity_are_dealt_out(spark):
+    rows = [(None if i % 3 == 0 else f"e{i % 50}", 2000 + i % 7, "RB", float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "gsis_id string, season int, position_group string, z_score double").repartition(1)
+    added = {
+        "z_score_roll2": lambda d: windows.rolling_mean(d, 2), "z_score_vol2": lambda d: windows.rolling_volatility(d, 2), "z_score_momentum": windows.momentum,
+        "z_score_cumulative_change": windows.cumulative_change, "performance_variance": windows.entity_volatility,
+    }
+    for name, add in added.items():
+        found = add(df)
+        assert found.count() == 3000 and found.filter("gsis_id IS NULL").select(F.count(name)).first()[0] == 0
+        assert found.filter("gsis_id IS NOT NULL").select(F.count(name)).first()[0] > 1900
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            sizes = [r["n"] for r in add(df).filter("gsis_id IS NULL").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert sum(sizes) == 1000 and max(sizes) < 500
