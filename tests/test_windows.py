@@ -80,7 +80,7 @@ def test_features_equal_single_operators(panel):
 
 def test_rows_without_an_entity_are_dealt_out(spark):
     rows = [(None if i % 3 == 0 else f"e{i % 50}", 2000 + i % 7, "RB", float(i)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "gsis_id string, season int, position_group string, z_score double").repartition(1)
+    df = spark.createDataFrame(rows, "gsis_id string, season int, position_group string, z_score double")
     added = {
         "z_score_roll2": lambda d: windows.rolling_mean(d, 2), "z_score_vol2": lambda d: windows.rolling_volatility(d, 2), "z_score_momentum": windows.momentum,
         "z_score_cumulative_change": windows.cumulative_change, "performance_variance": windows.entity_volatility,
