@@ -29,8 +29,13 @@ from crossfade.sources.staging import stage
 
 #: Scripts without blanks between words: each letter is a word.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Letters that need no look at their script, which costs more than all else.
+_LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: A number, a word, or what ends a sentence.
-TOKEN = rf"[0-9]+(?:[.,][0-9]+)*|[\p{{L}}&&[^{_UNSPACED}]][\p{{L}}\p{{M}}&&[^{_UNSPACED}]]*|[\p{{L}}&&[{_UNSPACED}]]|[.!?\n]"
+TOKEN = (
+    rf"[0-9]+(?:[.,][0-9]+)*|[{_LATIN}[\p{{L}}&&[^{_UNSPACED}]]][{_LATIN}[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]]*"
+    rf"|[\p{{L}}&&[{_UNSPACED}]]|[.!?\n]"
+)
 ENDS = (".", "!", "?", "\n")
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Words that are units behind a number.
