@@ -48,3 +48,40 @@ def test_sample_is_bounded_and_repeatable(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 2 = 0, 'aa', 'bb') AS lang")
     a, b = langid.fit(rows, per_language=50), langid.fit(rows.repartition(7), per_language=50)
     assert (a.weights == b.weights).all()
+
+
+def test_weights_and_decoding_against_plain_loops(spark):
+    known = [("aa", "the cat and the hat"), ("aa", "that was then"), ("bb", "der hund und die maus"), ("bb", "das war dann"), ("cc", "le chien et la souris"), ("cc", "les chats")]
+    asked = ["the hund et la", "cat", "die souris", "was dann le", "zzz", "und"]
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(known)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    grams = lambda t: langid._grams(langid._fold(t.encode())).tolist()
+    languages = sorted({lang for lang, _ in known})
+    assert model.languages == languages
+    counts = {lang: {} for lang in languages}
+    for lang, text in known:
+        for g in grams(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    total = {lang: sum(c.values()) + 0.5 * langid.BUCKETS for lang, c in counts.items()}
+    chance = lambda lang, g: (counts[lang].get(g, 0) + 0.5) / total[lang]
+    mean = lambda values: sum(values) / len(values)
+    found = langid.identify(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()
+    for row in found:
+        own = grams(row["text"])
+        losses = []
+        for word in model.code.tolist():
+            loss = 0.0
+            for bit in range(len(word)):
+                sides = [[lang for lang, w in zip(languages, model.code[:, bit]) if w == s] for s in (1, -1)]
+                odds = mean([np.log(mean([chance(lang, g) for lang in sides[0]]) / mean([chance(lang, g) for lang in sides[1]])) for g in own])
+                loss += np.logaddexp(0, -4 * odds / model.scale[bit] * word[bit]) * model.scale[bit] / sum(model.scale)
+            losses.append(loss * min(len(own) ** 0.5, 30))
+        share = [np.exp(min(losses) - x) for x in losses]
+        share = [s / sum(share) for s in share]
+        best = max(range(len(share)), key=lambda i: share[i])
+        first, second = sorted(share)[-1], sorted(share)[-2]
+        assert row["score"] == pytest.approx(first, abs=1e-4)
+        if first - second > 1e-3:
+            assert row["lang_pred"] == languages[best]
+        if abs(first - second - 0.1) > 1e-3:
+            assert row["ambiguous"] == (first - second < 0.1)
