@@ -279,6 +279,27 @@ def _bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MOST_MARKS else keys
 
 
+def first_row():
+    """What is least in the row of a class that stays."""
+    return F.struct(F.col("own").isNull().alias("unnamed"), "own", "__mark", "__more")
+
+
+def kept(docs: DataFrame, rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``class`` of ``grouped``, which has its least ``first`` by parts of it.
+
+    ``rows`` are the rows of ``docs`` by their marks, ``n`` of each.
+    """
+    chosen = stage(grouped.groupBy("class").agg(F.min("first").alias("first")).select("first.__mark", "first.__more"), "simhash-chosen")
+    # those that stay are known by their marks alone: a row's class follows from its columns
+    others = rows.join(chosen, ["__mark", "__more"], "left_anti").select("__mark", "__more").distinct()
+    again = rows.filter(F.col("n") > 1).join(chosen, ["__mark", "__more"], "left_semi").select("__mark", "__more")
+    gone = stage(others.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "simhash-gone")
+    marked = docs.select("*", *_marks(docs))
+    stay = marked.join(_bounded(gone.drop("again")), ["__mark", "__more"], "left_anti").select(*docs.columns)
+    one = marked.join(_bounded(gone.filter("again").drop("again")), ["__mark", "__more"], "left_semi").groupBy("__mark", "__more")
+    return stay.unionByName(one.agg(*(F.any_value(c).alias(c) for c in docs.columns)).select(*docs.columns))
+
+
 def representatives(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class of :func:`classes`, with or without ids.
 
@@ -301,16 +322,7 @@ def representatives(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     named = docs.select(own, *_marks(docs), F.col(text_col).cast("string").alias("text"))
     rows = named.mapInArrow(compute, "own bigint, __mark bigint, __more int, fp bigint")
     rows = stage(rows.groupBy("fp", "own", "__mark", "__more").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
-    first = F.struct(F.col("own").isNull().alias("unnamed"), "own", "__mark", "__more")
-    distinct = stage(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-distinct")
+    distinct = stage(rows.groupBy("fp").agg(F.min(first_row()).alias("first")), "simhash-distinct")
     roots = connected_components(links(distinct.select("fp"), most)).withColumnsRenamed({"vertex": "fp", "root": "class"})
     grouped = stage(distinct.join(roots, "fp", "left").withColumn("class", F.coalesce("class", "fp")), "simhash-classes")
-    chosen = stage(grouped.groupBy("class").agg(F.min("first").alias("first")).select("first.__mark", "first.__more"), "simhash-chosen")
-    # those that stay are known by their marks alone: a row's class follows from its columns
-    others = rows.join(chosen, ["__mark", "__more"], "left_anti").select("__mark", "__more").distinct()
-    again = rows.filter(F.col("n") > 1).join(chosen, ["__mark", "__more"], "left_semi").select("__mark", "__more")
-    gone = stage(others.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "simhash-gone")
-    marked = docs.select("*", *_marks(docs))
-    kept = marked.join(_bounded(gone.drop("again")), ["__mark", "__more"], "left_anti").select(*docs.columns)
-    one = marked.join(_bounded(gone.filter("again").drop("again")), ["__mark", "__more"], "left_semi").groupBy("__mark", "__more")
-    return kept.unionByName(one.agg(*(F.any_value(c).alias(c) for c in docs.columns)).select(*docs.columns))
+    return kept(docs, rows, grouped)
