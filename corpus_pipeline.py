@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossfade.llm import decontaminate, langid, packing, quality, simhash
+from crossfade.llm import decontaminate, langid, packing, quality, resemblance
 from crossfade.sources.staging import stage, stage_path
 
 
@@ -41,8 +41,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the smallest id if any has one."""
-    return simhash.representatives(docs)
+    """One document of each class linked at 0.8 or more of its five-word shingles, that with the smallest id if any has one."""
+    return resemblance.representatives(docs, words=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
