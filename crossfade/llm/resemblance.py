@@ -117,6 +117,8 @@ def _sets(words: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose sets have a coefficient of ``least`` or more."""
+    asked = simhash._bounded(pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct())
+    sets = sets.join(asked, "same", "left_semi")  # the others are not shuffled again in every round
     left = sets.select(F.col("same").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("same").alias("b"), F.col("hashes").alias("of_b"))
     both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
