@@ -11,8 +11,9 @@ the exact coefficient of the two sets of shingles:
 
 Texts with equal sets are one vertex, however many rows hold them. A key's members
 are compared with leaders drawn from them, never pair by pair: in round ``r`` each
-key has up to ``2 ** r`` new leaders, and only members of other components than
-the leader's are compared. A key is done when its members are of one component or
+key has up to ``4 ** r`` new leaders, and only members of other components than
+the leader's are compared. Bitmaps of two sets bound their coefficient from above;
+the sets themselves are joined for the pairs left by that. A key is done when its members are of one component or
 all have been leaders, so no link that a key holds is lost, and a large group of
 copies is done after a few rounds of as many comparisons as it has members. Keys
 full of texts that are alike but below the bound take more.
@@ -35,7 +36,9 @@ from crossfade.sources.staging import stage
 
 BANDS, ROWS = 26, 6
 #: Shingle hashes taken through all minimum hashes at once, and handed on in one batch of sets.
-_BLOCK, _BATCH = 1 << 12, 1 << 20
+_BLOCK, _BATCH = 1 << 8, 1 << 20
+#: Bits of a set's bitmap for each of its hashes, at least.
+_SPREAD = 4
 _MIX = np.random.default_rng(simhash.SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTOR, _SHIFT = _MIX[0] * np.uint64(2) + np.uint64(1), _MIX[1]
 
@@ -61,6 +64,26 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
 
 
+def measured(text: bytes, words: int = 5) -> tuple[np.ndarray, int]:
+    """:func:`shingle_set` and, of the same hashes, :func:`simhash.fingerprint`."""
+    counts, total, found = np.zeros(simhash.BITS, dtype=np.int64), 0, []
+    for hashes in shingles(text, words):
+        counts += simhash._bit_counts(hashes)
+        total += len(hashes)
+        found.append(np.unique(hashes))
+    if not total:
+        return np.zeros(0, dtype=np.uint64), 0
+    return np.unique(np.concatenate(found)), int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A power of two of bits, with those set that the low ends of the hashes name, as words of 64."""
+    bits = max(64, 1 << (_SPREAD * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    marks = np.zeros(bits, dtype=bool)
+    marks[hashes & np.uint64(bits - 1)] = True
+    return np.packbits(marks, bitorder="little").view(np.uint64)
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """One key per band of minimum hashes of a set; none of an empty set."""
     if not len(hashes):
@@ -85,10 +108,10 @@ def _sketch(words: int):
         for batch in batches:
             same, size, fp, keys = [], [], [], []
             for text in byte_texts(batch.column(3)):
-                found = shingle_set(text, words)
+                found, mark = measured(text, words)
                 same.append(xxhash.xxh3_64_intdigest(found.tobytes()) if len(found) else 0)
                 size.append(len(found))
-                fp.append(simhash.fingerprint(text, words) if len(found) else 0)
+                fp.append(mark)
                 keys.append(bands(found))
             whole = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in (same, size, fp)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *whole, _lists(keys)], ["own", "__mark", "__more", "same", "size", "fp", "bands"])
@@ -96,8 +119,15 @@ def _sketch(words: int):
     return compute
 
 
+_SETS = "same bigint, size int, bits array<bigint>, hashes array<bigint>"
+
+
 def _sets(words: int):
-    """Task: every row's set of shingles, a bounded number of hashes a batch."""
+    """Task: every row's set of shingles and its bitmap, a bounded number of hashes a batch."""
+
+    def batch_of(same: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(same, pa.int64()), pa.array(list(map(len, held)), pa.int32()), _lists(list(map(bitmap, held))), _lists(held)]
+        return pa.RecordBatch.from_arrays(columns, ["same", "size", "bits", "hashes"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,18 +137,39 @@ def _sets(words: int):
                 held.append(shingle_set(text, words))
                 many += len(held[-1])
                 if many >= _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), _lists(held)], ["same", "hashes"])
+                    yield batch_of(same, held)
                     same, held, many = [], [], 0
             if same:
-                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), _lists(held)], ["same", "hashes"])
+                yield batch_of(same, held)
 
     return compute
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs that may reach ``least``: a bit that one bitmap alone has is a hash that the other set lacks.
+
+    Bitmaps of two lengths say nothing.
+    """
+    outlines = sets.select("same", "size", "bits")
+    left = outlines.withColumnsRenamed({"same": "a", "size": "size_a", "bits": "bits_a"})
+    right = outlines.withColumnsRenamed({"same": "b", "size": "size_b", "bits": "bits_b"})
+
+    def lacking(x: str, y: str):
+        ones = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(ones, F.lit(0), lambda total, n: total + n)
+
+    most = F.least(F.col("size_a") - lacking("bits_a", "bits_b"), F.col("size_b") - lacking("bits_b", "bits_a"))
+    bounded = most / (F.col("size_a") + F.col("size_b") - most) >= least
+    both = pairs.join(right, "b").join(left, "a")
+    return both.filter((F.size("bits_a") != F.size("bits_b")) | bounded).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs whose sets have a coefficient of ``least`` or more."""
+    if "bits" in sets.columns:
+        pairs = stage(_possible(pairs, sets, least), "resemblance-possible")
     asked = simhash._bounded(pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct())
-    sets = sets.join(asked, "same", "left_semi")  # the others are not shuffled again in every round
+    sets = sets.select("same", "hashes").join(asked, "same", "left_semi")  # the others are not shuffled again in every round
     left = sets.select(F.col("same").alias("a"), F.col("hashes").alias("of_a"))
     right = sets.select(F.col("same").alias("b"), F.col("hashes").alias("of_b"))
     both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
@@ -126,11 +177,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.filter(F.col("common") / every >= least).select("a", "b")
 
 
-def _components(links: DataFrame | None, members: DataFrame) -> DataFrame:
-    """``members`` with ``comp``, the least vertex that ``links`` reach."""
-    if links is None:
+def _roots(links: DataFrame) -> DataFrame:
+    """``(same, comp)``: the least vertex that ``links`` reach from each of theirs."""
+    return stage(connected_components(links).withColumnsRenamed({"vertex": "same", "root": "comp"}), "resemblance-roots")
+
+
+def _components(roots: DataFrame | None, members: DataFrame) -> DataFrame:
+    """``members`` with ``comp``, themselves where they have no link."""
+    if roots is None:
         return members.withColumn("comp", F.col("same"))
-    roots = connected_components(links).withColumnsRenamed({"vertex": "same", "root": "comp"})
     return members.join(roots, "same", "left").withColumn("comp", F.coalesce("comp", "same"))
 
 
@@ -144,12 +199,13 @@ def links(members: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
     """``(a, b)``: verified links that connect all that keys bring together; None if there are none.
 
     ``members`` has a row ``(key, same, size)`` for each key of each set, and
-    ``sets`` the ``hashes`` of each ``same`` that shares a key.
+    ``sets`` the ``hashes`` of each ``same`` that shares a key, and maybe their
+    ``size`` and :func:`bitmap` ``bits``.
     """
-    found, tried, turn = None, None, 0
+    found, roots, tried, turn = None, None, None, 0
     left = stage(_open(_components(None, members)), "resemblance-members")
     while not left.isEmpty():
-        lots = F.pmod(F.xxhash64("same", F.lit(turn)), F.lit(1 << min(turn, 20)))
+        lots = F.pmod(F.xxhash64("same", F.lit(turn)), F.lit(1 << min(2 * turn, 20)))
         leaders = left.groupBy("key", lots.alias("lot")).agg(F.min_by(F.struct("same", "size", "comp"), F.col("same")).alias("l"))
         leaders = stage(leaders.select("key", "l.same", "l.size", "l.comp"), "resemblance-leaders")
         led = leaders.select("key", F.col("same").alias("l_same"), F.col("size").alias("l_size"), F.col("comp").alias("l_comp"))
@@ -161,8 +217,9 @@ def links(members: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
         new = stage(_verified(pairs, sets, least), "resemblance-links")
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
+            roots = _roots(found)
         rest = left.join(leaders.select("key", "same"), ["key", "same"], "left_anti").select("key", "same", "size")
-        left, turn = stage(_open(_components(found, rest)), "resemblance-members"), turn + 1
+        left, turn = stage(_open(_components(roots, rest)), "resemblance-members"), turn + 1
     return found
 
 
@@ -188,13 +245,18 @@ def representatives(docs: DataFrame, words: int = 5, least: float = 0.8, most: i
     by_print = filled.select("same", "size", "fp").join(alike, "fp", "left").select(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"), "same", "size")
     by_band = filled.select(F.explode("bands").alias("key"), "same", "size")
     every = by_print.unionByName(by_band)
-    shared = every.groupBy("key").agg(F.min("same").alias("x"), F.max("same").alias("y")).filter(F.col("x") != F.col("y")).select("key")
-    members = stage(every.join(shared, "key", "left_semi"), "resemblance-keys")
+    shared = stage(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"), "resemblance-shared")
+    members = stage(every.join(simhash._bounded(shared), "key", "left_semi"), "resemblance-keys")
     asked = distinct.join(members.select("same").distinct(), "same", "left_semi").select("first.__mark", "first.__more", "same")
-    asked = simhash._bounded(stage(asked, "resemblance-asked"))
-    texts = docs.select(*simhash._marks(docs), text).join(asked, ["__mark", "__more"]).select("same", "text")
-    sets = texts.mapInArrow(_sets(words), "same bigint, hashes array<bigint>")
-    sets = stage(sets.groupBy("same").agg(F.any_value("hashes").alias("hashes")), "resemblance-sets")
+    again = rows.filter(F.col("n") > 1).select("__mark", "__more", F.lit(True).alias("again")).distinct()
+    asked = stage(asked.join(again, ["__mark", "__more"], "left").withColumn("again", F.coalesce("again", F.lit(False))), "resemblance-asked")
+    marked = docs.select(*simhash._marks(docs), text)
+    texts = marked.join(simhash._bounded(asked.filter(~F.col("again"))), ["__mark", "__more"]).select("same", "text")
+    repeated = asked.filter("again")
+    if not repeated.isEmpty():
+        copies = marked.join(simhash._bounded(repeated), ["__mark", "__more"])
+        texts = texts.unionByName(copies.groupBy("same").agg(F.any_value("text").alias("text")))
+    sets = stage(texts.mapInArrow(_sets(words), _SETS), "resemblance-sets")
     found = links(members, sets, least)
-    grouped = stage(_components(found, distinct.select("same", "first")).withColumnRenamed("comp", "class"), "resemblance-classes")
+    grouped = stage(_components(None if found is None else _roots(found), distinct.select("same", "first")).withColumnRenamed("comp", "class"), "resemblance-classes")
     return simhash.kept(docs, rows, grouped)
