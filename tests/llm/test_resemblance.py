@@ -151,3 +151,28 @@ def test_many_marks_are_joined_alike(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_MARKS", 0)
     monkeypatch.setattr(resemblance, "_BATCH", 100)
     assert ids_kept(frame) == want
+
+
+@pytest.mark.parametrize("text", ["", " ", "One", "a b c d E", "a b c d e f a b c d e f", " ".join(f"w{i % 90}" for i in range(700))])
+def test_one_pass_measures_as_two(text, monkeypatch):
+    monkeypatch.setattr(resemblance.pieces, "__defaults__", (100,))
+    found, mark = resemblance.measured(text.encode())
+    assert (found == resemblance.shingle_set(text.encode())).all() and mark == simhash.fingerprint(text.encode(), 5)
+
+
+def test_bitmaps_rule_out_no_link(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 40, 300)]
+    for base in sets[1:]:
+        for part in (0.3, 0.6, 0.79, 0.8, 0.9):
+            sets.append(np.unique(np.append(base[: int(np.ceil(len(base) * part))], rng.integers(0, 1 << 63, 2, dtype=np.uint64))))
+        sets.append(np.unique(np.append(base[: len(base) // 2], rng.integers(0, 1 << 63, len(base) - len(base) // 2, dtype=np.uint64))))
+    rows = [(i, len(s), resemblance.bitmap(s).view(np.int64).tolist(), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
+    pairs = list(itertools.combinations(range(1, len(sets)), 2))
+    frame = spark.createDataFrame(rows, resemblance._SETS)
+    left = {(r.a, r.b) for r in resemblance._possible(spark.createDataFrame(pairs, "a bigint, b bigint"), frame, 0.8).collect()}
+    linked = {(a, b) for a, b in pairs if coefficient(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
+    assert linked and linked <= left
+    alike = lambda a, b: len(rows[a][2]) == len(rows[b][2]) and min(len(sets[a]), len(sets[b])) >= 40
+    far = {(a, b) for a, b in pairs if alike(a, b) and coefficient(set(sets[a].tolist()), set(sets[b].tolist())) < 0.5}
+    assert far and not far & left
