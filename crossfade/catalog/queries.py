@@ -26,6 +26,8 @@ from crossfade.sources.staging import stage, stage_path
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PLACES = 6
+# Distinct values: above the noise of sums in another order (1e-12), below what differs.
+DISTINCT_PLACES = 10
 KEYS = ("gsis_id", "season", "position_group")
 
 
@@ -368,7 +370,7 @@ def _(spark, d):
 
 @query("distinct_counts")
 def _(spark, d):
-    return profile.distinct_counts(panel(spark, d))
+    return profile.distinct_counts(panel(spark, d), places=DISTINCT_PLACES)
 
 
 @query("describe_numeric")
@@ -757,7 +759,7 @@ def _(spark, d):
 
 @query("feature_metadata")
 def _(spark, d):
-    return profile.feature_metadata(features.master_features(panel(spark, d), "copy"))
+    return profile.feature_metadata(features.master_features(panel(spark, d), "copy"), places=DISTINCT_PLACES)
 
 
 @query("orthogonal_poly2")

@@ -83,13 +83,27 @@ def _unpivoted(row: DataFrame, columns: Sequence[str], **measures) -> DataFrame:
     return row.select(F.inline(F.array(*entries)))
 
 
+def _told_apart(df: DataFrame, column: str, places: int | None) -> Column:
+    """The column; a double rounded to ``places``, if given, and -0.0 as 0.0.
+
+    Sums of the same doubles in another order differ in their last bits, which
+    would count as values of their own.
+    """
+    if places is None or dict(df.dtypes)[column] not in ("double", "float"):
+        return F.col(column)
+    return F.round(column, places) + F.lit(0.0)
+
+
 def distinct_counts(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
+    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, places: int | None = None
 ) -> DataFrame:
-    """Distinct known values per column; sketches when ``exact`` is False."""
+    """Distinct known values per column; sketches when ``exact`` is False.
+
+    With ``places`` doubles equal to so many decimal places are one value.
+    """
     columns = list(columns or df.columns)
     count = F.count_distinct if exact else F.approx_count_distinct
-    row = df.agg(*[count(c).alias(f"d_{c}") for c in columns])
+    row = df.agg(*[count(_told_apart(df, c, places)).alias(f"d_{c}") for c in columns])
     return _unpivoted(row, columns, n_distinct=lambda c: F.col(f"d_{c}"))
 
 
@@ -224,14 +238,14 @@ def quality_report(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_metadata(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Type, missing percentage and distinct values of each column."""
+def feature_metadata(df: DataFrame, exact: bool = True, places: int | None = None) -> DataFrame:
+    """Type, missing percentage and distinct values of each column; ``places`` as in :func:`distinct_counts`."""
     count = F.count_distinct if exact else F.approx_count_distinct
     types = dict(df.dtypes)
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(c).alias(f"v_{c}") for c in df.columns],
-        *[count(c).alias(f"d_{c}") for c in df.columns],
+        *[count(_told_apart(df, c, places)).alias(f"d_{c}") for c in df.columns],
     )
     return _unpivoted(
         row,

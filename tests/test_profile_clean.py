@@ -65,6 +65,14 @@ def test_distinct_counts_exact_and_sketch(df):
         assert got == {"k": 3, "s": 2, "x": 3}
 
 
+def test_sums_in_another_order_are_one_value(spark):
+    a, b = (0.1 + 0.2) + 0.3, 0.1 + (0.2 + 0.3)
+    assert a != b
+    df = spark.createDataFrame([("p", a), ("q", b), ("r", 0.6000001), ("s", -0.0), ("t", 0.0), ("u", None)], "k string, x double")
+    for report in (profile.distinct_counts, profile.feature_metadata):
+        assert {r.column_name: r.n_distinct for r in report(df, places=10).collect()} == {"k": 6, "x": 3}
+
+
 def test_describe_by_sketch_and_by_selection(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(rng.random(),) for _ in range(500)], "x double")
