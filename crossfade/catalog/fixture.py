@@ -48,9 +48,14 @@ def events(
     sf_dir: str,
     variant: str = "flags",
     seasons: Iterable[int] | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """One event per line item.
 
+    With ``numbered`` a column ``event_number`` orders the events as
+    ``(game_id, play_id)`` does, in one long: the day, a missing one first,
+    above 41 bits of order key. Sums by unit then need no key for the game.
+
     A season list is also given to the scan as ship-date ranges, which reach
     the Parquet reader; a filter on the derived season would not.
     """
@@ -79,7 +84,10 @@ def events(
         unit = F.when(urgent, "HI").otherwise("LO")
     entity = F.col("l_suppkey").cast("string")
     number = lambda c: c.cast("double")
+    day = F.coalesce(F.unix_date(F.to_date("l_shipdate")), F.lit(-(1 << 21))).cast("long")
+    order = [(F.shiftleft(day, 41) + F.col("l_orderkey")).alias("event_number")] if numbered else []
     return joined.select(
+        *order,
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("game_id"),
         F.col("l_orderkey").alias("play_id"),
         F.year("l_shipdate").cast("int").alias("season"),
@@ -152,7 +160,8 @@ def base(spark: SparkSession, sf_dir: str, variant: str = "flags") -> DataFrame:
         spark,
         ("base", variant, sf_dir),
         lambda: P.base_metrics(
-            events(spark, sf_dir, variant), roster(spark, sf_dir, True), roles(variant), stage
+            events(spark, sf_dir, variant, numbered=True), roster(spark, sf_dir, True), roles(variant), stage,
+            order_by=["event_number"],
         ),
     )
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from crossfade.catalog import fixture as fx
 from crossfade.functions import exprs as X
 from crossfade.operators import filters, joins, metrics, windows
 from crossfade.plans import panel as P
@@ -217,3 +218,15 @@ def test_phase_and_relative_time(spark):
     rel = X.relative_time("s", "t")
     rows = df.select(rel.alias("r"), X.post_flag(rel).alias("p"), X.phase_label(rel).alias("l"))
     assert [tuple(r) for r in rows.collect()] == [(-2, 0, "Pre"), (0, 1, "Post"), (None, None, None)]
+
+
+def test_event_numbers_order_as_games_do_and_need_no_game_in_the_shuffle(spark, sf_dir):
+    rows = filters.filter_regular(
+        fx.events(spark, sf_dir, numbered=True), columns=[*filters.EVENT_COLUMNS, "event_number"]
+    )
+    named = metrics.role_metrics(rows, fx.roles("flags"))
+    by_number = metrics.role_metrics(rows, fx.roles("flags"), order_by=["event_number"])
+    plan = by_number._jdf.queryExecution().executedPlan().toString()
+    assert "posteam" in plan and "game_id" not in plan
+    key = lambda r: (r.gsis_id, r.season, r.position_group, r.volume, r.team)
+    assert {key(r) for r in named.collect()} == {key(r) for r in by_number.collect()}
