@@ -254,7 +254,7 @@ def _(spark, d):
 @query("join_team_pos_avg")
 def _(spark, d):
     rows = base(spark, d)
-    out = joins.join_team_pos_avg(rows, metrics.team_position_avg(rows))
+    out = joins.join_team_pos_avg(rows, stage(metrics.team_position_avg(rows), "averages"))
     return out.select(*KEYS, "team", "team_pos_avg")
 
 

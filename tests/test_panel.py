@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossfade.catalog import fixture as fx
+from crossfade.catalog.queries import QUERIES
 from crossfade.functions import exprs as X
 from crossfade.operators import filters, joins, metrics, windows
 from crossfade.plans import panel as P
@@ -230,3 +231,8 @@ def test_event_numbers_order_as_games_do_and_need_no_game_in_the_shuffle(spark,
     assert "posteam" in plan and "game_id" not in plan
     key = lambda r: (r.gsis_id, r.season, r.position_group, r.volume, r.team)
     assert {key(r) for r in named.collect()} == {key(r) for r in by_number.collect()}
+
+
+def test_team_averages_are_not_sorted_for_their_join(spark, sf_dir):
+    plan = QUERIES["join_team_pos_avg"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
