@@ -155,23 +155,25 @@ def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> D
 
 
 def base(spark: SparkSession, sf_dir: str, variant: str = "flags") -> DataFrame:
-    """Staged entity-season metrics."""
-    return shared(
-        spark,
-        ("base", variant, sf_dir),
-        lambda: P.base_metrics(
+    """Staged entity-season metrics; the units' offense of the same scan is staged besides."""
+
+    def build() -> DataFrame:
+        table, units = P.base_and_offense(
             events(spark, sf_dir, variant, numbered=True), roster(spark, sf_dir, True), roles(variant), stage,
             order_by=["event_number"],
-        ),
-    )
+        )
+        shared(spark, ("offense", variant, sf_dir), lambda: units)
+        return table
+
+    return shared(spark, ("base", variant, sf_dir), build)
 
 
 def panel(spark: SparkSession, sf_dir: str, variant: str = "flags") -> DataFrame:
     """Staged panel."""
-    return shared(
-        spark,
-        ("panel", variant, sf_dir),
-        lambda: P.build_panel(
-            events(spark, sf_dir, variant), base(spark, sf_dir, variant), stage=stage
-        ),
-    )
+
+    def build() -> DataFrame:
+        table = base(spark, sf_dir, variant)
+        units = _stages[spark.sparkContext.applicationId, "offense", variant, sf_dir]
+        return P.build_panel(events(spark, sf_dir, variant), table, stage=stage, offense=units)
+
+    return shared(spark, ("panel", variant, sf_dir), build)

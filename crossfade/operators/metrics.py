@@ -192,28 +192,35 @@ def role_metrics(
     expanded = events.select(
         time, unit, *order_by, *VALUES, F.inline(F.array(*pairs))
     ).filter(F.col("gsis_id").isNotNull())
-    keys = ("gsis_id", time, "position_group")
-    grouped = _by_unit(expanded, keys, unit, order_by)
-    known = {name: make() for name, make in {**METRICS, **EXTRAS}.items()}
+    grouped = _by_unit(expanded, ("gsis_id", time, "position_group"), unit, order_by)
+    return _role_table(grouped.filter(_enough(roles)), roles, time)
+
+
+def _per_role(roles: Sequence[Role], pick, empty: Column) -> Column:
+    """The value each role uses, ``empty`` for a role that has none."""
+    out = empty
+    for r in roles:
+        value = pick(r)
+        if value is not None:
+            out = F.when(F.col("position_group") == r.label, value).otherwise(out)
+    return out
+
 
-    def per_role(pick, empty) -> Column:
-        """The value each role uses, ``empty`` for a role that has none."""
-        out = empty
-        for r in roles:
-            value = pick(r)
-            if value is not None:
-                out = F.when(F.col("position_group") == r.label, value).otherwise(out)
-        return out
+def _enough(roles: Sequence[Role]) -> Column:
+    return F.col("volume") >= _per_role(roles, lambda r: F.lit(r.min_volume), F.lit(None).cast("int"))
 
+
+def _role_table(grouped: DataFrame, roles: Sequence[Role], time: str) -> DataFrame:
+    """The roles' metrics from the sums of their events."""
+    known = {name: make() for name, make in {**METRICS, **EXTRAS}.items()}
     nothing = F.lit(None).cast("double")
-    extra = lambda name: per_role(
-        lambda r: known[name] if name in r.extras else None, nothing
+    extra = lambda name: _per_role(
+        roles, lambda r: known[name] if name in r.extras else None, nothing
     )
-    minimum = per_role(lambda r: F.lit(r.min_volume), F.lit(None).cast("int"))
-    return grouped.filter(F.col("volume") >= minimum).select(
+    return grouped.select(
         "gsis_id",
         time,
-        per_role(lambda r: known[r.metric], nothing).alias("metric_raw"),
+        _per_role(roles, lambda r: known[r.metric], nothing).alias("metric_raw"),
         "volume",
         extra("success_rate").alias("success_rate"),
         extra("total_epa").alias("total_epa"),
@@ -223,6 +230,65 @@ def role_metrics(
     )
 
 
+def role_and_unit_sums(
+    events: DataFrame,
+    roles: Sequence[Role] = ROLES,
+    time: str = "season",
+    unit: str = "posteam",
+    order_by: Sequence[str] = EVENT_ORDER,
+) -> DataFrame:
+    """Sums for :func:`role_metrics` and :func:`team_offense_context` from one scan.
+
+    Besides its (role, entity) pairs an event counts for its unit, as a pass or
+    as a rush (``_side``); there the sums of ``yards_gained`` are those of
+    ``sack``. A task passes on one row per unit, season and side.
+    """
+    require(events, time, unit, *order_by, *[r.player_id for r in roles])
+    number = lambda name: F.col(name).cast("double")
+    values = [number(v).alias(v) for v in VALUES]
+    entity = events.schema[roles[0].player_id].dataType
+    nobody, nowhere = F.lit(None).cast(entity), F.lit(None).cast(events.schema[unit].dataType)
+    label = lambda s, name: F.lit(s).cast("string").alias(name)
+    pairs = [
+        F.struct(
+            label(r.label, "position_group"),
+            F.when(role_condition(r.attempts, r.player_id), F.col(r.player_id)).cast(entity).alias("gsis_id"),
+            label(None, "_side"), nowhere.alias("_unit"), *values,
+        )
+        for r in roles
+    ]
+    for side, attempt in (("pass", "pass_attempt"), ("rush", "rush_attempt")):
+        pairs.append(
+            F.struct(
+                label(None, "position_group"), nobody.alias("gsis_id"),
+                F.when(F.col(attempt) == 1, side).alias("_side"), F.col(unit).alias("_unit"),
+                number("sack").alias("yards_gained"), *values[1:],
+            )
+        )
+    expanded = events.select(time, unit, *order_by, F.inline(F.array(*pairs)))
+    expanded = expanded.filter(F.col("gsis_id").isNotNull() | F.col("_side").isNotNull())
+    keys = ("gsis_id", time, "position_group", "_side", "_unit")
+    return _by_unit(expanded, keys, unit, order_by).filter(_enough(roles) | F.col("_side").isNotNull())
+
+
+def role_table(sums: DataFrame, roles: Sequence[Role] = ROLES, time: str = "season") -> DataFrame:
+    """:func:`role_metrics` from :func:`role_and_unit_sums`."""
+    return _role_table(sums.filter(F.col("_side").isNull()), roles, time)
+
+
+def unit_table(sums: DataFrame, unit: str = "posteam", time: str = "season") -> DataFrame:
+    """:func:`team_offense_context` from :func:`role_and_unit_sums`.
+
+    A unit with neither passes nor rushes has no row instead of an empty one.
+    """
+    of = lambda side, value: F.max(F.when(F.col("_side") == side, _mean(value)))
+    return sums.filter(F.col("_side").isNotNull()).groupBy(F.col("_unit").alias(unit), time).agg(
+        of("pass", "epa").alias("team_pass_epa_per_play"),
+        of("rush", "epa").alias("team_rush_epa_per_play"),
+        of("pass", "yards_gained").alias("team_sack_rate"),
+    )
+
+
 def team_position_avg(
     base: DataFrame,
     unit: str = "team",

@@ -42,6 +42,21 @@ def base_metrics(
     return joins.join_roster_left(scored, roster_with_age(roster))
 
 
+def base_and_offense(
+    events: DataFrame,
+    roster: DataFrame,
+    roles: Sequence[metrics.Role] = metrics.ROLES,
+    stage: Stager = unstaged,
+    order_by: Sequence[str] = metrics.EVENT_ORDER,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`base_metrics` and the units' offense for :func:`build_panel`, from one scan of the events."""
+    columns = dict.fromkeys([*filters.EVENT_COLUMNS, *order_by])
+    regular = filters.filter_regular(events, columns=list(columns))
+    sums = stage(metrics.role_and_unit_sums(regular, roles, order_by=order_by), "sums")
+    scored = windows.zscore_by_season_group(metrics.role_table(sums, roles), stage=stage)
+    return joins.join_roster_left(scored, roster_with_age(roster)), metrics.unit_table(sums)
+
+
 def relative_panel(
     base: DataFrame, min_experience: int = 3, low: int = -2, high: int = 2
 ) -> DataFrame:
@@ -109,14 +124,16 @@ def build_panel(
     base: DataFrame,
     min_experience: int = 3,
     stage: Stager = unstaged,
+    offense: DataFrame | None = None,
 ) -> DataFrame:
     """The 28-column panel, in the order of ``PANEL_SCHEMA``.
 
     With ``stage`` the team tables (one row per team and season) are written
-    before they are joined, so their size decides how.
+    before they are joined, so their size decides how. ``offense`` may give
+    the units' context if it is known; the events are then not read again.
     """
-    regular = filters.filter_regular(events)
-    offense = stage(metrics.team_offense_context(regular), "offense")
+    if offense is None:
+        offense = stage(metrics.team_offense_context(filters.filter_regular(events)), "offense")
     averages = stage(metrics.team_position_avg(base), "averages")
     panel = with_pre_trend(relative_panel(base, min_experience))
     return team_context(panel, averages, offense).select(*PANEL_SCHEMA.names)

@@ -10,6 +10,7 @@ from crossfade.catalog.queries import QUERIES
 from crossfade.functions import exprs as X
 from crossfade.operators import filters, joins, metrics, windows
 from crossfade.plans import panel as P
+from crossfade.sources.staging import stage
 
 COLUMNS = (
     "gsis_id string, season int, position_group string, team string, metric_raw double, "
@@ -236,3 +237,26 @@ def test_event_numbers_order_as_games_do_and_need_no_game_in_the_shuffle(spark,
 def test_team_averages_are_not_sorted_for_their_join(spark, sf_dir):
     plan = QUERIES["join_team_pos_avg"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_units_and_roles_from_one_scan(spark):
+    events = _events(spark).withColumn("season_type", F.lit("REG"))
+    sums = metrics.role_and_unit_sums(events, ROLES)
+    near = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()}
+    roles, units = metrics.role_metrics(events, ROLES), metrics.team_offense_context(events)
+    assert near(metrics.role_table(sums, ROLES).select(*roles.columns)) == near(roles)
+    assert near(metrics.unit_table(sums).select(*units.columns)) == near(units) and units.count() == 12
+
+
+def test_panel_reads_the_events_once(spark, sf_dir):
+    read = []
+
+    def staged(df, name="table"):
+        read.extend(f for f in df.inputFiles() if "lineitem" in f)
+        return stage(df, name)
+
+    base, offense = P.base_and_offense(
+        fx.events(spark, sf_dir, numbered=True), fx.roster(spark, sf_dir, True), fx.roles("flags"), staged, ["event_number"]
+    )
+    staged(P.build_panel(fx.events(spark, sf_dir), staged(base), stage=staged, offense=offense))
+    assert len(read) == 1
