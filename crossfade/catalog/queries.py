@@ -831,7 +831,13 @@ def _model(spark, d, name):
 
 
 def _models(spark, d):
-    return {name: _model(spark, d, name) for name in R.MODELS}
+    key = lambda name: (spark.sparkContext.applicationId, "model", name, d)
+    train, _, columns = _train_test(spark, d)
+    # the longest first
+    missing = [name for name in reversed(R.MODELS) if key(name) not in _objects]
+    for name, model in R.fit_models(train, columns, missing).items() if missing else ():
+        _objects[key(name)] = model
+    return {name: _objects[key(name)] for name in R.MODELS}
 
 
 def _comparison(spark, d):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
@@ -219,6 +221,23 @@ MODELS = {
 }
 
 
+def fit_models(
+    train: DataFrame, features: Sequence[str], names: Sequence[str] = tuple(MODELS), parallel: int = 3
+) -> dict[str, PipelineModel]:
+    """The named models, up to ``parallel`` of them fitted at a time.
+
+    A boosting round is a few short jobs, one after the other; the jobs of
+    another fit use the cores they leave idle. Each model is what it is alone.
+    """
+    start = inheritable_thread_target(train.sparkSession)
+    pool = ThreadPool(max(1, min(parallel, len(names))))
+    try:
+        fitted = pool.map(lambda fit: fit(), [start(lambda n=n: MODELS[n](train, features)) for n in names], chunksize=1)
+    finally:
+        pool.close()
+    return dict(zip(names, fitted))
+
+
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
     scored = model.transform(df).drop("features")
     return scored if out == "prediction" else scored.withColumnRenamed("prediction", out)

@@ -1,3 +1,4 @@
+import threading
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -146,3 +147,18 @@ def test_feature_rule(spark):
         "gsis_id string, season int, metric_raw double, volume int, z_score double, team string",
     )
     assert R.feature_columns(df) == ["metric_raw"]
+
+
+def test_models_are_fitted_at_a_time(spark, monkeypatch):
+    train = spark.createDataFrame([(float(i % 7), float(i % 5), float(i % 7 + 2 * (i % 5))) for i in range(60)], "a double, b double, z_score double")
+    alone = R.fit_ridge(train, ["a", "b"]).stages[-1].coefficients.toArray()
+    both = threading.Barrier(2, timeout=60)  # a fit that waits for the other to end breaks it
+
+    def fit(*args):
+        both.wait()
+        return R.fit_ridge(*args)
+
+    monkeypatch.setattr(R, "MODELS", {"x": fit, "y": fit})
+    found = R.fit_models(train, ["a", "b"], ["x", "y"], parallel=2)
+    assert list(found) == ["x", "y"]
+    assert all((m.stages[-1].coefficients.toArray() == alone).all() for m in found.values())
