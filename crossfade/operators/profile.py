@@ -83,15 +83,24 @@ def _unpivoted(row: DataFrame, columns: Sequence[str], **measures) -> DataFrame:
     return row.select(F.inline(F.array(*entries)))
 
 
+#: Digits of a double that outlast sums in another order.
+SIGNIFICANT = 11
+
+
 def _told_apart(df: DataFrame, column: str, places: int | None) -> Column:
     """The column; a double rounded to ``places``, if given, and -0.0 as 0.0.
 
     Sums of the same doubles in another order differ in their last bits, which
-    would count as values of their own.
+    would count as values of their own. Larger numbers, whose noise is larger,
+    keep no more than ``SIGNIFICANT`` digits.
     """
     if places is None or dict(df.dtypes)[column] not in ("double", "float"):
         return F.col(column)
-    return F.round(column, places) + F.lit(0.0)
+    value = F.round(column, places)
+    for k in range(1, 13):
+        large = F.abs(F.col(column)) >= 10.0 ** (SIGNIFICANT - places + k - 1)
+        value = F.when(large, F.round(column, places - k)).otherwise(value)
+    return value + F.lit(0.0)
 
 
 def distinct_counts(
@@ -99,7 +108,7 @@ def distinct_counts(
 ) -> DataFrame:
     """Distinct known values per column; sketches when ``exact`` is False.
 
-    With ``places`` doubles equal to so many decimal places are one value.
+    With ``places`` doubles equal to so many decimal places, or to eleven digits, are one value.
     """
     columns = list(columns or df.columns)
     count = F.count_distinct if exact else F.approx_count_distinct

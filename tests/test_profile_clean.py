@@ -127,3 +127,10 @@ def test_constant_column_collapses(spark):
     df = spark.createDataFrame([(1.0,)] * 9 + [(5.0,)], "x double")
     bounds = clean.fence_bounds(clean.quartile_fences(df))
     assert {r.x for r in clean.clip_outliers(df, bounds).collect()} == {1.0}
+
+
+def test_noise_of_large_sums_is_no_value(spark):
+    df = spark.createDataFrame([(848.0041020500001,), (848.0041020499999,), (848.00410206,), (1.000000001,), (1.0,)], "x double")
+    for places, n in ((None, 5), (9, 4)):
+        assert profile.distinct_counts(df, places=places).first().n_distinct == n
+        assert profile.feature_metadata(df, places=places).first().n_distinct == n
