@@ -1,4 +1,5 @@
 import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
