@@ -12,11 +12,19 @@ the exact coefficient of the two sets of shingles:
 Texts with equal sets are one vertex, however many rows hold them. A key's members
 are compared with leaders drawn from them, never pair by pair: in round ``r`` each
 key has up to ``4 ** r`` new leaders, and only members of other components than
-the leader's are compared. Bitmaps of two sets bound their coefficient from above;
-the sets themselves are joined for the pairs left by that. A key is done when its members are of one component or
-all have been leaders, so no link that a key holds is lost, and a large group of
-copies is done after a few rounds of as many comparisons as it has members. Keys
-full of texts that are alike but below the bound take more.
+the leader's are compared. Leaders are those that share their keys with most
+others, so what a group was copied from leads first. Bitmaps of two sets bound
+their coefficient from above; the sets themselves are joined for the pairs left by
+that. A key is done when its members are of one component, or those outside its
+largest one have all been leaders, so no link that a key holds is lost, and a large
+group of copies is done after a few rounds of as many comparisons as it has members.
+
+A group may also hold many texts that are alike but below the bound. After the
+second round a hash counts for a set only if a set of another component holds it
+too, among those still open. What counts bounds the coefficient with any of them:
+members that reach the bound with nobody go without being compared. Bitmaps are
+then compared where members meet, so that no row is made for a pair that they rule
+out. Of members that none of this tells apart each still meets each.
 """
 
 from __future__ import annotations
@@ -145,23 +153,29 @@ def _sets(words: int):
     return compute
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs that may reach ``least``: a bit that one bitmap alone has is a hash that the other set lacks.
+def _lacking(x: str, y: str):
+    """How many bits of the bitmap ``x`` are not in ``y``."""
+    ones = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    return F.aggregate(ones, F.lit(0), lambda total, n: total + n)
+
+
+def _may_reach(least: float, size_a: str, bits_a: str, size_b: str, bits_b: str):
+    """Whether two sets may reach ``least``: a bit that one bitmap alone has is a hash that the other set lacks.
 
     Bitmaps of two lengths say nothing.
     """
+    most = F.least(F.col(size_a) - _lacking(bits_a, bits_b), F.col(size_b) - _lacking(bits_b, bits_a))
+    bounded = most / (F.col(size_a) + F.col(size_b) - most) >= least
+    return (F.size(bits_a) != F.size(bits_b)) | bounded
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs that may reach ``least`` by their bitmaps."""
     outlines = sets.select("same", "size", "bits")
     left = outlines.withColumnsRenamed({"same": "a", "size": "size_a", "bits": "bits_a"})
     right = outlines.withColumnsRenamed({"same": "b", "size": "size_b", "bits": "bits_b"})
-
-    def lacking(x: str, y: str):
-        ones = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(ones, F.lit(0), lambda total, n: total + n)
-
-    most = F.least(F.col("size_a") - lacking("bits_a", "bits_b"), F.col("size_b") - lacking("bits_b", "bits_a"))
-    bounded = most / (F.col("size_a") + F.col("size_b") - most) >= least
     both = pairs.join(right, "b").join(left, "a")
-    return both.filter((F.size("bits_a") != F.size("bits_b")) | bounded).select("a", "b")
+    return both.filter(_may_reach(least, "size_a", "bits_a", "size_b", "bits_b")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -195,6 +209,45 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(keys.filter(F.col("first") != F.col("last")).select("key"), "key", "left_semi")
 
 
+def _weighed(members: DataFrame) -> DataFrame:
+    """``members`` with ``weight``: how many members their set meets in all its keys."""
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.select("key", "same").join(many, "key").groupBy("same").agg(F.sum("n").alias("weight"))
+    return members.join(weights, "same")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``members`` with ``most``, without those that reach ``least`` with no other component of their key.
+
+    ``most`` counts a set's hashes that sets of other components hold as well:
+    it has no more in common with any of them. Of ``x`` and ``y`` hashes,
+    ``least`` takes ``least / (1 + least) * (x + y)`` in common, and ``y`` is at
+    least the smallest size in the key, and ``least * x``.
+    """
+    open_sets = stage(members.select("same", "comp").distinct(), "resemblance-open")
+    held = sets.select("same", "hashes").join(open_sets, "same").select("same", "comp", F.explode("hashes").alias("hash"))
+    spread = held.groupBy("hash").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter(F.col("first") != F.col("last"))
+    spread = stage(spread.select("hash"), "resemblance-spread")
+    most = stage(held.join(spread, "hash", "left_semi").groupBy("same").agg(F.count(F.lit(1)).cast("int").alias("most")), "resemblance-most")
+    smallest = members.groupBy("key").agg(F.min("size").alias("smallest"))
+    both = members.join(most, "same").join(smallest, "key")
+    reach = F.col("most") * ((1 + least) / least) - F.col("size") + 1e-6
+    return both.filter(reach >= F.greatest("smallest", F.col("size") * least)).drop("smallest")
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """The members outside the largest component of their key; they meet all that is to be compared."""
+    parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("largest"))
+    return members.join(largest, "key").filter(F.col("comp") != F.col("largest"))
+
+
+def _narrowed(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """What is open of :func:`_linkable` members, with the bitmaps of their sets."""
+    rest = _open(stage(_linkable(members, sets, least), "resemblance-linkable"))
+    return rest.join(sets.select("same", "bits"), "same") if "bits" in sets.columns else rest
+
+
 def links(members: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame | None:
     """``(a, b)``: verified links that connect all that keys bring together; None if there are none.
 
@@ -203,13 +256,19 @@ def links(members: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
     ``size`` and :func:`bitmap` ``bits``.
     """
     found, roots, tried, turn = None, None, None, 0
-    left = stage(_open(_components(None, members)), "resemblance-members")
+    left = stage(_open(_components(None, _weighed(members))), "resemblance-members")
     while not left.isEmpty():
         lots = F.pmod(F.xxhash64("same", F.lit(turn)), F.lit(1 << min(2 * turn, 20)))
-        leaders = left.groupBy("key", lots.alias("lot")).agg(F.min_by(F.struct("same", "size", "comp"), F.col("same")).alias("l"))
-        leaders = stage(leaders.select("key", "l.same", "l.size", "l.comp"), "resemblance-leaders")
-        led = leaders.select("key", F.col("same").alias("l_same"), F.col("size").alias("l_size"), F.col("comp").alias("l_comp"))
+        told = [c for c in ("same", "size", "comp", "most", "bits") if c in left.columns]
+        leaders = (left if turn < 2 else _led(left)).groupBy("key", lots.alias("lot")).agg(F.max_by(F.struct(*told), F.struct("weight", "same")).alias("l"))
+        leaders = stage(leaders.select("key", "l.*"), "resemblance-leaders")
+        led = leaders.withColumnsRenamed({c: f"l_{c}" for c in told})
         near = F.least("size", "l_size") / F.greatest("size", "l_size") >= least
+        if "most" in told:
+            most = F.least("most", "l_most")
+            near &= most / (F.col("size") + F.col("l_size") - most) >= least
+        if "bits" in told:
+            near &= _may_reach(least, "size", "bits", "l_size", "l_bits")
         met = left.join(led, "key").filter((F.col("comp") != F.col("l_comp")) & near)
         pairs = met.select(F.least("same", "l_same").alias("a"), F.greatest("same", "l_same").alias("b")).distinct()
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "resemblance-pairs")
@@ -218,8 +277,10 @@ def links(members: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
         if not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             roots = _roots(found)
-        rest = left.join(leaders.select("key", "same"), ["key", "same"], "left_anti").select("key", "same", "size")
+        rest = left.join(leaders.select("key", "same"), ["key", "same"], "left_anti").drop("comp")
         left, turn = stage(_open(_components(roots, rest)), "resemblance-members"), turn + 1
+        if turn == 2 and not left.isEmpty():
+            left = stage(_narrowed(left, sets, least), "resemblance-members")
     return found
 
 

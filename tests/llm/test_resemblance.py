@@ -176,3 +176,31 @@ def test_bitmaps_rule_out_no_link(spark):
     alike = lambda a, b: len(rows[a][2]) == len(rows[b][2]) and min(len(sets[a]), len(sets[b])) >= 40
     far = {(a, b) for a, b in pairs if alike(a, b) and coefficient(set(sets[a].tolist()), set(sets[b].tolist())) < 0.5}
     assert far and not far & left
+
+
+def test_group_below_the_bound_makes_few_pairs(spark):
+    """Copies of one text that link to it or to nobody: three quarters are beyond the bound of each other."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)] + [" ".join(_edited(rng, base, int(n))) for n in rng.integers(1, 11, 400)]
+    written = {}
+    original = resemblance.stage
+    try:
+        resemblance.stage = lambda df, name="t": written.setdefault(name, []).append(original(df, name)) or written[name][-1]
+        found = ids_kept(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4))
+    finally:
+        resemblance.stage = original
+    want = slow_classes(texts)
+    assert found == sorted(map(min, want)) and 200 < len(want) < 350
+    assert sum(p.count() for p in written["resemblance-pairs"]) < len(texts) * 16
+
+
+def test_sets_that_others_share_nothing_more_of(spark):
+    """What counts is held by another component; a set stays if that may reach the bound with a size of its key."""
+    sets = {1: range(10), 2: [*range(9), 90], 3: [*range(6), 91, 92, 93, 94], 4: range(200, 210), 5: range(200, 210)}
+    members = [(7, i, len(s), min(i, 4)) for i, s in sets.items()]
+    frame = spark.createDataFrame(members, "key bigint, same bigint, size bigint, comp bigint")
+    hashes = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "same bigint, hashes array<bigint>")
+    found = resemblance._linkable(frame, hashes, 0.8)
+    assert sorted((r.same, r.most) for r in found.collect()) == [(1, 9), (2, 9)]
+    assert sorted(r.same for r in resemblance._led(frame).collect()) == [1, 2, 3]
