@@ -38,6 +38,7 @@ def _fixed_width(df: DataFrame, column: str) -> bool:
 
 
 VALUES = ("yards_gained", "epa", "success")
+UNIT_VALUES = (*VALUES, "sack")
 
 
 def _mean(value: str) -> Column:
@@ -59,17 +60,18 @@ EXTRAS = {
 }
 
 
-def _by_unit(
-    events: DataFrame, keys: Sequence[str], unit: str, order_by: Sequence[str] = EVENT_ORDER
+def _unit_sums(
+    events: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    order_by: Sequence[str] = EVENT_ORDER,
+    values: Sequence[str] = VALUES,
 ) -> DataFrame:
-    """Volume, sums and counts by ``keys``, and the unit of the last event as ``team``.
+    """Volume, sums and counts by ``keys``, unit and all of the order but its last part.
 
-    A string or a struct in an aggregation buffer would make Spark sort the
-    events. So they are summed first by unit and by all of the order but its
-    last part, of which the greatest is a plain value: a hash aggregation. What
-    is left, one row per key, unit and game, is reduced to the keys.
+    Of that part the greatest is kept, a plain value: a string or a struct in
+    an aggregation buffer would make Spark sort the events.
     """
-    values = [v for v in VALUES if v in events.columns]
     sums = [
         F.count(F.lit(1)).alias("volume"),
         *[F.sum(v).alias(f"sum_{v}") for v in values],
@@ -77,15 +79,40 @@ def _by_unit(
     ]
     *first, last = order_by
     if _fixed_width(events, last):
-        by_unit = events.groupBy(*keys, unit, *first).agg(*sums, F.max(last).alias(last))
-    else:
-        by_unit = events.groupBy(*keys, unit, *order_by).agg(*sums)
-    names = ["volume", *[f"{kind}_{v}" for kind in ("sum", "n") for v in values]]
+        return events.groupBy(*keys, unit, *first).agg(*sums, F.max(last).alias(last))
+    return events.groupBy(*keys, unit, *order_by).agg(*sums)
+
+
+def _over_units(
+    by_unit: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    order_by: Sequence[str] = EVENT_ORDER,
+    values: Sequence[str] = VALUES,
+) -> DataFrame:
+    """:func:`_unit_sums` reduced to ``keys``, and the unit of the last event as ``team``."""
     return by_unit.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in names], last_by(unit, order_by).alias("team")
+        *[F.sum(c).alias(c) for c in _sum_names(values)], last_by(unit, order_by).alias("team")
     )
 
 
+def _sum_names(values: Sequence[str] = VALUES) -> list[str]:
+    return ["volume", *[f"{kind}_{v}" for kind in ("sum", "n") for v in values]]
+
+
+def _by_unit(
+    events: DataFrame, keys: Sequence[str], unit: str, order_by: Sequence[str] = EVENT_ORDER
+) -> DataFrame:
+    """Volume, sums and counts by ``keys``, and the unit of the last event as ``team``.
+
+    The events are hash-aggregated by unit first (:func:`_unit_sums`). What is
+    left, one row per key, unit and game, is reduced to the keys.
+    """
+    values = [v for v in VALUES if v in events.columns]
+    by_unit = _unit_sums(events, keys, unit, order_by, values)
+    return _over_units(by_unit, keys, unit, order_by, values)
+
+
 @dataclass(frozen=True)
 class Role:
     """How the events of one group are selected and summarised."""
@@ -230,6 +257,10 @@ def _role_table(grouped: DataFrame, roles: Sequence[Role], time: str) -> DataFra
     )
 
 
+def _entity(role: Role) -> str:
+    return f"_entity_{role.label}"
+
+
 def role_and_unit_sums(
     events: DataFrame,
     roles: Sequence[Role] = ROLES,
@@ -237,43 +268,41 @@ def role_and_unit_sums(
     unit: str = "posteam",
     order_by: Sequence[str] = EVENT_ORDER,
 ) -> DataFrame:
-    """Sums for :func:`role_metrics` and :func:`team_offense_context` from one scan.
+    """Sums for :func:`role_table` and :func:`unit_table` from one scan.
 
-    Besides its (role, entity) pairs an event counts for its unit, as a pass or
-    as a rush (``_side``); there the sums of ``yards_gained`` are those of
-    ``sack``. A task passes on one row per unit, season and side.
+    Events of the same entities (a column per role, NULL if the event does not
+    count for it), season and unit are summed before they are expanded to the
+    (role, entity) pairs and the units' sides they count for: an event is one
+    row of the aggregation, whatever it counts for.
     """
     require(events, time, unit, *order_by, *[r.player_id for r in roles])
-    number = lambda name: F.col(name).cast("double")
-    values = [number(v).alias(v) for v in VALUES]
-    entity = events.schema[roles[0].player_id].dataType
-    nobody, nowhere = F.lit(None).cast(entity), F.lit(None).cast(events.schema[unit].dataType)
-    label = lambda s, name: F.lit(s).cast("string").alias(name)
-    pairs = [
-        F.struct(
-            label(r.label, "position_group"),
-            F.when(role_condition(r.attempts, r.player_id), F.col(r.player_id)).cast(entity).alias("gsis_id"),
-            label(None, "_side"), nowhere.alias("_unit"), *values,
-        )
-        for r in roles
-    ]
-    for side, attempt in (("pass", "pass_attempt"), ("rush", "rush_attempt")):
-        pairs.append(
-            F.struct(
-                label(None, "position_group"), nobody.alias("gsis_id"),
-                F.when(F.col(attempt) == 1, side).alias("_side"), F.col(unit).alias("_unit"),
-                number("sack").alias("yards_gained"), *values[1:],
-            )
-        )
-    expanded = events.select(time, unit, *order_by, F.inline(F.array(*pairs)))
-    expanded = expanded.filter(F.col("gsis_id").isNotNull() | F.col("_side").isNotNull())
-    keys = ("gsis_id", time, "position_group", "_side", "_unit")
-    return _by_unit(expanded, keys, unit, order_by).filter(_enough(roles) | F.col("_side").isNotNull())
+    kind = events.schema[roles[0].player_id].dataType
+    entities = [
+        F.when(role_condition(r.attempts, r.player_id), F.col(r.player_id)).cast(kind).alias(_entity(r)) for r in roles
+    ]
+    sides = [F.coalesce(F.col(f"{s}_attempt") == 1, F.lit(False)).alias(f"_{s}") for s in ("pass", "rush")]
+    values = [F.col(v).cast("double").alias(v) for v in UNIT_VALUES]
+    rows = events.select(time, unit, *order_by, *entities, *sides, *values)
+    counts = F.col("_pass") | F.col("_rush")
+    for r in roles:
+        counts = counts | F.col(_entity(r)).isNotNull()
+    keys = (time, *[_entity(r) for r in roles], "_pass", "_rush")
+    return _unit_sums(rows.filter(counts), keys, unit, order_by, UNIT_VALUES)
 
 
-def role_table(sums: DataFrame, roles: Sequence[Role] = ROLES, time: str = "season") -> DataFrame:
+def role_table(
+    sums: DataFrame,
+    roles: Sequence[Role] = ROLES,
+    time: str = "season",
+    unit: str = "posteam",
+    order_by: Sequence[str] = EVENT_ORDER,
+) -> DataFrame:
     """:func:`role_metrics` from :func:`role_and_unit_sums`."""
-    return _role_table(sums.filter(F.col("_side").isNull()), roles, time)
+    pairs = [F.struct(F.lit(r.label).alias("position_group"), F.col(_entity(r)).alias("gsis_id")) for r in roles]
+    expanded = sums.select(time, unit, *order_by, *_sum_names(), F.inline(F.array(*pairs)))
+    keys = ("gsis_id", time, "position_group")
+    grouped = _over_units(expanded.filter(F.col("gsis_id").isNotNull()), keys, unit, order_by)
+    return _role_table(grouped.filter(_enough(roles)), roles, time)
 
 
 def unit_table(sums: DataFrame, unit: str = "posteam", time: str = "season") -> DataFrame:
@@ -281,11 +310,13 @@ def unit_table(sums: DataFrame, unit: str = "posteam", time: str = "season") ->
 
     A unit with neither passes nor rushes has no row instead of an empty one.
     """
-    of = lambda side, value: F.max(F.when(F.col("_side") == side, _mean(value)))
-    return sums.filter(F.col("_side").isNotNull()).groupBy(F.col("_unit").alias(unit), time).agg(
-        of("pass", "epa").alias("team_pass_epa_per_play"),
-        of("rush", "epa").alias("team_rush_epa_per_play"),
-        of("pass", "yards_gained").alias("team_sack_rate"),
+    of = lambda side, v: F.try_divide(
+        F.sum(F.when(F.col(side), F.col(f"sum_{v}"))), F.sum(F.when(F.col(side), F.col(f"n_{v}")))
+    )
+    return sums.filter(F.col("_pass") | F.col("_rush")).groupBy(unit, time).agg(
+        of("_pass", "epa").alias("team_pass_epa_per_play"),
+        of("_rush", "epa").alias("team_rush_epa_per_play"),
+        of("_pass", "sack").alias("team_sack_rate"),
     )
 
 

@@ -53,7 +53,8 @@ def base_and_offense(
     columns = dict.fromkeys([*filters.EVENT_COLUMNS, *order_by])
     regular = filters.filter_regular(events, columns=list(columns))
     sums = stage(metrics.role_and_unit_sums(regular, roles, order_by=order_by), "sums")
-    scored = windows.zscore_by_season_group(metrics.role_table(sums, roles), stage=stage)
+    table = stage(metrics.role_table(sums, roles, order_by=order_by), "metrics")
+    scored = windows.zscore_by_season_group(table, stage=stage)
     return joins.join_roster_left(scored, roster_with_age(roster)), metrics.unit_table(sums)
 
 

@@ -260,3 +260,24 @@ def test_panel_reads_the_events_once(spark, sf_dir):
     )
     staged(P.build_panel(fx.events(spark, sf_dir), staged(base), stage=staged, offense=offense))
     assert len(read) == 1
+
+
+def test_events_are_summed_before_they_are_expanded(spark):
+    rows = [  # the receiver's units come from two passers; the last event has the second's
+        ("g1", 1, 1, "x", 4.0, 1.0, 1.0, "p1", None, "c", 1.0, 0.0, 0.0),
+        ("g1", 2, 1, "x", None, 3.0, 0.0, "p1", None, "c", 1.0, 0.0, 1.0),
+        ("g1", 3, 1, "y", 8.0, 2.0, 1.0, "p2", None, "c", 1.0, 0.0, 0.0),
+        ("g1", 4, 1, "y", 1.0, 6.0, 0.0, None, None, "c", 0.0, 0.0, 0.0),
+    ]
+    events = spark.createDataFrame(rows, EVENTS)
+    sums = metrics.role_and_unit_sums(events, ROLES, order_by=["play_id"])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan
+    assert sums.count() == 2  # a row per passer, receiver and unit; none for what counts for nobody
+    few = [metrics.Role(r.label, r.player_id, r.attempts, r.metric, 1, r.extras) for r in ROLES]
+    table = {r.gsis_id: r for r in metrics.role_table(sums, few, order_by=["play_id"]).collect()}
+    assert table["c"].volume == 3 and table["c"].team == "y" and table["c"].metric_raw == 4.0
+    assert table["p1"].volume == 2 and table["p1"].team == "x" and table["p1"].metric_raw == 2.0
+    units = {r.posteam: r for r in metrics.unit_table(sums).collect()}
+    assert units["x"].team_sack_rate == 0.5 and units["y"].team_pass_epa_per_play == 2.0
+    assert units["x"].team_rush_epa_per_play is None
